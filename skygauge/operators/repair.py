@@ -20,11 +20,12 @@ from skygauge.operators.series import (
     in_bucket,
     time_bucket,
 )
-from skygauge.schemas import MEASUREMENTS, STATION
+from skygauge.schemas import MEASUREMENTS, STATION, TIMESTAMP
 from skygauge.session import stage
 
 GRID_CELLS = 64
 SKETCH_ACCURACY = 1000
+SALTS = 16
 
 
 def measured(df: DataFrame) -> list[str]:
@@ -48,10 +49,8 @@ def interpolate(
     numbered = df.withColumn(BUCKET, time_bucket(bucket_hours)).withColumn(
         "_rn", F.row_number().over(in_bucket()).cast("long")
     )
-    # A known value as (position, value); null for a missing one.
-    known = "if({c} is null, null, struct(_rn as p, {c} as v))"
-    # The same with the position counted from the start of the station.
-    shifted = "if({x} is null, null, struct({x}.p + _before as p, {x}.v as v))"
+    # Position of a known value, null for a missing one.
+    at = "if({c} is null, null, _rn)"
 
     def each(template: str, alias: str) -> list[Column]:
         return [F.expr(template.format(c=c)).alias(alias.format(c=c)) for c in cols]
@@ -59,40 +58,47 @@ def interpolate(
     summary = bucket_totals(
         numbered.groupBy(STATION, BUCKET).agg(
             F.count("*").alias("cnt"),
-            *each(f"min({known})", "_first_{c}"),
-            *each(f"max({known})", "_last_{c}"),
+            *each(f"min({at})", "_fp_{c}"),
+            *each(f"min_by({{c}}, {at})", "_fv_{c}"),
+            *each(f"max({at})", "_lp_{c}"),
+            *each(f"max_by({{c}}, {at})", "_lv_{c}"),
         )
     )
-    by_bucket = "partition by station order by _bucket {} rows between unbounded preceding and 1 preceding"
-    earlier, later = by_bucket.format("asc"), by_bucket.format("desc")
-    before = shifted.format(x="_last_{c}")
-    after = shifted.format(x="_first_{c}")
+    outside = "partition by station order by _bucket {} rows between unbounded preceding and 1 preceding"
+    earlier, later = outside.format("asc"), outside.format("desc")
+    # Known values of other buckets as (position in the station, value).
+    known = "if({x}p_{{c}} is null, null, struct({x}p_{{c}} + _before as p, {x}v_{{c}} as v))"
     carried = summary.select(
         STATION,
         BUCKET,
         "_before",
         LENGTH,
-        *each(f"last({before}) ignore nulls over ({earlier})", "_in_{c}"),
-        *each(f"last({after}) ignore nulls over ({later})", "_out_{c}"),
+        *each(f"last({known.format(x='_l')}) ignore nulls over ({earlier})", "_in_{c}"),
+        *each(f"last({known.format(x='_f')}) ignore nulls over ({later})", "_out_{c}"),
     )
 
-    by_hour = "partition by station, _bucket order by timestamp {} rows between unbounded preceding and current row"
+    inside = "partition by station, _bucket order by timestamp {} rows between unbounded preceding and current row"
+    so_far, from_here = inside.format("asc"), inside.format("desc")
     neighbours = numbered.select(
         "*",
-        *each(f"last({known}) ignore nulls over ({by_hour.format('asc')})", "_prev_{c}"),
-        *each(f"last({known}) ignore nulls over ({by_hour.format('desc')})", "_next_{c}"),
+        *each(f"last({at}) ignore nulls over ({so_far})", "_lp_{c}"),
+        *each(f"last({{c}}) ignore nulls over ({so_far})", "_lv_{c}"),
+        *each(f"last({at}) ignore nulls over ({from_here})", "_rp_{c}"),
+        *each(f"last({{c}}) ignore nulls over ({from_here})", "_rv_{c}"),
     ).join(carried, [STATION, BUCKET])
 
     ends = neighbours.select(
         *df.columns,
         (F.col("_before") + F.col("_rn") - 1).alias(POS),
         LENGTH,
-        *each(f"coalesce({shifted.format(x='_prev_{c}')}, _in_{{c}})".format(c="{c}"), "_l_{c}"),
-        *each(f"coalesce({shifted.format(x='_next_{c}')}, _out_{{c}})".format(c="{c}"), "_r_{c}"),
+        *each("coalesce(_lp_{c} + _before, _in_{c}.p)", "_lp_{c}"),
+        *each("coalesce(_lv_{c}, _in_{c}.v)", "_lv_{c}"),
+        *each("coalesce(_rp_{c} + _before, _out_{c}.p)", "_rp_{c}"),
+        *each("coalesce(_rv_{c}, _out_{c}.v)", "_rv_{c}"),
     )
     blend = (
-        "case when {c} is not null then {c} when _r_{c} is null then _l_{c}.v "
-        "else (_r_{c}.v - _l_{c}.v) / (_r_{c}.p - _l_{c}.p) * (pos + 1 - _l_{c}.p) + _l_{c}.v end"
+        "case when {c} is not null then {c} when _rp_{c} is null then _lv_{c} "
+        "else (_rv_{c} - _lv_{c}) / (_rp_{c} - _lp_{c}) * (pos + 1 - _lp_{c}) + _lv_{c} end"
     )
     blended = dict(zip(cols, each(blend, "{c}")))
     return ends.select(*[blended.get(c, F.col(c)) for c in df.columns], POS, LENGTH)
@@ -142,8 +148,9 @@ def station_quantiles(
     of one column of one station.
     """
     names = F.array(*[F.lit(c) for c in cols])
-    stacked = df.select(STATION, F.inline(F.arrays_zip(names.alias("measure"), F.array(*cols).alias("value"))))
-    stacked = stacked.toDF(STATION, "measure", "value")
+    salt = F.pmod(F.xxhash64(TIMESTAMP), F.lit(SALTS))
+    pairs = F.inline(F.arrays_zip(names, F.array(*cols)))
+    stacked = df.select(STATION, salt, pairs).toDF(STATION, "salt", "measure", "value")
     grid = F.array(*[F.lit(i / GRID_CELLS) for i in range(GRID_CELLS + 1)])
     sketch = stacked.groupBy(STATION, "measure").agg(
         F.count("*").alias("total"),
@@ -172,9 +179,12 @@ def station_quantiles(
         F.expr(f"if({last_cell} <= {GRID_CELLS}, get(grid, cast({last_cell} as int)), double('inf'))").alias("hi"),
     )
     target = ["measure", "target", "r0", "r1", "weight"]
+    # Salted, so that a station too large for one task is joined in SALTS parts, and the
+    # aggregate cannot inherit a partitioning that puts it back together.
+    salted = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     counted = (
         stacked.filter("value is not null")
-        .join(targets, [STATION, "measure"])
+        .join(salted, [STATION, "measure", "salt"])
         .filter("value <= hi")
         .withColumn("inside", F.expr("if(value >= lo, value, null)"))
         .groupBy(STATION, *target, "inside")

@@ -64,14 +64,16 @@ def with_positions(df: DataFrame, bucket_hours: int = BUCKET_HOURS) -> DataFrame
 def overlapping_chunks(df: DataFrame, halo: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Adds ``_chunk``; rows that end a chunk are copied into the next one.
 
-    Keep ``own_rows`` after the windows. ``df`` needs ``pos``.
+    Keep ``own_rows`` after the windows. ``df`` needs ``pos``. The explicit repartition stops
+    the windows from reusing a partitioning by station alone, left over from a join.
     """
     if halo > chunk_rows:
         raise ValueError("halo must not exceed chunk_rows")
     home = F.floor(F.col(POS) / F.lit(chunk_rows))
     ends = F.col(POS) % chunk_rows >= chunk_rows - halo
     chunks = F.when(ends, F.array(HOME, F.col(HOME) + 1)).otherwise(F.array(HOME))
-    return df.withColumn(HOME, home).withColumn(CHUNK, F.explode(chunks))
+    chunked = df.withColumn(HOME, home).withColumn(CHUNK, F.explode(chunks))
+    return chunked.repartition(STATION, CHUNK)
 
 
 def in_chunk() -> Window:
