@@ -27,10 +27,14 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def station_of_sensor() -> Column:
+    return F.concat(F.lit("S"), F.expr(f"user_id div {SENSORS_PER_STATION}"))
+
+
 def station_events(events: DataFrame) -> DataFrame:
     """(station, timestamp, event_type, value, cents, k) of each event."""
     return events.select(
-        F.concat(F.lit("S"), F.expr(f"user_id div {SENSORS_PER_STATION}")).alias(STATION),
+        station_of_sensor().alias(STATION),
         hour_start(F.col("ts")).alias(TIMESTAMP),
         "event_type",
         "value",
