@@ -256,7 +256,8 @@ def repair(
 ) -> DataFrame:
     """Interpolate, fill and cap every measurement present; adds ``pos`` and ``n_rows``.
 
-    The interpolated series is read three times, so it is staged. ``train_share`` fits
+    ``df`` is read twice, so it should be a saved table rather than a long plan. The
+    interpolated series is read three times and is staged here. ``train_share`` fits
     medians and caps on the first part of each station only.
     """
     cols = measured(df)

@@ -195,18 +195,18 @@ def aqi_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(interpolate(tables.raw_air_quality(spark, sf_dir)), *MEASUREMENTS)
+    return rounded(interpolate(tables.saved_air_quality(spark, sf_dir)), *MEASUREMENTS)
 
 
 def median_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = stage(interpolate(tables.raw_air_quality(spark, sf_dir)), "series")
+    series = stage(interpolate(tables.saved_air_quality(spark, sf_dir)), "series")
     cols = measured(series)
     filled = median_fill(series, station_quantiles(series, cols), cols)
     return rounded(filled, *MEASUREMENTS)
 
 
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = stage(interpolate(tables.raw_air_quality(spark, sf_dir)), "series")
+    series = stage(interpolate(tables.saved_air_quality(spark, sf_dir)), "series")
     return rounded(station_quantiles(series, measured(series)), "median", "lower", "upper")
 
 
@@ -253,7 +253,7 @@ def interaction_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def featured_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.build_features(tables.raw_air_quality(spark, sf_dir))
+    rows = features.build_features(tables.saved_air_quality(spark, sf_dir))
     doubles = [name for name, kind in rows.dtypes if kind == "double"]
     return rounded(rows, *doubles)
 

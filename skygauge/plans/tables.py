@@ -25,18 +25,23 @@ def raw_air_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_weather(historical_pollutants(spark, sf_dir), weather_readings(spark, sf_dir))
 
 
+def saved_air_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written once: the repair reads it twice."""
+    return stage(raw_air_quality(spark, sf_dir), "raw")
+
+
 def raw_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Historical and forecast rows, one per station and hour."""
     return combine(raw_air_quality(spark, sf_dir), forecast_pollutants(spark, sf_dir))
 
 
 def repaired_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair(raw_air_quality(spark, sf_dir))
+    return repair(saved_air_quality(spark, sf_dir))
 
 
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature table as later steps read it: written once."""
-    return stage(build_features(raw_air_quality(spark, sf_dir)), "featured")
+    return stage(build_features(saved_air_quality(spark, sf_dir)), "featured")
 
 
 def live_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
