@@ -147,15 +147,21 @@ def station_quantiles(
     Only step 3 gathers rows: the distinct values of three cells or so, about a twentieth
     of one column of one station.
     """
-    names = F.array(*[F.lit(c) for c in cols])
-    salt = F.pmod(F.xxhash64(TIMESTAMP), F.lit(SALTS))
-    pairs = F.inline(F.arrays_zip(names, F.array(*cols)))
-    stacked = df.select(STATION, salt, pairs).toDF(STATION, "salt", "measure", "value")
     grid = F.array(*[F.lit(i / GRID_CELLS) for i in range(GRID_CELLS + 1)])
-    sketch = stacked.groupBy(STATION, "measure").agg(
-        F.count("*").alias("total"),
-        F.count("value").alias("n"),
-        F.percentile_approx("value", grid, F.lit(SKETCH_ACCURACY)).alias("grid"),
+    sketches = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("i"),
+                F.count(c).alias("n"),
+                F.percentile_approx(c, grid, F.lit(SKETCH_ACCURACY)).alias("grid"),
+            )
+            for i, c in enumerate(cols)
+        ]
+    )
+    sketch = (
+        df.groupBy(STATION)
+        .agg(F.count("*").alias("total"), sketches.alias("sketches"))
+        .select(STATION, "total", F.inline("sketches"))
     )
     wanted = ", ".join(
         [
@@ -167,24 +173,27 @@ def station_quantiles(
     first_cell = f"floor(least(r0, r1) * {GRID_CELLS} / n) - 1"
     last_cell = f"floor(greatest(r0, r1) * {GRID_CELLS} / n) + 2"
     ranks = sketch.filter("n > 0").select("*", F.expr(f"inline(array({wanted}))"))
-    targets = ranks.select(
+    target = ["i", "target", "r0", "r1", "weight"]
+    # Past either end there is no bound: -infinity and infinity.
+    bounded = ranks.select(
         STATION,
-        "measure",
-        "target",
-        "r0",
-        "r1",
-        "weight",
-        # Past either end there is no bound: -infinity and infinity.
+        *target,
         F.expr(f"if({first_cell} >= 0, get(grid, cast({first_cell} as int)), double('-inf'))").alias("lo"),
         F.expr(f"if({last_cell} <= {GRID_CELLS}, get(grid, cast({last_cell} as int)), double('inf'))").alias("hi"),
     )
-    target = ["measure", "target", "r0", "r1", "weight"]
-    # Salted, so that a station too large for one task is joined in SALTS parts, and the
-    # aggregate cannot inherit a partitioning that puts it back together.
+    # One row per station, three targets per column. Salted, so that a station too large for
+    # one task is joined in SALTS parts, and the aggregate after it cannot inherit a
+    # partitioning that puts the station back together.
+    targets = bounded.groupBy(STATION).agg(
+        F.collect_list(F.struct(*target, "lo", "hi")).alias("targets")
+    )
     salted = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(TIMESTAMP), F.lit(SALTS)).alias("salt")
     counted = (
-        stacked.filter("value is not null")
-        .join(salted, [STATION, "measure", "salt"])
+        df.select(STATION, salt, F.array(*cols).alias("row"))
+        .join(salted, [STATION, "salt"])
+        .select(STATION, "row", F.inline("targets"))
+        .withColumn("value", F.get("row", F.col("i")))
         .filter("value <= hi")
         .withColumn("inside", F.expr("if(value >= lo, value, null)"))
         .groupBy(STATION, *target, "inside")
@@ -208,7 +217,7 @@ def station_quantiles(
     checked = found.withColumn(
         "x0", F.expr(f"if({lost}, raise_error('quantile cell misses its rank'), x0)")
     )
-    per_measure = checked.groupBy(STATION, "measure").agg(
+    per_measure = checked.groupBy(STATION, "i").agg(
         *[
             F.expr(f"max(if(target = '{t}', {x}, null))").alias(f"{t}_{x}")
             for t in ("median", "lower", "upper")
@@ -221,8 +230,9 @@ def station_quantiles(
         a, b = f"coalesce({t}_x0, median)", f"coalesce({t}_x1, median)"
         return F.expr(f"{a} + ({b} - {a}) * {t}_weight").alias(t)
 
+    measure = F.get(F.array(*[F.lit(c) for c in cols]), F.col("i")).alias("measure")
     return per_measure.withColumn("median", F.expr(median)).select(
-        STATION, "measure", "median", between("lower"), between("upper")
+        STATION, measure, "median", between("lower"), between("upper")
     )
 
 

@@ -485,7 +485,7 @@ WHERE timestamp >= last - INTERVAL 7 DAY"""
     ),
     "forecast_bands": forecast_sql(
         f"""SELECT station, timestamp, horizon_hour, aqi_predicted, pm2_5_predicted,
-  {_bands(0)} AS band_low, {_bands(1)} AS band_high, {_bands(2, "'")} AS band FROM labelled"""
+  {_bands(0)}::DOUBLE AS band_low, {_bands(1)}::DOUBLE AS band_high, {_bands(2, "'")} AS band FROM labelled"""
     ),
     "pollutant_limits": sql(
         f"""SELECT station, pollutant, value, "limit", value > "limit" AS exceeds

@@ -16,7 +16,12 @@ LIVE_SOURCE = "Ground Station"
 MODEL_SOURCE = "Model"
 
 # Upper bounds of the shaded bands behind the forecast; above the last one there is none.
-FORECAST_BANDS = [(0, 50, "Good"), (50, 100, "Moderate"), (100, 150, "Unhealthy-S"), (150, 200, "Unhealthy")]
+FORECAST_BANDS = [
+    (0.0, 50.0, "Good"),
+    (50.0, 100.0, "Moderate"),
+    (100.0, 150.0, "Unhealthy-S"),
+    (150.0, 200.0, "Unhealthy"),
+]
 
 
 def report_features(featured: DataFrame) -> DataFrame:
@@ -108,7 +113,7 @@ def forecast_bands(forecast: DataFrame) -> DataFrame:
     """The forecast series with the band its index lies in (the lower one on a bound)."""
     aqi = F.col("aqi_predicted")
     fields = {"band_low": 0, "band_high": 1, "band": 2}
-    none = {"band_low": "int", "band_high": "int", "band": "string"}
+    none = {"band_low": "double", "band_high": "double", "band": "string"}
 
     def pick(name: str) -> Column:
         chain = F.when(aqi.isNull(), F.lit(None).cast(none[name]))
