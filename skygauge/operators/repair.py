@@ -24,7 +24,7 @@ from skygauge.schemas import MEASUREMENTS, STATION, TIMESTAMP
 from skygauge.session import stage
 
 GRID_CELLS = 64
-SKETCH_ACCURACY = 1000
+SKETCH_ACCURACY = 200
 SALTS = 16
 
 
@@ -64,7 +64,10 @@ def interpolate(
             *each(f"max_by({{c}}, {at})", "_lv_{c}"),
         )
     )
-    outside = "partition by station order by _bucket {} rows between unbounded preceding and 1 preceding"
+    outside = (
+        "partition by station order by _bucket {} "
+        "rows between unbounded preceding and 1 preceding"
+    )
     earlier, later = outside.format("asc"), outside.format("desc")
     # Known values of other buckets as (position in the station, value).
     known = "if({x}p_{{c}} is null, null, struct({x}p_{{c}} + _before as p, {x}v_{{c}} as v))"
@@ -77,7 +80,10 @@ def interpolate(
         *each(f"last({known.format(x='_f')}) ignore nulls over ({later})", "_out_{c}"),
     )
 
-    inside = "partition by station, _bucket order by timestamp {} rows between unbounded preceding and current row"
+    inside = (
+        "partition by station, _bucket order by timestamp {} "
+        "rows between unbounded preceding and current row"
+    )
     so_far, from_here = inside.format("asc"), inside.format("desc")
     neighbours = numbered.select(
         "*",
@@ -122,7 +128,10 @@ def _target(name: str, share: float, total: str) -> str:
     middle = "floor((n + 1) / 2)"
 
     def rank(j: str) -> str:
-        return f"case when {j} < {middle} then {j} when {j} >= {middle} + {total} - n then {j} - {total} + n end"
+        return (
+            f"case when {j} < {middle} then {j} "
+            f"when {j} >= {middle} + {total} - n then {j} - {total} + n end"
+        )
 
     return (
         f"struct('{name}' as target, {rank(low)} as r0, {rank(high)} as r1, "
@@ -138,7 +147,7 @@ def station_quantiles(
     ``lower`` and ``upper`` are those of the column after its median fill.
 
     1. A mergeable sketch per station and column gives a grid of approximate quantiles.
-       Its error (1/1000 of the rows) is far below a grid cell (1/64), so the cells around
+       Its error (1/200 of the rows) is far below a grid cell (1/64), so the cells around
        a rank are sure to enclose its value.
     2. Values below the enclosing cells are counted, values inside are counted one by one:
        both in one aggregate with a partial step.
@@ -174,12 +183,12 @@ def station_quantiles(
     last_cell = f"floor(greatest(r0, r1) * {GRID_CELLS} / n) + 2"
     ranks = sketch.filter("n > 0").select("*", F.expr(f"inline(array({wanted}))"))
     target = ["i", "target", "r0", "r1", "weight"]
-    # Past either end there is no bound: -infinity and infinity.
+    # Past either end of the grid ``get`` finds nothing: there is no bound then.
     bounded = ranks.select(
         STATION,
         *target,
-        F.expr(f"if({first_cell} >= 0, get(grid, cast({first_cell} as int)), double('-inf'))").alias("lo"),
-        F.expr(f"if({last_cell} <= {GRID_CELLS}, get(grid, cast({last_cell} as int)), double('inf'))").alias("hi"),
+        F.expr(f"coalesce(get(grid, cast({first_cell} as int)), double('-inf'))").alias("lo"),
+        F.expr(f"coalesce(get(grid, cast({last_cell} as int)), double('inf'))").alias("hi"),
     )
     # One row per station, three targets per column. Salted, so that a station too large for
     # one task is joined in SALTS parts, and the aggregate after it cannot inherit a
@@ -239,25 +248,27 @@ def station_quantiles(
 # -- fill and cap -----------------------------------------------------------------------
 
 
-def _with_quantiles(df: DataFrame, quantiles: DataFrame) -> DataFrame:
-    """Adds ``_q``: measure -> (median, lower, upper), one map per station."""
-    entry = F.struct("measure", F.struct("median", "lower", "upper"))
-    maps = quantiles.groupBy(STATION).agg(F.map_from_entries(F.collect_list(entry)).alias("_q"))
-    return df.join(maps, STATION, "left")
+def _with_quantiles(df: DataFrame, quantiles: DataFrame, cols: list[str]) -> DataFrame:
+    """Adds the quantiles of every column as ``_{c}_median`` and so on."""
+    names = [(c, q) for c in cols for q in ("median", "lower", "upper")]
+    wide = quantiles.groupBy(STATION).agg(
+        *[F.expr(f"max(if(measure = '{c}', {q}, null)) as _{c}_{q}") for c, q in names]
+    )
+    return df.join(wide, STATION, "left")
 
 
 def median_fill(df: DataFrame, quantiles: DataFrame, cols: list[str]) -> DataFrame:
-    filled = {c: F.expr(f"coalesce({c}, _q['{c}'].median)").alias(c) for c in cols}
-    joined = _with_quantiles(df, quantiles)
+    filled = {c: F.expr(f"coalesce({c}, _{c}_median) as {c}") for c in cols}
+    joined = _with_quantiles(df, quantiles, cols)
     return joined.select([filled.get(c, F.col(c)) for c in df.columns])
 
 
 def fill_and_clip(df: DataFrame, quantiles: DataFrame, cols: list[str]) -> DataFrame:
     def repaired(c: str) -> Column:
-        filled = F.expr(f"coalesce({c}, _q['{c}'].median)")
-        return clip(filled, F.expr(f"_q['{c}'].lower"), F.expr(f"_q['{c}'].upper")).alias(c)
+        filled = F.expr(f"coalesce({c}, _{c}_median)")
+        return clip(filled, F.col(f"_{c}_lower"), F.col(f"_{c}_upper")).alias(c)
 
-    joined = _with_quantiles(df, quantiles)
+    joined = _with_quantiles(df, quantiles, cols)
     return joined.select([repaired(c) if c in cols else F.col(c) for c in df.columns])
 
 

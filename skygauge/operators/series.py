@@ -130,10 +130,6 @@ def regularize(df: DataFrame, bucket_hours: int = BUCKET_HOURS) -> DataFrame:
     hi = F.least("_hi", (F.col("_b") + 1) * bucket_hours - 1)
     hours = spans.select(STATION, F.explode(F.sequence(lo, hi)).alias("_hour"))
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    spine = hours.select(
-        STATION,
-        (epoch + F.make_dt_interval((F.col("_hour") / 24).cast("int"), (F.col("_hour") % 24).cast("int"))).alias(
-            TIMESTAMP
-        ),
-    )
+    since = F.make_dt_interval(F.lit(0), F.col("_hour").cast("int"))
+    spine = hours.select(STATION, (epoch + since).alias(TIMESTAMP))
     return spine.join(df, [STATION, TIMESTAMP], "left").select(df.columns)

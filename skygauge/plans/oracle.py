@@ -350,6 +350,8 @@ ORACLE: dict[str, str] = {
         f"SELECT station, timestamp, {_pollutant_list}, {_weather_list} FROM ev GROUP BY station, timestamp"
     ),
     "payload_flatten": sql("SELECT * FROM pollutants"),
+    "landed_payloads": sql("SELECT *, true AS is_forecast FROM pollutants"),
+    "csv_scan": sql("SELECT * FROM historical"),
     "live_readings": sql("SELECT * FROM live"),
     "lenient_cast": """SELECT event_id,
   TRY_CAST(CASE WHEN event_type = 'error' THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS number

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,7 +14,7 @@ from skygauge.functions import aqi
 from skygauge.functions.calendar import calendar_parts, cyclic_parts
 from skygauge.functions.numeric import lenient_double
 from skygauge.operators import attribution, backtest, evaluate, features, forecast, merge, models
-from skygauge.operators.repair import fill_and_clip, interpolate, measured, median_fill
+from skygauge.operators.repair import interpolate, measured, median_fill
 from skygauge.operators.repair import station_quantiles
 from skygauge.operators.scorers import LinearScorer
 from skygauge.operators.series import (
@@ -32,17 +33,17 @@ from skygauge.schemas import (
     MEASUREMENTS,
     POLLUTANT_FIELDS,
     POLLUTANT_PAYLOAD,
+    RAW,
     ROLLS,
     STATION,
     TIMESTAMP,
 )
-from skygauge.session import stage
+from skygauge.session import scratch_path, stage
 from skygauge.sources import sensor_log
-from skygauge.sources.payloads import flatten_hourly
+from skygauge.sources.payloads import flatten_hourly, read_forecast
+from skygauge.sources.tables import read_csv, write_table
 from skygauge.streaming import live
 
-import datetime as dt
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 KEYS = [STATION, TIMESTAMP]
@@ -89,8 +90,8 @@ def hourly_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensor_log.hourly_readings(spark, sf_dir)
 
 
-def payload_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Station-days as parallel-array payloads in JSON text, read back as rows."""
+def _daily_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(station, json): one parallel-array payload per station-day."""
     hours = sensor_log.pollutant_readings(spark, sf_dir)
     fields = [
         F.date_format(TIMESTAMP, "yyyy-MM-dd'T'HH:mm").alias("time"),
@@ -101,11 +102,30 @@ def payload_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sort_array(F.collect_list(F.struct(*fields))).alias("rows")
     )
     arrays = [F.col(f"rows.{name}").alias(name) for name in ("time", *POLLUTANT_FIELDS)]
-    payload = F.to_json(F.struct(F.struct(*arrays).alias("hourly")))
-    parsed = days.select(STATION, F.from_json(payload, POLLUTANT_PAYLOAD).alias("p"))
+    return days.select(STATION, F.to_json(F.struct(F.struct(*arrays).alias("hourly"))).alias("json"))
+
+
+def payload_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Station-days as payloads in JSON text, read back as rows."""
+    payloads = _daily_payloads(spark, sf_dir)
+    parsed = payloads.select(STATION, F.from_json("json", POLLUTANT_PAYLOAD).alias("p"))
     return flatten_hourly(parsed.select(STATION, "p.*"), POLLUTANT_FIELDS)
 
 
+def landed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through files in a landing folder, one payload per line."""
+    landing = scratch_path(spark, "landing")
+    _daily_payloads(spark, sf_dir).write.partitionBy(STATION).text(landing)
+    return read_forecast(spark, landing, multi_line=False)
+
+
+def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings written as CSV and read back with the declared schema."""
+    path = scratch_path(spark, "csv")
+    write_table(tables.raw_air_quality(spark, sf_dir), path, fmt="csv")
+    return read_csv(spark, path, RAW)
+
+
 def live_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.live_readings(spark, sf_dir)
 
@@ -467,6 +487,8 @@ def tree_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "hourly_readings": hourly_readings,
     "payload_flatten": payload_flatten,
+    "landed_payloads": landed_payloads,
+    "csv_scan": csv_scan,
     "live_readings": live_readings,
     "lenient_cast": lenient_cast,
     "merge_weather": merge_weather,

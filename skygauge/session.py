@@ -50,8 +50,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder, visible to every executor."""
-    return os.path.join(ensure_checkpoint_dir(spark), "skygauge", f"{name}-{uuid.uuid4().hex}")
+    """A fresh path under the shared folder, visible to every executor.
+
+    All paths of an application are under ``<shared folder>/skygauge/<application id>``.
+    """
+    root = os.path.join(ensure_checkpoint_dir(spark), "skygauge", spark.sparkContext.applicationId)
+    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

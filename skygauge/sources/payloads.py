@@ -1,7 +1,8 @@
 """Landed JSON payloads as tables.
 
-Landing folders are laid out ``<root>/station=<id>/*.json``, one payload object per file;
-Spark discovers the station from the folder name and prunes on it.
+Landing folders are laid out ``<root>/station=<id>/*.json``; Spark discovers the station from
+the folder name and prunes on it. A file holds one payload object, or one per line where
+``multi_line`` is off (which lets Spark split large files).
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ def with_station(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(STATION, T.StringType())])
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(with_station(schema)).json(path, multiLine=True)
+def _read(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True
+) -> DataFrame:
+    return spark.read.schema(with_station(schema)).json(path, multiLine=multi_line)
 
 
 def flatten_hourly(payloads: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -49,17 +52,17 @@ def flatten_hourly(payloads: DataFrame, fields: dict[str, str]) -> DataFrame:
     )
 
 
-def read_pollutants(spark: SparkSession, path: str) -> DataFrame:
-    return flatten_hourly(_read(spark, path, POLLUTANT_PAYLOAD), POLLUTANT_FIELDS)
+def read_pollutants(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return flatten_hourly(_read(spark, path, POLLUTANT_PAYLOAD, multi_line), POLLUTANT_FIELDS)
 
 
-def read_weather(spark: SparkSession, path: str) -> DataFrame:
-    return flatten_hourly(_read(spark, path, WEATHER_PAYLOAD), WEATHER_FIELDS)
+def read_weather(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return flatten_hourly(_read(spark, path, WEATHER_PAYLOAD, multi_line), WEATHER_FIELDS)
 
 
-def read_forecast(spark: SparkSession, path: str) -> DataFrame:
+def read_forecast(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Forecast pollutants, tagged ``is_forecast``."""
-    return read_pollutants(spark, path).withColumn("is_forecast", F.lit(True))
+    return read_pollutants(spark, path, multi_line).withColumn("is_forecast", F.lit(True))
 
 
 def flatten_live(payloads: DataFrame, source: str = "Ground Station") -> DataFrame:
