@@ -53,7 +53,7 @@ from skygauge.schemas import (
     TARGET,
     TIMESTAMP,
 )
-from skygauge.session import ensure_checkpoint_dir, ship_package
+from skygauge.session import ensure_checkpoint_dir, ship_package, spread
 
 STEPS = 72
 RECENT = "recent"
@@ -152,8 +152,8 @@ def forecast_paths(
 ) -> DataFrame:
     """One row per origin: station, timestamp, ``keep``, array of ``steps`` predictions.
 
-    Little data but much work per row: the origins are dealt out over all cores, as
-    adaptive execution would pack them into a few tasks by size.
+    The origins are dealt out over all cores; the model is broadcast (size-checked where it
+    was turned into arrays).
     """
     spark = origins.sparkSession
     ship_package(spark)
@@ -173,8 +173,7 @@ def forecast_paths(
             result[PREDICTIONS] = list(paths)
             yield result
 
-    spread = rows.repartition(spark.sparkContext.defaultParallelism, STATION, TIMESTAMP)
-    return spread.mapInPandas(run, out.schema)
+    return spread(rows, STATION, TIMESTAMP).mapInPandas(run, out.schema)
 
 
 # -- unrolled form ----------------------------------------------------------------------

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from skygauge.operators.evaluate import regression_metrics, select_model
 from skygauge.operators.series import chronological_split
 from skygauge.schemas import FEATURE_COLS, MODEL_METRICS, STATION, TARGET, TIMESTAMP
-from skygauge.session import ensure_checkpoint_dir
+from skygauge.session import ensure_checkpoint_dir, stage
 
 RIDGE = "Ridge Regression"
 FOREST = "Random Forest"
@@ -103,10 +102,12 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def split_for_training(featured: DataFrame, train_share: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """First part of every station for training, the rest for testing."""
+    """First part of every station for training, the rest for testing.
+
+    Staged, as every fit reads it several times; the columns are those a model needs.
+    """
     columns = list(dict.fromkeys([STATION, TIMESTAMP, TARGET, *FEATURE_COLS]))
-    parts = chronological_split(featured.select(*columns), train_share)
-    parts = parts.persist(StorageLevel.MEMORY_AND_DISK)
+    parts = stage(chronological_split(featured.select(*columns), train_share), "split")
     return parts.filter("is_train"), parts.filter("not is_train")
 
 

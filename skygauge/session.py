@@ -81,3 +81,15 @@ def ship_package(spark: SparkSession) -> None:
     archive = os.path.join(tempfile.mkdtemp(prefix="skygauge-"), "skygauge")
     context.addPyFile(shutil.make_archive(archive, "zip", root, "skygauge"))
     _shipped.add(context.applicationId)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows out over all cores, for steps with little data but much work per row.
+
+    A fixed number of partitions, as adaptive execution would pack small rows into a few
+    tasks. Under dynamic allocation few cores may be up yet, so the configured number of
+    shuffle partitions counts as well.
+    """
+    spark = df.sparkSession
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(spark.sparkContext.defaultParallelism, configured), *keys)

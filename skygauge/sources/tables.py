@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skygauge.functions.numeric import nan_to_null
@@ -31,9 +32,12 @@ def write_table(
 ) -> None:
     """Overwrite ``path``; rows are ordered in time inside each file.
 
-    Without ``partition_by`` the rows keep the partitions they have, so a dominant station
-    stays spread over tasks and files.
+    Without ``partition_by`` the rows keep the partitions they have. With it they are first
+    brought together by that column and the year: one file per folder and year, and a
+    dominant station still has a task per year.
     """
+    if partition_by and TIMESTAMP in df.columns:
+        df = df.repartition(partition_by, F.year(TIMESTAMP))
     if TIMESTAMP in df.columns:
         keys = [c for c in (STATION, TIMESTAMP) if c in df.columns]
         df = df.sortWithinPartitions(*keys)

@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from skygauge.functions.numeric import lenient_double
+from skygauge.operators import merge
 from skygauge.schemas import RAW, WEATHER
 from skygauge.sources import payloads, tables
 
@@ -89,6 +90,17 @@ def test_parquet_partitions_and_nan(spark, tmp_path):
     assert back.filter(F.col("pm2_5").isNull()).count() == 1
 
 
+def test_station_folders(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    df = to_spark(spark, raw_frame(40)).repartition(7)
+    tables.write_table(df, path, partition_by="station")
+    assert sorted(p.name for p in (tmp_path / "raw").glob("station=*")) == ["station=S0", "station=S1"]
+    assert len(list((tmp_path / "raw").glob("station=*/*.parquet"))) == 2
+    back = tables.read_parquet(spark, path)
+    assert back.filter("station = 'S1'").count() == 40
+    assert merge.in_time_order(back).first().station == "S0"
+
+
 def test_nothing_new_keeps_the_old_table(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([(1,)], "x int")
