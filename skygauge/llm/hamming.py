@@ -10,10 +10,12 @@ distance: 31 of 96 symbols. At a similarity of exactly 0.85, a pair is further a
 probability of 6e-6, at 0.9 of 4e-10.
 
 Texts with the same words are one class with one signature. Under a key, every class is paired
-with the smallest one (a star, not all pairs); links are confirmed on full shingle sets and
-joined to components; only then are other pairs formed, and only between classes that share a
-key but no component. So no confirmed link between components can be missing, and a large
-group of near copies costs a number of pairs in proportion to its size.
+with the one that meets most others (a star, not all pairs); links are confirmed on full shingle
+sets and joined to components; only then are other classes compared: those that share a key but no
+component, if sizes and signature distance allow a link. So no link between components can be
+missing, and members of a large group that are linked with its centre are not paired with each
+other. Where very many classes of different components share keys (copies that were changed more
+and more), they are compared in blocks in memory, and only links come out of a task.
 
 Defined results: no words or null text: no shingles, no link, a component of its own; fewer
 words than a shingle: their sequence is the one shingle; a repeated row links with its
@@ -24,11 +26,12 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skygauge.llm.components import components
@@ -42,36 +45,59 @@ CHUNK_SYMBOLS = 6
 ERRORS = 1
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 MOST_DISTANCE = CHUNKS * (ERRORS + 1) - 1
-SYMBOL_BITS = 16
+# A chunk's symbols fill one long.
+SYMBOL_BITS = 10
 # Shingles hashed at a time, so that a very long text needs no more memory for it.
 SLICE = 4096
+# Keys under which more classes than this meet are compared in blocks of about BLOCK classes.
+DENSE_KEY = 64
+BLOCK = 256
 
 _SEEDS = mixed(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = (_SEEDS[:SYMBOLS] | np.uint64(1))[:, None]
 _SHIFTS = _SEEDS[SYMBOLS:][:, None]
+_LANES = np.arange(CHUNK_SYMBOLS, dtype=np.uint64) * np.uint64(SYMBOL_BITS)
+_SYMBOL = np.uint64((1 << SYMBOL_BITS) - 1)
+# The highest bit of each lane of a long, and all bits below them.
+_HIGH = sum(1 << (SYMBOL_BITS * k + SYMBOL_BITS - 1) for k in range(CHUNK_SYMBOLS))
+_LOW = sum(((1 << (SYMBOL_BITS - 1)) - 1) << (SYMBOL_BITS * k) for k in range(CHUNK_SYMBOLS))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Low bits of the minimum of each hash function over the shingles."""
+    """Low bits of the minimum of each hash function over the shingles, a long per chunk."""
     least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), SLICE):
         part = shingles[None, at : at + SLICE]
         np.minimum(least, (part * _FACTORS + _SHIFTS).min(axis=1), out=least)
-    return mixed(least).astype(f"<u{SYMBOL_BITS // 8}")
+    symbols = (mixed(least) & _SYMBOL).reshape(CHUNKS, CHUNK_SYMBOLS)
+    return np.bitwise_or.reduce(symbols << _LANES, axis=1).view(np.int64)
 
 
 def chunk_keys(signatures: np.ndarray) -> np.ndarray:
-    """(rows, CHUNKS * CHUNK_SYMBOLS): a key for each chunk and each symbol left out of it."""
-    chunks = signatures.reshape(-1, CHUNKS, CHUNK_SYMBOLS).astype(np.uint64)
+    """(rows, SYMBOLS): a key for each chunk and each symbol left out of it, in that order."""
+    chunks = (signatures.view(np.uint64)[:, :, None] >> _LANES) & _SYMBOL
     place = np.arange(CHUNKS, dtype=np.uint64)[None, :] * np.uint64(CHUNK_SYMBOLS)
-    keys = []
+    keys = np.empty(chunks.shape, np.uint64)
     for out in range(CHUNK_SYMBOLS):
         key = np.broadcast_to(mixed(place + np.uint64(out + 1)), chunks.shape[:2])
         for k in range(CHUNK_SYMBOLS):
             if k != out:
                 key = mixed(key * np.uint64(31) + chunks[:, :, k])
-        keys.append(key)
-    return np.concatenate(keys, axis=1).view(np.int64)
+        keys[:, :, out] = key
+    return keys.reshape(len(keys), SYMBOLS).view(np.int64)
+
+
+def _differing(a: str, b: str, chunk: int) -> Column:
+    """Number of symbols of a chunk in which the signatures in columns ``a`` and ``b`` differ."""
+    x = F.col(a)[chunk].bitwiseXOR(F.col(b)[chunk])
+    return F.bit_count((x.bitwiseAND(_LOW) + F.lit(_LOW)).bitwiseOR(x).bitwiseAND(_HIGH))
+
+
+def _may_link(a: str, b: str, n_a: str, n_b: str) -> Column:
+    """Whether signature distance and set sizes allow a link."""
+    distance = reduce(lambda x, y: x + y, [_differing(a, b, c) for c in range(CHUNKS)])
+    small, large = F.least(n_a, n_b), F.greatest(n_a, n_b)
+    return (100 * small >= LEAST_PERCENT * large) & (distance <= MOST_DISTANCE)
 
 
 def _start_features():
@@ -83,7 +109,7 @@ def _start_features():
             words = words_of(text)
             shingles = shingle_hashes(hashes.of(words), WIDTH)
             same = xxhash.xxh3_128_digest(b" ".join(words))
-            rows.append((same, len(shingles), signature(shingles).tobytes() if len(shingles) else None))
+            rows.append((same, len(shingles), signature(shingles) if len(shingles) else None))
         return rows
 
     return features
@@ -93,23 +119,8 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for at in range(0, len(batch), 1000):
             part = batch.iloc[at : at + 1000]
-            signatures = np.stack([np.frombuffer(s, f"<u{SYMBOL_BITS // 8}") for s in part["sig"]])
-            keys = chunk_keys(signatures)
-            yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), keys.shape[1]), "key": keys.ravel()})
-
-
-def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs whose sizes and signature distance allow a link."""
-    for batch in batches:
-        if len(batch):
-            one, other = (
-                np.frombuffer(b"".join(batch[c]), f"<u{SYMBOL_BITS // 8}").reshape(-1, SYMBOLS)
-                for c in ("sig_a", "sig_b")
-            )
-            small = np.minimum(batch["n_a"], batch["n_b"])
-            large = np.maximum(batch["n_a"], batch["n_b"])
-            good = ((one != other).sum(axis=1) <= MOST_DISTANCE) & (100 * small >= LEAST_PERCENT * large)
-            yield batch.loc[good.to_numpy(), ["a", "b"]]
+            keys = chunk_keys(np.stack(part["sig"].to_numpy()))
+            yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), SYMBOLS), "key": keys.ravel()})
 
 
 def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,7 +149,8 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFram
     near = stage(
         pairs.join(side(nodes, "a", ["n", "sig"]), "a")
         .join(side(nodes, "b", ["n", "sig"]), "b")
-        .mapInPandas(_near, PAIRS),
+        .filter(_may_link("sig_a", "sig_b", "n_a", "n_b"))
+        .select("a", "b"),
         "near",
     )
     return stage(
@@ -149,6 +161,90 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFram
     )
 
 
+def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between the classes of two blocks (or within one) that join components.
+
+    A link is left out if the links found before it, or the components given, imply it.
+    """
+    hashes = WordHashes()
+    rows = rows.sort_values("node", ignore_index=True)
+    nodes, n = rows["node"].to_numpy(), rows["n"].to_numpy()
+    chunks = np.stack(rows["sig"].to_numpy()).view(np.uint64)
+    symbols = ((chunks[:, :, None] >> _LANES) & _SYMBOL).astype(np.uint16).reshape(len(rows), SYMBOLS)
+    # Labels as small numbers that are merged when a link is found.
+    labels = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
+    blocks = rows["block"].to_numpy()
+    one_block = (blocks == blocks[0]).all()
+    sets: dict[int, np.ndarray] = {}
+
+    def shingles(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = shingle_hashes(hashes.of(words_of(rows["text"][k])), WIDTH)
+        return sets[k]
+
+    found = []
+    for i in range(len(rows)):
+        j = np.arange(i + 1, len(rows))
+        if not one_block:
+            j = j[blocks[j] != blocks[i]]
+        j = j[labels[j] != labels[i]]
+        j = j[100 * np.minimum(n[j], n[i]) >= LEAST_PERCENT * np.maximum(n[j], n[i])]
+        distance = (symbols[j] != symbols[i]).sum(axis=1)
+        near = distance <= MOST_DISTANCE
+        for k in j[near][np.argsort(distance[near], kind="stable")]:
+            if labels[k] != labels[i]:
+                common = len(np.intersect1d(shingles(i), shingles(k), assume_unique=True))
+                if 100 * common >= LEAST_PERCENT * (n[i] + n[k] - common):
+                    found.append((nodes[i], nodes[k]))
+                    labels[labels == labels[k]] = labels[i]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def _dense_links(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between components among classes that meet under dense keys.
+
+    Classes that meet are one cluster. Its largest component needs no comparison with itself: the
+    others, in blocks, are compared with all blocks. Two blocks are one group of bounded size;
+    signatures are compared in memory, and only links come out.
+    """
+    spark = open_.sparkSession
+    centre = open_.groupBy("key").agg(F.min("node").alias("a"))
+    edges = open_.join(stage(centre, "dense"), "key").select("a", F.col("node").alias("b")).distinct()
+    members = open_.select("node", "label", "n", "sig").dropDuplicates(["node"])
+    placed = stage(
+        members.join(components(edges).withColumnRenamed("label", "cluster"), "node"), "clusters"
+    )
+    per_label = placed.groupBy("cluster", "label").agg(F.count("*").alias("rows"))
+    main = per_label.groupBy("cluster").agg(
+        F.max(F.struct("rows", "label")).alias("main"), F.sum("rows").alias("all")
+    )
+    blocks = lambda rows: F.ceil(rows / BLOCK).cast("long")
+    sized = stage(
+        main.select(
+            "cluster", F.col("main.label").alias("main"),
+            blocks(F.col("all") - F.col("main.rows")).alias("outer"), blocks(F.col("main.rows")).alias("inner"),
+        ),
+        "cluster sizes",
+    )
+    dealt = placed.join(sized, "cluster").withColumn(
+        "block",
+        F.when(F.col("label") == F.col("main"), F.col("outer") + F.pmod(F.xxhash64("node"), F.col("inner")))
+        .otherwise(F.pmod(F.xxhash64("node"), F.col("outer"))),
+    )
+    last = F.when(F.col("block") < F.col("outer"), F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1
+    units = (
+        dealt.filter("outer > 0")
+        .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        .join(texts, "node")
+        .select(
+            "cluster", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"),
+            "block", "node", "label", "n", "sig", "text",
+        )
+    )
+    ship_package(spark)
+    return stage(units.groupBy("cluster", "low", "high").applyInPandas(_block_links, PAIRS), "links")
+
+
 def near_groups(docs: DataFrame, row_id: str | None = None) -> DataFrame:
     """One row per row of ``docs``: rid, doc_id, n_shingles, component_id, kept.
 
@@ -159,7 +255,7 @@ def near_groups(docs: DataFrame, row_id: str | None = None) -> DataFrame:
     rid = (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("rid")
     numbered = docs.select(rid, "doc_id", "text")
     features = stage(
-        per_text(numbered, _start_features, {"same": "binary", "n": "int", "sig": "binary"}), "features"
+        per_text(numbered, _start_features, {"same": "binary", "n": "int", "sig": "array<long>"}), "features"
     )
     classes = stage(
         features.groupBy("same").agg(F.min("rid").alias("node"), F.max("n").alias("n"), F.max("sig").alias("sig")),
@@ -167,47 +263,58 @@ def near_groups(docs: DataFrame, row_id: str | None = None) -> DataFrame:
     )
     nodes = classes.filter("n > 0").select("node", "n", "sig")
     keys = nodes.select("node", "sig").mapInPandas(_keys, "node long, key long")
-    shared = (
+    shared = stage(
         keys.groupBy("key")
-        .agg(F.min("node").alias("first"), F.max("node").alias("last"))
+        .agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("size"))
         .filter("first < last")
-        .select("key", "first")
+        .select("key", "size"),
+        "shared",
+    )
+    met = stage(keys.join(shared, "key"), "met")
+    # Who meets most others is most likely linked with them: the centre of each key's star.
+    fame = met.groupBy("node").agg(F.sum("size").alias("fame"))
+    famed = stage(met.join(fame, "node"), "famed")
+    centres = famed.groupBy("key").agg(F.max(F.struct("fame", "node")).alias("centre"))
+    stars = (
+        met.join(stage(centres.select("key", F.col("centre.node").alias("centre")), "centres"), "key")
+        .filter("node <> centre")
+        .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+        .distinct()
     )
-    met = stage(keys.join(stage(shared, "shared"), "key"), "met")
-    meeting = met.select("node").distinct()
+    stars = stage(stars, "stars")
     texts = stage(
-        numbered.join(meeting, F.col("rid") == F.col("node"), "left_semi").select(
+        numbered.join(met.select("node").distinct(), F.col("rid") == F.col("node"), "left_semi").select(
             F.col("rid").alias("node"), "text"
         ),
         "texts",
     )
-    stars = met.filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = _confirmed(stars, nodes, texts)
     labels = components(links)
     # Keys under which more than one component meets; a class without links is its own.
     placed = stage(
-        met.select("key", "node").join(labels, "node", "left")
-        .select("key", "node", F.coalesce("label", "node").alias("label")),
+        met.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")),
         "placed",
-    )
+    )
     mixed_keys = (
         placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
         .filter("low < high").select("key")
     )
-    open_ = stage(placed.join(mixed_keys, "key", "left_semi"), "open").join(nodes.select("node", "n"), "node")
-    one, other = open_.alias("x"), open_.alias("y")
-    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    open_ = stage(
+        placed.join(mixed_keys, "key", "left_semi").join(shared, "key").join(nodes.select("node", "n", "sig"), "node"), "open"
+    )
+    sparse = open_.filter(F.col("size") <= DENSE_KEY)
     across = (
-        one.join(
-            other,
+        sparse.alias("x")
+        .join(
+            sparse.alias("y"),
             (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))
-            & (100 * small >= LEAST_PERCENT * large),
+            & _may_link("x.sig", "y.sig", "x.n", "y.n"),
         )
         .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         .distinct()
+        .join(stars, ["a", "b"], "left_anti")
     )
-    across = across.join(stars, ["a", "b"], "left_anti")
-    more = _confirmed(across, nodes, texts)
+    more = _confirmed(across, nodes, texts).union(_dense_links(open_.filter(F.col("size") > DENSE_KEY), texts))
     if not more.isEmpty():
         labels = components(links.union(more))
     placed_rows = (

@@ -43,7 +43,7 @@ FROM cut
 RULES = rf"""
 WITH docs AS (
   SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
 grams AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i : i + 4]) AS n, len(w) AS n_words
@@ -52,11 +52,11 @@ repeated AS (
   SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
   FROM grams, unnest(range(0, 5)) AS t(k) WHERE n > 1 GROUP BY doc_id),
 measured AS (
-  SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS BIGINT) AS word_chars,
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
     len(lines) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-    len(list_filter(w, x -> regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]') AND strlen(x) > 1)) AS n_shouted,
-    len(list_filter(w, x -> x LIKE '%!!')) AS n_marked
+    len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]') AND strlen(x) > 1)) AS n_shouted,
+    len(list_filter(w, lambda x: x LIKE '%!!')) AS n_marked
   FROM docs LEFT JOIN repeated USING (doc_id)),
 failed AS (
   SELECT *,
@@ -85,15 +85,15 @@ WITH RECURSIVE docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x20\x09-\x0D]+') AS w FROM documents),
 shingles AS (
-  SELECT DISTINCT doc_id, list_reduce(w[i : i + 4], (a, b) -> a || ' ' || b) AS s
+  SELECT DISTINCT doc_id, list_reduce(w[i : i + 4], lambda a, b: a || ' ' || b) AS s
   FROM docs, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 common AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS inter
   FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
 links AS (
   SELECT a, b FROM common JOIN sizes m ON a = m.doc_id JOIN sizes n ON b = n.doc_id
-  WHERE 100 * both >= 85 * (m.n + n.n - both)),
+  WHERE 100 * inter >= 85 * (m.n + n.n - inter)),
 reach AS (
   SELECT doc_id AS a, doc_id AS b FROM docs UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
