@@ -10,7 +10,7 @@ rounds of expectation and maximisation: each word of the corpus, with its count,
 all its segmentations. The vocabulary is fixed; only the weights are fitted, from all training
 documents. The base model is a word unigram model with add-one smoothing.
 
-At scale: word counts are aggregates with a partial step. The HEAD most frequent words and the
+At scale: word counts are aggregates with a partial step, and each distinct word is scored once. The HEAD most frequent words and the
 pieces (bounded numbers) are sent to all tasks; all other words of a document are joined with the
 counts by word. The join has no hot key, as every frequent word is in the head.
 
@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skygauge.llm.text import CACHE_WORDS, per_text, words_of
+from skygauge.llm.text import per_text, words_of
 from skygauge.session import ship_package, stage
 
 HEAD = 1 << 16
-ROUNDS = 2
+ROUNDS = 1
 PSEUDO_COUNT = 0.1
 FOLDS, HELD_OUT = 7, 2
 WORD_MARK = b" "
@@ -77,78 +77,99 @@ class Lattice:
     """All segmentations of a word under given log weights."""
 
     def __init__(self, weights: Weights):
-        self.weights = weights
-        self.longest = max(map(len, weights))
-        self.known: dict[bytes, float] = {}
-
-    def forward(self, word: bytes) -> list[float]:
-        """Log weight of all segmentations of each beginning of the word."""
-        get, longest = self.weights.get, self.longest
-        alpha = [0.0]
-        for end in range(1, len(word) + 1):
-            terms = []
-            for start in range(max(0, end - longest), end):
-                w = get(word[start:end])
-                if w is not None:
-                    terms.append(alpha[start] + w)
-            top = max(terms)
-            alpha.append(top if len(terms) == 1 else top + log(sum([exp(t - top) for t in terms])))
+        import ahocorasick
+
+        self.pieces = ahocorasick.Automaton()
+        for piece, weight in weights.items():
+            self.pieces.add_word(piece.decode("latin-1"), (len(piece), weight, piece))
+        self.pieces.make_automaton()
+
+    def arcs(self, word: bytes) -> list[tuple[int, int, float, bytes]]:
+        """(start, end, weight, piece) of all pieces in a word, by their ends."""
+        found = self.pieces.iter((WORD_MARK + word).decode("latin-1"))
+        return [(end + 1 - n, end + 1, weight, piece) for end, (n, weight, piece) in found]
+
+    @staticmethod
+    def forward(arcs: list[tuple], length: int) -> list[float]:
+        """Log weight of all segmentations of each beginning of a word."""
+        alpha = [-inf] * (length + 1)
+        alpha[0] = 0.0
+        at, terms = 0, [0.0]
+        for start, end, weight, _ in arcs:
+            if end != at:
+                if len(terms) > 1:
+                    top = max(terms)
+                    alpha[at] = top + log(sum([exp(t - top) for t in terms]))
+                else:
+                    alpha[at] = terms[0]
+                at, terms = end, []
+            terms.append(alpha[start] + weight)
+        top = max(terms)
+        alpha[at] = top + log(sum([exp(t - top) for t in terms]))
         return alpha
 
     def log10(self, word: bytes) -> float:
         """log10 of the probability of a word, its mark included."""
-        value = self.known.get(word)
-        if value is None:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-            value = self.known[word] = self.forward(WORD_MARK + word)[-1] / log(10)
-        return value
+        return self.forward(self.arcs(word), len(word) + 1)[-1] / log(10)
 
     def expected(self, word: bytes, count: float, into: dict[bytes, float]) -> None:
         """Adds the expected number of times each piece is used in ``count`` such words."""
-        word = WORD_MARK + word
-        get, longest, n = self.weights.get, self.longest, len(word)
-        alpha = self.forward(word)
+        arcs = self.arcs(word)
+        n = len(word) + 1
+        alpha = self.forward(arcs, n)
         total = alpha[n]
-        beta = [-inf] * n + [0.0]
+        # From the last arc on, a start's arcs all end at places that are complete.
+        beta = [0.0] * (n + 1)
+        by_start: list[list[tuple]] = [[] for _ in range(n)]
+        for arc in arcs:
+            by_start[arc[0]].append(arc)
         for start in range(n - 1, -1, -1):
-            terms = []
-            for end in range(start + 1, min(n, start + longest) + 1):
-                piece = word[start:end]
-                w = get(piece)
-                if w is not None:
-                    after = w + beta[end]
-                    terms.append(after)
-                    use = count * exp(alpha[start] + after - total)
-                    if use:
-                        into[piece] = into.get(piece, 0.0) + use
+            own = by_start[start]
+            terms = [weight + beta[end] for _, end, weight, _ in own]
+            for arc, term in zip(own, terms, strict=True):
+                into[arc[3]] = into.get(arc[3], 0.0) + count * exp(alpha[start] + term - total)
             top = max(terms)
-            beta[start] = top + log(sum([exp(t - top) for t in terms]))
+            beta[start] = top + log(sum([exp(t - top) for t in terms])) if len(terms) > 1 else top
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all documents given; words in lower case."""
+    """(word, n, seen) over all documents; n counts those not ``held_out``, seen counts all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        counts: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
 
         def made():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"]
-            )
+            words = [*counts[0], *counts[1]]
+            n = [*counts[0].values(), *[0] * len(counts[1])]
+            seen = [*counts[0].values(), *counts[1].values()]
+            arrays = [pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array(seen, pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, names=["word", "n", "seen"])
 
         for batch in batches:
-            for text in batch.column("text"):
-                counts.update(words_of(text.as_py()))
-                if len(counts) > COUNTED_AT_ONCE:
+            for text, out in zip(batch.column("text"), batch.column("held_out").to_pylist(), strict=True):
+                counts[out].update(words_of(text.as_py()))
+                if len(counts[0]) + len(counts[1]) > COUNTED_AT_ONCE:
                     yield made()
-                    counts.clear()
-        if counts:
-            yield made()
+                    counts[0].clear()
+                    counts[1].clear()
+        yield made()
 
     ship_package(docs.sparkSession)
-    counted = docs.select("text").mapInArrow(run, "word binary, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select("text", "held_out").mapInArrow(run, "word binary, n long, seen long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+
+
+def word_scores(counts: DataFrame, weights: Weights) -> DataFrame:
+    """``counts`` (word, n, seen) with ``log10`` of each word's probability."""
+    sent = counts.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(sent.value)
+        for batch in batches:
+            values = pa.array([lattice.log10(w) for w in batch.column("word").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, "log10"])
+
+    return counts.mapInArrow(run, "word binary, n long, seen long, log10 double")
 
 
 def fit(counts: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> tuple[Weights, float]:
@@ -184,19 +205,21 @@ def score(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per row."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    training = rows.filter(~F.col("held_out"))
-    counts = stage(word_counts(training), "words")
-    found = counts.agg(F.sum("n").alias("n"), F.count("*").alias("words")).first()
-    ends = training.count()
+    counts = stage(word_counts(rows), "words")
+    known = counts.filter("n > 0")
+    found = known.agg(F.sum("n").alias("n"), F.count("*").alias("words")).first()
+    ends = rows.filter(~F.col("held_out")).count()
     all_tokens = (found["n"] or 0) + ends
     distinct = found["words"] + (1 if ends else 0)
-    weights, end = fit(counts, ends, path)
-    frequent = {bytes(r["word"]): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(head).collect()}
-    sent = spark.sparkContext.broadcast((weights, {w: log10(n + 1) for w, n in frequent.items()}))
+    weights, end = fit(known, ends, path)
+    words = stage(word_scores(counts, weights), "word scores")
+    frequent = words.orderBy(F.desc("seen"), "word").limit(head).collect()
+    sent = spark.sparkContext.broadcast(
+        {bytes(r["word"]): (r["n"], log10(r["n"] + 1), r["log10"]) for r in frequent}
+    )
 
     def start():
-        pieces, logs = sent.value
-        lattice = Lattice(pieces)
+        values = sent.value
 
         def scores(texts):
             out = []
@@ -204,13 +227,13 @@ def score(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
                 words = Counter(words_of(text))
                 known, base, total, rare = 0, 0.0, 0.0, []
                 for word, k in words.items():
-                    total += k * lattice.log10(word)
-                    value = logs.get(word)
+                    value = values.get(word)
                     if value is None:
                         rare.append((word, k))
                     else:
-                        known += k
-                        base += k * value
+                        known += k if value[0] else 0
+                        base += k * value[1]
+                        total += k * value[2]
                 out.append((words.total() + 1, known, base, total + end / log(10), [w for w, _ in rare], [k for _, k in rare]))
             return out
 
@@ -224,9 +247,13 @@ def score(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
         "rid", F.col("w.words").alias("word"), F.col("w.ks").alias("k")
     )
     rest = (
-        rare.join(counts, "word")
+        rare.join(words, "word")
         .groupBy("rid")
-        .agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("more_base"))
+        .agg(
+            F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("more"),
+            F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("more_base"),
+            F.sum(F.col("k") * F.col("log10")).alias("more_score"),
+        )
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return (
@@ -239,6 +266,6 @@ def score(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
                 F.col("base") + zero("more_base") + log10(ends + 1)
                 - F.col("tokens") * log10(all_tokens + distinct + 1)
             ).alias("base_score"),
-            "score",
+            (F.col("score") + zero("more_score")).alias("score"),
         )
     )

@@ -18,6 +18,7 @@ a null doc_id is packed as any other; an empty table gives no rows; other column
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -39,14 +40,19 @@ GENERATIONS = 6
 POPULATION = 4
 # Entries of each of the two halves of a worker's memory of tokenized words.
 KNOWN_WORDS = 250_000
+MARKS = ".,;:!?"
+RAW = "\x01"
+# Space that isn't one blank or line end between two other characters.
+IRREGULAR = re.compile(rf"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$|{RAW}")
 
 
 class WordIds:
     """Token ids of texts, word by word.
 
-    The byte-level pre-tokenizer never joins a blank's left side with what follows it, unless
-    there is more space around the blank. So a text may be cut before each blank that stands
-    between two characters that aren't spaces, and equal words have equal ids.
+    The pre-tokenizer never joins what stands on the two sides of a single blank or line end: a
+    blank begins the next token, a line end is a token of its own. So a text may be cut there, and
+    equal words have equal ids. A key stands for what is encoded: a word for itself after a blank, a
+    word after a line end for both, and RAW with any text for that text.
     """
 
     def __init__(self, path: str):
@@ -57,9 +63,19 @@ class WordIds:
         self.tokenizer.encode_special_tokens = True
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.marks = dict(zip(MARKS, self.encode(list(MARKS)), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        return [array("I", found.ids).tobytes() for found in encoded]
 
     @staticmethod
-    def cut(text: str) -> list[str]:
+    def keys(text: str) -> list[str]:
+        """What a text is cut into."""
+        if IRREGULAR.search(text) is None:
+            keys = text.replace("\n", " \n").split(" ")
+            keys[0] = RAW + keys[0]
+            return keys
         words = text.split(" ")
         out = words[:1]
         for word in words[1:]:
@@ -67,24 +83,29 @@ class WordIds:
                 out.append(" " + word)
             else:
                 out[-1] += " " + word
-        return [w for w in out if w]
+        plain = lambda w: len(w) > 1 and w[0] == " " and w[1] != RAW and not IRREGULAR.search(w[1:]) and "\n" not in w
+        return [w[1:] if plain(w) else RAW + w for w in out]
+
+    @staticmethod
+    def meant(key: str) -> str:
+        return key[1:] if key[:1] == RAW else key if key[:1] == "\n" else " " + key
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self.cut(t) for t in texts]
-        missing = set().union(*cut) - self.new.keys()
+        cut = [self.keys(t) for t in texts]
+        words = set().union(*cut)
+        missing = words - self.new.keys()
         if len(self.new) + len(missing) > KNOWN_WORDS:
             self.old, self.new = self.new, {}
-            missing = set().union(*cut)
-        unknown = []
-        for word in missing:
-            known = self.old.get(word)
-            if known is None:
-                unknown.append(word)
-            else:
-                self.new[word] = known
-        for word, found in zip(unknown, self.tokenizer.encode_batch(unknown, add_special_tokens=False), strict=True):
-            self.new[word] = array("I", found.ids).tobytes()
+            missing = words
+        again = missing & self.old.keys()
+        self.new.update((w, self.old[w]) for w in again)
+        # A letter and one mark after it are never one token: both are looked up alone.
+        unknown = missing - again
+        marked = {w for w in unknown if w[-1:] in self.marks and w[-2:-1].isalpha()}
+        todo = list((unknown - marked) | ({w[:-1] for w in marked} - self.new.keys()))
+        self.new.update(zip(todo, self.encode([self.meant(w) for w in todo]), strict=True))
+        self.new.update((w, self.new[w[:-1]] + self.marks[w[-1]]) for w in marked)
         get = self.new.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
