@@ -38,8 +38,16 @@ def backtest_origins(
 
 def align_actuals(predictions: DataFrame, featured: DataFrame) -> DataFrame:
     """Adds the observed value ``horizon_hour`` rows after the origin (``pos``)."""
-    actuals = positioned(featured).select(
-        STATION, F.col(POS).alias("_at"), F.col(TARGET).alias("actual")
+    reach = predictions.groupBy(STATION).agg(
+        F.min(POS).alias("_from"), F.max(F.col(POS) + F.col("horizon_hour")).alias("_to")
+    )
+    # Only rows that a prediction can reach are shuffled for the join by position.
+    actuals = (
+        positioned(featured)
+        .select(STATION, F.col(POS).alias("_at"), F.col(TARGET).alias("actual"))
+        .join(reach, STATION)
+        .filter(F.col("_at").between(F.col("_from"), F.col("_to")))
+        .drop("_from", "_to")
     )
     shifted = predictions.withColumn("_at", F.col(POS) + F.col("horizon_hour"))
     return shifted.join(actuals, [STATION, "_at"]).drop("_at")

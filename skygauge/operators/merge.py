@@ -58,14 +58,16 @@ def historical_only(df: DataFrame) -> DataFrame:
     return df.filter(~F.col("is_forecast")) if "is_forecast" in df.columns else df
 
 
-def trailing_range(df: DataFrame, as_of: dt.date, days: int = 365) -> DataFrame:
+def trailing_range(
+    df: DataFrame, as_of: dt.date, days: int = 365, by: str = TIMESTAMP
+) -> DataFrame:
     """Rows from ``as_of - days`` up to the end of the day before ``as_of``.
 
     Plain bounds on the column, so they reach the Parquet scan.
     """
     start = F.lit(str(as_of - dt.timedelta(days=days))).cast("timestamp_ntz")
     end = F.lit(str(as_of)).cast("timestamp_ntz")
-    return df.filter((F.col(TIMESTAMP) >= start) & (F.col(TIMESTAMP) < end))
+    return df.filter((F.col(by) >= start) & (F.col(by) < end))
 
 
 def require_unique_hours(df: DataFrame) -> DataFrame:

@@ -179,7 +179,7 @@ live AS (
     0.0::DOUBLE AS pressure, 0.0::DOUBLE AS wind_speed, 0.0::DOUBLE AS dew, '{LIVE_SOURCE}' AS source
   FROM (SELECT 'S' || (user_id // 40) AS station, ts, user_id, value, event_type,
           CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
-  WHERE event_type = 'signup' AND k NOT IN (0, 1)),
+  WHERE k NOT IN (0, 1)),
 stub_metrics AS (
   SELECT model, ordinal, avg(abs(pm2_5 - prediction)) AS mae,
     sqrt(avg((pm2_5 - prediction) * (pm2_5 - prediction))) AS rmse,
@@ -275,7 +275,7 @@ GROUP BY label, h"""
 # -- reports ----------------------------------------------------------------------------
 
 
-def _conditions(aqi: str, pm2_5: str, pick, source: str, tables: str) -> str:
+def _conditions(aqi: str, pm2_5: str, pick, source: str, tables: str, station: str = "f.station") -> str:
     def one(v: str) -> str:
         return f"round_even(coalesce({v}, 0.0::DOUBLE), 1)"
 
@@ -285,7 +285,7 @@ def _conditions(aqi: str, pm2_5: str, pick, source: str, tables: str) -> str:
     return f"""
 SELECT station, aqi, pm2_5, pm10, temperature, humidity, wind_speed, pressure,
   {label('aqi', 2)} AS category, {label('aqi', 3)} AS advice, {label('aqi', 4)} AS colour, source
-FROM (SELECT f.station, {aqi} AS aqi, {one(pm2_5)} AS pm2_5, {one('f.pm10')} AS pm10,
+FROM (SELECT {station} AS station, {aqi} AS aqi, {one(pm2_5)} AS pm2_5, {one('f.pm10')} AS pm10,
     {one(pick('temperature'))} AS temperature, {whole(pick('humidity'))} AS humidity,
     {one(pick('wind_speed'))} AS wind_speed, {whole(pick('pressure'))} AS pressure, {source} AS source
   FROM {tables})"""
@@ -293,13 +293,9 @@ FROM (SELECT f.station, {aqi} AS aqi, {one(pm2_5)} AS pm2_5, {one('f.pm10')} AS
 
 _REPORT_AQI = f"coalesce({index('pm2_5', 'pm2_5')}, 0)"
 _MODEL_AQI = f"coalesce({index('f.pm2_5', 'pm2_5')}, 0)"
-_LIVE_LATEST = """live_once AS (
+_LIVE_LATEST = """live_latest AS (
   SELECT * EXCLUDE (c) FROM (SELECT *, row_number() OVER (
-      PARTITION BY station, timestamp ORDER BY aqi_live, station_name, aqi_live, pm25_live, temperature) AS c FROM live)
-  WHERE c = 1),
-live_latest AS (
-  SELECT * EXCLUDE (c) FROM (SELECT *, row_number() OVER (
-      PARTITION BY station ORDER BY timestamp DESC) AS c FROM live_once) WHERE c = 1)"""
+      PARTITION BY station ORDER BY timestamp DESC, aqi_live DESC, station_name DESC, pm25_live DESC) AS c FROM live) WHERE c = 1)"""
 
 _band = " ".join(f"WHEN aqi_predicted <= {hi} THEN {{}}" for _, hi, _ in FORECAST_BANDS)
 
@@ -464,7 +460,8 @@ ORDER BY md5(station || '|' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') || '|42'
             "CASE WHEN l.station IS NOT NULL THEN l.pm25_live ELSE f.pm2_5 END",
             lambda c: f"CASE WHEN l.station IS NOT NULL THEN l.{c} ELSE f.{c} END",
             f"CASE WHEN l.station IS NOT NULL THEN '{LIVE_SOURCE}' ELSE '{MODEL_SOURCE}' END",
-            "latest f LEFT JOIN live_latest l ON l.station = f.station",
+            "latest f FULL JOIN live_latest l ON l.station = f.station",
+            "coalesce(f.station, l.station)",
         ),
         _LIVE_LATEST,
     ),
@@ -497,9 +494,8 @@ FROM ({_levels}) JOIN (VALUES {_limits}) AS l(pollutant, "limit") USING (polluta
         f"""SELECT station, timestamp, readings, pm2_5, {_REPORT_AQI} AS aqi, {label(_REPORT_AQI, 1)} AS category
 FROM (
   SELECT station, timestamp, count(*) AS readings, sum(cents)::DOUBLE / (100 * count(*)) AS pm2_5
-  FROM (SELECT DISTINCT 'S' || (user_id // 40) AS station, date_trunc('hour', ts) AS timestamp, ts,
+  FROM (SELECT DISTINCT 'S' || (user_id // 40) AS station, date_trunc('hour', ts) AS timestamp, ts, user_id,
       CAST(round(value * 100) AS BIGINT) AS cents FROM events WHERE event_type = 'click')
-  GROUP BY station, timestamp)
-WHERE timestamp + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events WHERE event_type = 'click') - INTERVAL 2 HOUR"""
+  GROUP BY station, timestamp)"""
     ),
 }

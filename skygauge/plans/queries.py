@@ -150,7 +150,9 @@ def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trailing_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.trailing_range(sensor_log.pollutant_readings(spark, sf_dir), AS_OF, 10)
+    # The bounds are whole hours, so they hold for events as well and reach the scan.
+    in_range = lambda events: merge.trailing_range(events, AS_OF, 10, "ts")
+    return sensor_log.pollutant_readings(spark, sf_dir, in_range)
 
 
 def regular_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,11 +387,7 @@ def latest_per_station(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def current_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Two readings of a station within a second: the larger row is the later one.
-    live_rows = merge.keep_first(
-        tables.live_readings(spark, sf_dir), KEYS, [F.col("aqi_live"), F.col("station_name")]
-    )
-    return reports.current_conditions(tables.featured(spark, sf_dir), live_rows)
+    return reports.current_conditions(tables.featured(spark, sf_dir), tables.live_readings(spark, sf_dir))
 
 
 def current_conditions_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,9 +425,10 @@ def live_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias(TIMESTAMP),
         F.round(F.col("value") * 100).cast("long").alias("value"),
         F.lit(100).alias("weight"),
+        F.col("user_id").alias(live.SENSOR),
         twice.alias("delivery"),
     )
-    return live.drain(live.hourly_live(readings.drop("delivery")))
+    return live.drain(readings.drop("delivery"))
 
 
 # -- fitted models: rows only -----------------------------------------------------------

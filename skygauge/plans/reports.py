@@ -43,6 +43,8 @@ def shown(value: Column) -> Column:
 def current_conditions(featured: DataFrame, live: DataFrame | None = None) -> DataFrame:
     """Per station the live reading if there is one, else the latest feature row.
 
+    A station with a live reading alone has a row as well.
+
     PM10 is not part of a live reading and always comes from the feature row.
     """
     model = latest_rows(featured)
@@ -52,14 +54,16 @@ def current_conditions(featured: DataFrame, live: DataFrame | None = None) -> Da
         joined = model.withColumn("_live", F.lit(False))
         value = {**picks, **{c: F.col(c) for c in same}}
     else:
-        last = latest_rows(live).select(
+        # Of readings with the same time, the largest row counts.
+        newest = F.struct(TIMESTAMP, "aqi_live", "station_name", "pm25_live", *same)
+        last = live.groupBy(STATION).agg(F.max(newest).alias("_row")).select(STATION, "_row.*").select(
             STATION,
             F.lit(True).alias("_live"),
             F.col("aqi_live").alias("l_aqi"),
             F.col("pm25_live").alias("l_pm2_5"),
             *[F.col(c).alias(f"l_{c}") for c in same],
         )
-        joined = model.join(last, STATION, "left")
+        joined = model.join(last, STATION, "full")
         value = {
             name: F.when(F.col("_live"), F.col(f"l_{name}")).otherwise(
                 picks.get(name, F.col(name))

@@ -45,11 +45,11 @@ def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def live_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every ``signup`` event as the JSON text a station reading would land as.
+    """Every event as the JSON text a station reading would land as.
 
     ``k`` plays the index; 0 stands for a failed reading and 1 for a missing index.
     """
-    events = read_events(spark, sf_dir).filter(F.col("event_type") == "signup")
+    events = read_events(spark, sf_dir)
     keyed = events.select(
         station_of_sensor().alias(STATION),
         "ts",

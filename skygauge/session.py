@@ -33,14 +33,21 @@ def get_spark(app: str = "skygauge", master: str | None = None, **conf: str) ->
     return spark
 
 
+def is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, a laptop) gets a folder of its own.
+    Only a session on one machine without that setting (tests, a laptop) gets a folder of its own; on
+    a cluster, executors would not see each other's files, so the setting is required.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
         current = spark.sparkContext.getCheckpointDir()
+        if current is None and not is_local(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = current or tempfile.mkdtemp(prefix="skygauge-")
         if current is None:
             spark.sparkContext.setCheckpointDir(shared)
@@ -69,6 +76,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete everything this application has staged. DataFrames read from it are lost."""
+    root = os.path.join(ensure_checkpoint_dir(spark), "skygauge", spark.sparkContext.applicationId)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _shipped: set[str] = set()
 
 

@@ -93,7 +93,7 @@ def read_live(spark: SparkSession, path: str, source: str = "Ground Station") ->
 def stream_live(
     spark: SparkSession, path: str, source: str = "Ground Station", max_files: int = 1000
 ) -> DataFrame:
-    """The same landing folder as a stream of files."""
+    """The same landing folder as a stream of files; ``max_files`` only sizes its batches."""
     raw = (
         spark.readStream.schema(with_station(LIVE_PAYLOAD))
         .option("multiLine", True)

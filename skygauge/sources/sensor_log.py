@@ -78,8 +78,9 @@ def hourly_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select(STATION, TIMESTAMP, *MEASUREMENTS)
 
 
-def pollutant_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hours = station_events(read_events(spark, sf_dir)).groupBy(STATION, TIMESTAMP)
+def pollutant_readings(spark: SparkSession, sf_dir: str, chosen=lambda events: events) -> DataFrame:
+    """The pollutant half; ``chosen`` may narrow the events before they are summed."""
+    hours = station_events(chosen(read_events(spark, sf_dir))).groupBy(STATION, TIMESTAMP)
     return hours.agg(*_pollutant_aggregates()).select(STATION, TIMESTAMP, *POLLUTANTS)
 
 

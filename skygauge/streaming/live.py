@@ -11,26 +11,25 @@ from skygauge.schemas import STATION, TIMESTAMP
 from skygauge.session import scratch_path
 
 EVENT_TIME = "event_time"
+SENSOR = "sensor"
 
 
-def hourly_live(readings: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """Readings ``(station, timestamp, value, weight)`` to one row per station and hour.
+def hourly_live(readings: DataFrame) -> DataFrame:
+    """Landed readings ``(station, timestamp, value, weight)`` to one row per station and hour.
 
-    Redelivered readings (same station and time) count once, whatever the delivery, as long
-    as the copies come within ``delay``. The state kept is the readings and open hours of
-    that span. ``value`` and ``weight`` are summed and divided, so integer values give a
-    mean that does not depend on the order of arrival.
-
-    Works on a batch as well; there the watermark is without effect.
+    A reading counts once however often and late it is delivered. Readings are told apart by
+    station, time and, if there, ``sensor``; of copies that differ, the smallest stays.
+    ``value`` and ``weight`` are summed and divided, so integer values give a mean that does
+    not depend on the order of arrival.
     """
-    # Watermarks need a zoned timestamp; the session runs in UTC.
-    timed = readings.withColumn(EVENT_TIME, F.col(TIMESTAMP).cast("timestamp"))
-    if readings.isStreaming:
-        once = timed.withWatermark(EVENT_TIME, delay).dropDuplicatesWithinWatermark(
-            [STATION, TIMESTAMP]
-        )
-    else:
-        once = timed.dropDuplicates([STATION, TIMESTAMP])
+    key = [STATION, TIMESTAMP, *(c for c in [SENSOR] if c in readings.columns)]
+    once = (
+        readings.groupBy(*key)
+        .agg(F.min(F.struct("value", "weight")).alias("_first"))
+        .select(*key, "_first.*")
+        # Windows need a zoned timestamp; the session runs in UTC.
+        .withColumn(EVENT_TIME, F.col(TIMESTAMP).cast("timestamp"))
+    )
     hours = once.groupBy(STATION, F.window(EVENT_TIME, "1 hour").alias("hour")).agg(
         F.sum("value").alias("_value"), F.sum("weight").alias("_weight"), F.count("*").alias("readings")
     )
@@ -49,10 +48,14 @@ def live_values(live: DataFrame) -> DataFrame:
     )
 
 
-def start(hours: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append closed hours to a Parquet folder, exactly once; drains what is there."""
+def start(readings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append landed readings to a Parquet folder, exactly once; drains what is there.
+
+    Nothing is left out by its time of arrival: hours are made when the folder is read, from all
+    readings landed so far, so neither the order of files nor their number per batch matters.
+    """
     return (
-        hours.writeStream.format("parquet")
+        readings.writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
@@ -61,9 +64,9 @@ def start(hours: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def drain(hours: DataFrame) -> DataFrame:
-    """Run the stream over all files landed so far and read the closed hours back."""
-    spark = hours.sparkSession
-    path, checkpoint = scratch_path(spark, "live"), scratch_path(spark, "live-state")
-    start(hours, path, checkpoint).awaitTermination()
-    return spark.read.schema(hours.schema).parquet(path)
+def drain(readings: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run the stream over all files landed so far and give the hours of all readings stored."""
+    spark = readings.sparkSession
+    path = path or scratch_path(spark, "live")
+    start(readings, path, checkpoint or scratch_path(spark, "live-state")).awaitTermination()
+    return hourly_live(spark.read.schema(readings.schema).parquet(path))

@@ -1,9 +1,9 @@
 import datetime as dt
 import json
 
-from pyspark.sql import functions as F
+import pytest
 
-from skygauge.functions.calendar import hour_start
+from skygauge.session import is_local, release, scratch_path, stage
 from skygauge.sources import payloads
 from skygauge.streaming import live
 
@@ -21,24 +21,53 @@ def land(folder, i, station, minute, value):
     (target / f"{i:03d}.json").write_text(json.dumps({"status": "ok", "data": data}))
 
 
-def test_stream_equals_batch_for_closed_hours(spark, tmp_path):
+def rows(df):
+    return sorted(map(str, df.collect()))
+
+
+@pytest.mark.parametrize("max_files", [1, 1000])
+def test_stream_equals_batch_whatever_the_order(spark, tmp_path, max_files):
     i = 0
-    for station in ("A", "B"):
-        for minute in range(0, 360, 20):
-            land(tmp_path, i, station, minute, 10.0 + minute % 7)
-            land(tmp_path, i + 1, station, minute, 10.0 + minute % 7)  # delivered twice
-            i += 2
-    streamed = live.drain(
-        live.hourly_live(live.live_values(payloads.stream_live(spark, str(tmp_path), max_files=1000)))
-    )
-    readings = live.live_values(payloads.read_live(spark, str(tmp_path)))
-    batch = live.hourly_live(readings)
-    closed = batch.filter(
-        F.col("timestamp") + F.expr("interval 1 hour")
-        <= F.lit(dt.datetime(2025, 3, 4, 15, 40)) - F.expr("interval 2 hours")
+    for station in ("A", "B"):  # B's backlog lands after all of A
+        for minute in range(0, 240, 60):
+            for _ in range(2):  # delivered twice
+                land(tmp_path, i, station, minute, 10.0 + minute % 7)
+                i += 1
+    readings = live.live_values(payloads.stream_live(spark, str(tmp_path), max_files=max_files))
+    streamed = live.drain(readings)
+    batch = live.hourly_live(live.live_values(payloads.read_live(spark, str(tmp_path))))
+    assert rows(streamed) == rows(batch)
+    assert streamed.count() == 8 and {r.readings for r in streamed.collect()} == {1}
+
+
+def test_redelivery_in_a_later_run_counts_once(spark, tmp_path):
+    landing = tmp_path / "landing"
+    store, state = scratch_path(spark, "live"), scratch_path(spark, "state")
+    for i, minute in enumerate((0, 20, 70)):
+        land(landing, i, "A", minute, 5.0)
+    source = lambda: live.live_values(payloads.stream_live(spark, str(landing)))
+    first = rows(live.drain(source(), store, state))
+    land(landing, 9, "A", 20, 5.0)
+    assert rows(live.drain(source(), store, state)) == first
+    land(landing, 10, "A", 40, 5.0)
+    assert sorted(r.readings for r in live.drain(source(), store, state).collect()) == [1, 3]
+
+
+def test_sensors_at_one_time_are_told_apart(spark):
+    at = dt.datetime(2025, 3, 4, 10)
+    df = spark.createDataFrame(
+        [("A", at, 100, 1, 1), ("A", at, 300, 1, 2), ("A", at, 300, 1, 2)],
+        "station string, timestamp timestamp_ntz, value long, weight int, sensor int",
     )
-    assert sorted(map(str, streamed.collect())) == sorted(map(str, closed.collect()))
-    assert streamed.count() == 6
-    assert {r.readings for r in streamed.collect()} == {3}
-    assert batch.count() == 12
-    assert streamed.filter(hour_start(F.col("timestamp")) != F.col("timestamp")).isEmpty()
+    (row,) = live.hourly_live(df).collect()
+    assert (row.readings, row.pm2_5) == (2, 200.0)
+
+
+def test_staged_folders_are_released(spark):
+    assert is_local("local[8]") and is_local("local") and not is_local("local-cluster[2,1,1024]")
+    staged = stage(spark.range(3), "gone")
+    assert staged.count() == 3
+    path = staged.inputFiles()[0]
+    release(spark)
+    with pytest.raises(Exception, match="(?i)does not exist|PATH_NOT_FOUND"):
+        spark.read.parquet(path)
