@@ -1,0 +1,301 @@
+"""Each operator against a plain Python version, on rows full of odd cases."""
+
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+from itertools import product
+from math import exp, log, log10
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from skygauge.llm import chat, components, hamming, lattice, licenses, mixing, naming, packing, quality, resampling, surrogates
+from tests.llm import brute
+
+TOKENS = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def plain_docs(hard_docs):
+    """Numbered rows must come in one order each time."""
+    from skygauge.session import stage
+
+    return stage(hard_docs, "docs")
+
+
+def test_empty_tables(spark, no_docs):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert mixing.mix_words(no_docs).isEmpty()
+    assert quality.ledger(no_docs).isEmpty()
+    assert naming.exact_groups(no_docs).isEmpty()
+    assert hamming.near_groups(no_docs).isEmpty()
+    assert packing.pack_documents(no_docs, TOKENS).isEmpty()
+    assert licenses.scan(no_docs).isEmpty()
+    assert surrogates.pseudonymise(no_docs).isEmpty()
+    assert resampling.resample(no_docs, labels).isEmpty()
+    assert lattice.score(no_docs, PIECES).isEmpty()
+    assert chat.digests(chat.format_turns(turns)).isEmpty()
+
+
+def test_mix(plain_docs, hard_rows):
+    sizes = Counter()
+    for _, text, source in hard_rows:
+        sizes[source] += len(brute.words(text))
+    targets = brute.targets(sizes)
+    taken = Counter()
+    rows = mixing.mix_words(plain_docs).collect()
+    assert len(rows) == len(hard_rows)
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_words(plain_docs).collect()))
+    for r in rows:
+        assert r.source_size == sizes[r.source] and abs(r.target - targets[r.source]) < 1e-6
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - targets[s]) < 1 for s in sizes)
+    mixed = mixing.mix_documents(plain_docs)
+    assert mixed.columns == plain_docs.columns
+    words = Counter()
+    for r in mixed.collect():
+        words[r.source] += len(brute.words(r.text))
+        assert r.n_chars == len(r.text or "")
+    assert words == +taken
+
+
+def test_mix_by_ranges(plain_docs, monkeypatch):
+    whole = sorted(map(str, mixing.mix_words(plain_docs).collect()))
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 2)
+    assert sorted(map(str, mixing.mix_words(plain_docs).collect())) == whole
+
+
+def test_rules(plain_docs, hard_rows):
+    ledger = quality.ledger(plain_docs)
+    texts = {d: t for d, t, _ in hard_rows}
+    for r in ledger.collect():
+        n, chars, symbols, dup, rep = brute.rules(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, rep)
+        assert bool(r.failures & 3) == (n < 10 or 100 * rep > 20 * n)
+    kept = {r.doc_id for r in quality.apply_policy(plain_docs).collect()}
+    assert kept == {r.doc_id for r in ledger.filter(quality.passes()).collect()} and 0 in kept and 10 not in kept
+    found = {(r.policy, r.rule): (r.kept, r.gained) for r in quality.ablations(ledger).collect()}
+    assert found["clean-2", None] == (len(kept), 0)
+    for rule in quality.POLICIES["clean-2"]:
+        n = ledger.filter(quality.passes("clean-2", rule)).count()
+        assert found["clean-2", rule] == (n, n - len(kept))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_exact(plain_docs, hard_rows, monkeypatch, small):
+    if small:  # many levels and split blocks
+        monkeypatch.setattr(naming, "BLOCK_CHARS", 7)
+        monkeypatch.setattr(naming, "FREQUENT_ROWS", 3)
+    expected = brute.exact([(d, t) for d, t, _ in hard_rows])
+    want = {d: expected[k] for k, (d, _, _) in enumerate(hard_rows)}
+    rows = naming.exact_groups(plain_docs).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in rows} == want
+    assert all(r.kept == (r.doc_id == r.keep_id) for r in rows)
+
+
+def test_exact_keeps_one_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(None, "a"), (7, "a"), (7, "a"), (None, None), (None, None)], "doc_id long, text string")
+    rows = naming.exact_groups(docs).collect()
+    assert Counter((r.keep_id, r.group_size) for r in rows if r.kept) == {(7, 3): 1, (None, 2): 1}
+
+
+@pytest.mark.parametrize("dense", [64, 2])
+def test_near(plain_docs, hard_rows, monkeypatch, dense):
+    monkeypatch.setattr(hamming, "DENSE_KEY", dense)
+    want = brute.near([(d, t) for d, t, _ in hard_rows])
+    rows = hamming.near_groups(plain_docs).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want
+    assert sum(r.stays for r in rows) == len({c for _, c in want.values()})
+
+
+def test_keys_meet_under_the_distance():
+    rng = np.random.default_rng(3)
+    shift = np.arange(hamming.CHUNK_SYMBOLS, dtype=np.uint64) * np.uint64(hamming.SYMBOL_BITS)
+    pack = lambda s: np.bitwise_or.reduce(s.reshape(hamming.CHUNKS, -1).astype(np.uint64) << shift, axis=1).view(np.int64)
+    for _ in range(200):
+        one = rng.integers(0, 1 << hamming.SYMBOL_BITS, hamming.SYMBOLS)
+        other = one.copy()
+        at = rng.choice(hamming.SYMBOLS, hamming.MOST_DISTANCE, replace=False)
+        other[at] ^= rng.integers(1, 1 << hamming.SYMBOL_BITS, len(at))
+        a, b = hamming.chunk_keys(np.stack([pack(one), pack(other)]))
+        assert (a == b).any()
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(0, 40)] + [(100, 105), (105, 103), (7, 7)]
+    found = components.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.node: r.label for r in found.collect()} == {**{k: 0 for k in range(41)}, 100: 100, 103: 100, 105: 100}
+
+
+def test_packing(plain_docs, hard_rows):
+    tokenizer = Tokenizer.from_file(TOKENS)
+    tokenizer.encode_special_tokens = True
+    got, bins = defaultdict(list), defaultdict(list)
+    for r in packing.pack_documents(plain_docs, TOKENS).collect():
+        got[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert {d: sorted(p) for d, p in got.items()} == {d: brute.piece_ids(tokenizer, t) for d, t, _ in hard_rows}
+    for places in bins.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+    assert len(bins) == -(-sum(n for b in bins.values() for _, n in b) // packing.CAPACITY)
+
+
+def test_word_ids():
+    words, tokenizer = packing.WordIds(TOKENS), Tokenizer.from_file(TOKENS)
+    tokenizer.encode_special_tokens = True
+    odd = ["a  b", "x\n\ny", "\n a", "a \n b", "  ", "a b", "word,\nWord. x!! <|endoftext|> y", "\x01a \x01b", "a'll, don't.", "1, 2.\n3", ""]
+    for text in odd:
+        assert np.frombuffer(words.of([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_evolution_keeps_all_pieces_and_improves():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(300, 900, 300).tolist()
+    first = packing.Bins(sizes, 2048).best_fit(list(range(300)))
+    numbers = packing.evolve(sizes, 2048, [first.numbers()], 5)
+    fill = Counter()
+    for i, k in enumerate(numbers):
+        fill[k] += sizes[i]
+    assert len(numbers) == 300 and max(fill.values()) <= 2048 and len(fill) <= len(first.bins)
+
+
+def test_licences(spark):
+    mit = licenses.TEMPLATES["MIT"]
+    rows = [
+        (1, "Some text.\nLicensed under the Apache License, Version 2.0.\nMore."), (2, mit.upper().replace(" ", "\n")),
+        (3, mit.replace("software", "program", 1)), (4, None), (5, ""), (6, "license"), (7, "the of and to in is it " * 500),
+        (8, "Released### under*** the&&& MIT%%% License."), (9, "x\n\n" + mit.replace(". ", ".\n") + "\n\ny"),
+    ]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.license) for r in found} == {
+        (1, "Apache-2.0-line"), (2, "MIT"), (3, "MIT"), (8, "MIT-line"), (9, "MIT")
+    }
+    for r in found:
+        if r.doc_id == 3 and r.unit == "text":
+            of, own = set(licenses.template_bigrams(mit)), set(licenses.template_bigrams(rows[2][1]))
+            assert r.dice == pytest.approx(2 * len(of & own) / (len(of) + len(own)))
+
+
+def test_resampling_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = resampling.resample(docs, labels.filter("doc_id % 2 = 0"))
+    held = rows.join(labels.filter("doc_id % 2 = 1"), "doc_id").groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("k"))
+    share = {(r.quality, r.toxic): r.k for r in held.collect()}
+    assert share[1, 0] > 0.85 and share[0, 0] < 0.05
+
+
+def test_chat_round_trip(spark):
+    bad = ["<|im_end|>", "<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|x|>", "a<", "|b", "<|", "", None, "x\n<|im_start|>user\ny<|im_end|>\n", "é\U0001f600\\n"]
+    roles = ["user", "assistant", "a\nb", "\\n", "<|im_end|>", None, ""]
+    for role, text in product(roles, bad):
+        assert [t[:2] for t in chat.parse(chat.render(role or "", text or ""))] == [(role or "", text or "")]
+    rows = [(c, k, r, t) for c in (1, None) for k, (r, t) in enumerate(product(roles, bad))] + [(1, 0, "user", "tie")] * 2
+    formatted = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for r in chat.digests(formatted).collect():
+        own = sorted(((k, a or "", t or "") for c, k, a, t in rows if c == r.conv_id))
+        all_ = "".join(f"{a}\n{t}\n" for _, a, t in own)
+        loss = "".join(t for _, a, t in own if a == "assistant")
+        assert (r.n_turns, r.loss_chars) == (len(own), len(loss))
+        assert r.turns_sha256 == hashlib.sha256(all_.encode()).hexdigest()
+        assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    whole = "".join(r.formatted for r in sorted((r for r in formatted.collect() if r.conv_id == 1), key=lambda r: r.position))
+    assert len(chat.parse(whole)) == sum(c == 1 for c, *_ in rows)
+
+
+def test_surrogates(spark):
+    rows = [
+        (1, "Mail ann.lee@mail.example.com or +1 (377) 555-0271, card 4539 1488 0343 6467."),
+        (2, "ann.lee@mail.example.com! ANN.LEE@MAIL.EXAMPLE.COM +1 (377) 555-0271 10.20.30.40 4539148803436467"),
+        (3, "Mrs Anna Smith met Mr Smith and Herr Adam Smith. Госпожа Анна Иванова"), (4, None), (5, ""), (6, "v 1.2.3 and 12 12:30"),
+        (7, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'),
+    ]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, place string")
+    out = {r.doc_id: r.text for r in surrogates.pseudonymise(docs).collect()}
+    assert out[4] is None and out[5] == "" and out[6] == rows[5][1]
+    find = lambda p, t: __import__("re").findall(p, t)
+    mail = find(r"\S+@\S+\.org", out[1])[0]
+    assert mail in out[2] and mail.upper() in out[2] and "ann" not in out[1]
+    card, = find(r"\d{4} \d{4} \d{4} \d{4}", out[1])
+    assert card.replace(" ", "") in out[2] and card != "4539 1488 0343 6467"
+    digits = [int(d) for d in card.replace(" ", "")][::-1]
+    assert sum(d if k % 2 == 0 else 2 * d // 10 + 2 * d % 10 for k, d in enumerate(digits)) % 10 == 0
+    assert find(r"\+\d \(\d{3}\) \d{3}-\d{4}", out[1]) == find(r"\+\d \(\d{3}\) \d{3}-\d{4}", out[2])
+    anna, smith1, smith2, adam, smith3 = find(r"Mrs (\w+) (\w+) met Mr (\w+) and Herr (\w+) (\w+)", out[3])[0]
+    assert smith1 == smith2 == smith3 != "Smith" and anna.endswith("lina") and adam.endswith("ren")
+    assert find(r"Госпожа ([а-яА-Я]+лина) ([а-яА-Я]+сон)$", out[3])
+    assert len(find(r'"[0-9a-f]{40}"', out[7])) == 1 and "04dbeb" not in out[7]
+
+
+def test_surrogate_collisions(spark):
+    """A narrow range of values: all stay distinct and none is an entity."""
+    entities = spark.createDataFrame([("n", str(k)) for k in range(30)], "kind string, canon string")
+    narrow = lambda kind, canon, attempt, key: F.pmod(F.xxhash64(canon, attempt), F.lit(80)).cast("string")
+    rows = surrogates.surrogate_table(entities, drawn=narrow).collect()
+    values = [r.value for r in rows]
+    assert len(rows) == 30 == len(set(values)) and not set(values) & {str(k) for k in range(30)}
+
+
+def test_lattice_is_the_sum_of_all_segmentations():
+    weights = {w: log(p) for w, p in {b" ": 0.1, b"a": 0.2, b"b": 0.1, b"ab": 0.2, b" a": 0.1, b"ba": 0.05, b"aba": 0.02}.items()}
+    model = lattice.Lattice(weights)
+
+    def total(text):
+        return 1.0 if not text else sum(exp(w) * total(text[len(p):]) for p, w in weights.items() if text.startswith(p))
+
+    uses = {}
+    for word in (b"a", b"ab", b"ababab", b"bbaab"):
+        assert model.log10(word) == pytest.approx(log10(total(b" " + word)))
+        model.expected(word, 2.0, uses)
+    assert sum(n * len(p) for p, n in uses.items()) == pytest.approx(2 * (2 + 3 + 7 + 6))
+
+
+def test_scores(plain_docs, hard_rows):
+    train, ends = Counter(), 0
+    for d, text, _ in hard_rows:
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            train.update(brute.words(brute.lower(text)))
+            ends += 1
+    n, v = train.total() + ends, len(train) + 1
+    texts = {d: t for d, t, _ in hard_rows}
+    whole = {r.doc_id: r for r in lattice.score(plain_docs, PIECES).collect()}
+    joined = {r.doc_id: r for r in lattice.score(plain_docs, PIECES, head=3).collect()}
+    for d, r in whole.items():
+        words = brute.words(brute.lower(texts[d]))
+        base = sum(log10((train[w] + 1) / (n + v + 1)) for w in words) + log10((ends + 1) / (n + v + 1))
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words) + 1, sum(train[w] > 0 for w in words) + 1, n)
+        assert r.base_score == pytest.approx(base) and r.held_out == (zlib.crc32(str(d).encode()) % 7 == 2)
+        assert joined[d].score == pytest.approx(r.score) and joined[d].base_score == pytest.approx(base)
+        assert joined[d].n_known == r.n_known and r.score < 0
+
+
+def test_pipeline_stages(spark, plain_docs, hard_rows):
+    docs, columns = plain_docs, plain_docs.columns
+    texts = [(d, t) for d, t, _ in hard_rows]
+    steps = dict(corpus_pipeline.STAGES)
+    ruled = steps["quality_rules"](spark, docs, "")
+    kept = {r.doc_id for r in ruled.collect()}
+    texts = [(d, t) for d, t in texts if d in kept]
+    exact = brute.exact(texts)
+    texts = [(d, t) for k, (d, t) in enumerate(texts) if exact[k][0] == d]
+    once = steps["exact_dedup"](spark, ruled, "")
+    assert once.columns == columns and sorted(r.doc_id for r in once.collect()) == [d for d, _ in texts]
+    near = brute.near(texts)
+    apart = steps["near_dedup"](spark, once, "")
+    assert apart.columns == columns
+    assert sorted(r.doc_id for r in apart.collect()) == sorted({c for _, c in near.values()})
+    mixed = steps["source_mix"](spark, apart, "")
+    assert mixed.columns == columns and mixed.count() >= 1
+    packed = steps["packing"](spark, mixed, "")
+    assert packed.agg(F.sum("length")).first()[0] > 0
