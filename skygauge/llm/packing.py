@@ -39,7 +39,7 @@ EPOCHS = 2
 GENERATIONS = 6
 POPULATION = 4
 # Entries of each of the two halves of a worker's memory of tokenized words.
-KNOWN_WORDS = 250_000
+KNOWN_WORDS = 400_000
 MARKS = ".,;:!?"
 RAW = "\x01"
 # Space that isn't one blank or line end between two other characters.
