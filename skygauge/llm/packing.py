@@ -18,7 +18,6 @@ a null doc_id is packed as any other; an empty table gives no rows; other column
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -42,8 +41,13 @@ POPULATION = 4
 KNOWN_WORDS = 400_000
 MARKS = ".,;:!?"
 RAW = "\x01"
-# Space that isn't one blank or line end between two other characters.
-IRREGULAR = re.compile(rf"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$|{RAW}")
+# Words encoded in one call, a line end between them.
+WORDS_AT_ONCE = 1000
+
+
+def regular(text: str) -> bool:
+    """All space is one blank or line end between two other characters."""
+    return RAW not in text and " ".join(text.split()) == text.replace("\n", " ")
 
 
 class WordIds:
@@ -64,15 +68,49 @@ class WordIds:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks = dict(zip(MARKS, self.encode(list(MARKS)), strict=True))
+        self.line_end = self.encode(["\n"])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", found.ids).tobytes() for found in encoded]
 
+    def encode_words(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of words without space in them, ``before`` put before each."""
+        out = []
+        line_end = int.from_bytes(self.line_end, "little")
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            part = [before + w for w in words[at : at + WORDS_AT_ONCE]]
+            ids = self.encode(["\n".join(part)])[0]
+            ends = np.flatnonzero(np.frombuffer(ids, np.uint32) == line_end).tolist()
+            if len(ends) != len(part) - 1:
+                raise ValueError("the tokenizer joins line ends with words")
+            out += [ids[4 * a + 4 : 4 * b] for a, b in zip([-1, *ends], [*ends, len(ids) // 4], strict=True)]
+        return out
+
+    def encode_keys(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of what each key stands for; words without space are encoded many at a time."""
+        after_blank, after_line, at_start, others = [], [], [], []
+        for key in keys:
+            first = key[:1]
+            if first == "\n" and len(key) > 1 and not any(map(str.isspace, key[1:])):
+                after_line.append(key)
+            elif first == RAW and len(key) > 1 and not any(map(str.isspace, key)):
+                at_start.append(key)
+            elif first in ("\n", RAW):
+                others.append(key)
+            else:
+                after_blank.append(key)
+        found = dict(zip(after_blank, self.encode_words(after_blank, " "), strict=True))
+        found.update(zip(at_start, self.encode_words([k[1:] for k in at_start], ""), strict=True))
+        lines = self.encode_words([k[1:] for k in after_line], "")
+        found.update((k, self.line_end + ids) for k, ids in zip(after_line, lines, strict=True))
+        found.update(zip(others, self.encode([k[1:] if k[0] == RAW else k for k in others]), strict=True))
+        return found
+
     @staticmethod
     def keys(text: str) -> list[str]:
         """What a text is cut into."""
-        if IRREGULAR.search(text) is None:
+        if regular(text):
             keys = text.replace("\n", " \n").split(" ")
             keys[0] = RAW + keys[0]
             return keys
@@ -83,13 +121,9 @@ class WordIds:
                 out.append(" " + word)
             else:
                 out[-1] += " " + word
-        plain = lambda w: len(w) > 1 and w[0] == " " and w[1] != RAW and not IRREGULAR.search(w[1:]) and "\n" not in w
+        plain = lambda w: len(w) > 1 and w[0] == " " and "\n" not in w and regular(w[1:])
         return [w[1:] if plain(w) else RAW + w for w in out]
 
-    @staticmethod
-    def meant(key: str) -> str:
-        return key[1:] if key[:1] == RAW else key if key[:1] == "\n" else " " + key
-
     def of(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [self.keys(t) for t in texts]
@@ -104,7 +138,7 @@ class WordIds:
         unknown = missing - again
         marked = {w for w in unknown if w[-1:] in self.marks and w[-2:-1].isalpha()}
         todo = list((unknown - marked) | ({w[:-1] for w in marked} - self.new.keys()))
-        self.new.update(zip(todo, self.encode([self.meant(w) for w in todo]), strict=True))
+        self.new.update(self.encode_keys(todo))
         self.new.update((w, self.new[w[:-1]] + self.marks[w[-1]]) for w in marked)
         get = self.new.__getitem__
         return [b"".join(map(get, words)) for words in cut]
@@ -301,7 +335,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         F.array().cast("array<array<int>>").alias("elites"),
     )
     for epoch in range(EPOCHS):
-        evolved = stage(_epoch(spread(state, "shard", "island"), capacity, epoch), "epoch")
+        # Not by the key of the join: its few small partitions would be packed into one task.
+        evolved = stage(_epoch(spread(state), capacity, epoch), "epoch")
         guests = evolved.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("best").alias("guest"))
         state = evolved.join(guests, ["shard", "island"]).select(
             "shard", "island", "sizes", F.array("best", "guest").alias("elites")
