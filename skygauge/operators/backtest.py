@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skygauge.operators.features import positioned
-from skygauge.operators.forecast import explode_paths, paths_for_model
+from skygauge.operators.forecast import explode_paths, paths_for_model, with_recent
 from skygauge.operators.series import LENGTH, POS, stride_sample
 from skygauge.schemas import STATION, TARGET
 
@@ -81,11 +81,21 @@ def horizon_mae(
 
 
 def recursive_backtest(
-    model: PipelineModel, featured: DataFrame, horizons: dict[str, int] | None = None
+    model: PipelineModel,
+    featured: DataFrame,
+    horizons: dict[str, int] | None = None,
+    train_share: float = 0.8,
+    step: int = ORIGIN_STEP,
+    at_most: int = MAX_ORIGINS,
+    **options: str,
 ) -> DataFrame:
-    """Forecast once to the longest horizon; shorter ones are prefixes of the same path."""
+    """Forecast once to the longest horizon; shorter ones are prefixes of the same path.
+
+    Origins as in ``backtest_origins``; ``options`` as in ``forecast.paths_for_model``.
+    """
     horizons = HORIZONS if horizons is None else horizons
     rows = positioned(featured)
-    origins = backtest_origins(rows, list(horizons.values()))
-    paths = paths_for_model(model, origins, max(horizons.values()), (POS, "reach"))
+    source = positioned(with_recent(rows)) if options.get("lags") == "exact" else rows
+    origins = backtest_origins(source, list(horizons.values()), train_share, step, at_most)
+    paths = paths_for_model(model, origins, max(horizons.values()), (POS, "reach"), **options)
     return horizon_mae(align_actuals(explode_paths(paths), rows), horizons)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skygauge.functions.aqi import composite_aqi
 from skygauge.functions.calendar import calendar_parts, cyclic_parts
 from skygauge.functions.numeric import interaction_parts
-from skygauge.operators.merge import historical_only
+from skygauge.operators.merge import historical_only, require_unique_hours
 from skygauge.operators.repair import repair
 from skygauge.operators.series import (
     BUCKET_HOURS,
@@ -80,9 +80,12 @@ def build_features(
     bucket_hours: int = BUCKET_HOURS,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Raw hourly series to the feature table; incomplete rows (the lag warm-up) drop out."""
+    """Raw hourly series to the feature table; incomplete rows (the lag warm-up) drop out.
+
+    A station with the same historical hour twice fails the job: see ``merge.dedup_hours``.
+    """
     fit_share = train_share if leak_safe else None
-    repaired = repair(historical_only(raw), bucket_hours, fit_share)
+    repaired = repair(require_unique_hours(historical_only(raw)), bucket_hours, fit_share)
     indexed = add_aqi(repaired, gap_policy)
     history = add_history(indexed, leak_safe=leak_safe, chunk_rows=chunk_rows)
     full = add_interactions(add_cyclic(add_calendar(history)), leak_safe).drop(*POS_COLS)

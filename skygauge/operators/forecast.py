@@ -22,7 +22,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skygauge.functions.aqi import BREAKPOINTS, OUT_OF_BAND, aqi_pm25_2012, category
+from skygauge.functions.aqi import BREAKPOINTS, OUT_OF_BAND, aqi_pm25, aqi_pm25_2012, category
 from skygauge.functions.calendar import (
     RUSH_HOURS,
     WEEKEND_DAYS,
@@ -40,7 +40,7 @@ from skygauge.functions.numeric import (
 )
 from skygauge.operators.features import positioned
 from skygauge.operators.models import score
-from skygauge.operators.scorers import ModelTooLarge, Scorer, scorer_of
+from skygauge.operators.scorers import Scorer, has_arrays, scorer_of
 from skygauge.operators.series import in_chunk, latest_rows, overlapping_chunks, own_rows
 from skygauge.schemas import (
     CARRIED,
@@ -75,9 +75,9 @@ def with_recent(featured: DataFrame, rows: int = max(LAGS)) -> DataFrame:
 # -- batched form -----------------------------------------------------------------------
 
 
-def _aqi_2012(v: np.ndarray) -> np.ndarray:
+def _aqi(v: np.ndarray, standard: str) -> np.ndarray:
     out = np.full(v.shape, float(OUT_OF_BAND))
-    for lo, hi, alo, ahi in BREAKPOINTS["2012", "pm2_5"]:
+    for lo, hi, alo, ahi in BREAKPOINTS[standard, "pm2_5"]:
         inside = (v >= lo) & (v <= hi)
         out[inside] = np.rint((ahi - alo) / (hi - lo) * (v[inside] - lo) + alo)
     return out
@@ -119,6 +119,7 @@ def advance(
     steps: int = STEPS,
     calendar: str = "carried",
     lags: str = "origin",
+    standard: str = "2012",
 ) -> np.ndarray:
     """Predictions (origins x steps) for a batch of origin rows."""
     carried = {c: batch[c].to_numpy(dtype=float) for c in CARRIED}
@@ -130,10 +131,10 @@ def advance(
         x = dict(carried, **_calendar_arrays(batch, step, calendar))
         for lag in LAGS:
             x[f"pm2_5_lag{lag}"] = _lag_array(batch, series, recent, step, lag)
-            x[f"aqi_lag{lag}"] = _aqi_2012(x[f"pm2_5_lag{lag}"])
+            x[f"aqi_lag{lag}"] = _aqi(x[f"pm2_5_lag{lag}"], standard)
         for n in ROLLS:
             x[f"pm2_5_roll{n}"] = series[:, max(0, step - n) : step].mean(axis=1)
-            x[f"aqi_roll{n}"] = _aqi_2012(x[f"pm2_5_roll{n}"])
+            x[f"aqi_roll{n}"] = _aqi(x[f"pm2_5_roll{n}"], standard)
         x["pm_ratio"] = x["pm2_5_lag1"] / (pm10 + EPSILON)
         x["wind_dispersion"] = x["wind_speed"] / (x["pm2_5_lag1"] + EPSILON)
         x["heat_humidity"] = x["temperature"] * x["humidity"] / 100
@@ -149,15 +150,13 @@ def forecast_paths(
     keep: tuple[str, ...] = (),
     calendar: str = "carried",
     lags: str = "origin",
+    standard: str = "2012",
 ) -> DataFrame:
     """One row per origin: station, timestamp, ``keep``, array of ``steps`` predictions.
 
-    The origins are dealt out over all cores; the model is broadcast (size-checked where it
-    was turned into arrays).
+    The origins are dealt out over all cores; the trees of the model are broadcast in groups.
     """
-    spark = origins.sparkSession
-    ship_package(spark)
-    shared = spark.sparkContext.broadcast(scorer)
+    ship_package(origins.sparkSession)
     needed = list(dict.fromkeys([STATION, TIMESTAMP, *keep, *ORIGIN_COLS]))
     if lags == "exact":
         needed.append(RECENT)
@@ -168,7 +167,7 @@ def forecast_paths(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            paths = advance(shared.value, batch, steps, calendar, lags)
+            paths = advance(scorer, batch, steps, calendar, lags, standard)
             result = batch[[STATION, TIMESTAMP, *keep]].copy()
             result[PREDICTIONS] = list(paths)
             yield result
@@ -237,14 +236,22 @@ def forecast_unrolled(
 
 
 def paths_for_model(
-    model: PipelineModel, origins: DataFrame, steps: int = STEPS, keep: tuple[str, ...] = ()
+    model: PipelineModel,
+    origins: DataFrame,
+    steps: int = STEPS,
+    keep: tuple[str, ...] = (),
+    **options: str,
 ) -> DataFrame:
-    """Batched where the model is small enough to broadcast, unrolled otherwise."""
-    try:
-        scorer = scorer_of(origins.sparkSession, model)
-    except ModelTooLarge:
-        return forecast_unrolled(model, origins, steps, keep)
-    return forecast_paths(scorer, origins, steps, keep)
+    """Batched for linear and tree models of any size, unrolled for other kinds.
+
+    ``options`` (``calendar``, ``lags``, ``standard``) are those of ``forecast_paths``; the
+    unrolled form has the defaults alone.
+    """
+    if has_arrays(model):
+        return forecast_paths(scorer_of(origins.sparkSession, model), origins, steps, keep, **options)
+    if options:
+        raise ValueError(f"not for this kind of model: {sorted(options)}")
+    return forecast_unrolled(model, origins, steps, keep)
 
 
 def explode_paths(paths: DataFrame) -> DataFrame:
@@ -254,12 +261,13 @@ def explode_paths(paths: DataFrame) -> DataFrame:
     return exploded.withColumn("horizon_hour", F.col("_i") + 1).drop("_i")
 
 
-def forecast_table(paths: DataFrame) -> DataFrame:
+def forecast_table(paths: DataFrame, standard: str = "2012") -> DataFrame:
     """Forecast rows with time, rounded value, index, category and horizon.
 
     The index is that of the unrounded prediction.
     """
-    rows = explode_paths(paths).withColumn("aqi_predicted", aqi_pm25_2012(F.col("predicted")))
+    index = aqi_pm25 if standard == "2024" else aqi_pm25_2012
+    rows = explode_paths(paths).withColumn("aqi_predicted", index(F.col("predicted")))
     return rows.select(
         STATION,
         plus_hours(F.col(TIMESTAMP), F.col("horizon_hour")).alias(TIMESTAMP),
@@ -270,10 +278,14 @@ def forecast_table(paths: DataFrame) -> DataFrame:
     ).select(FORECAST.names)
 
 
-def latest_forecast(model: PipelineModel, featured: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Forecast from the last row of every station."""
-    origins = latest_rows(featured.drop(*POS_COLS))
-    return forecast_table(paths_for_model(model, origins, steps))
+def latest_forecast(
+    model: PipelineModel, featured: DataFrame, steps: int = STEPS, **options: str
+) -> DataFrame:
+    """Forecast from the last row of every station; ``options`` as in ``paths_for_model``."""
+    rows = with_recent(featured) if options.get("lags") == "exact" else featured
+    origins = latest_rows(rows.drop(*POS_COLS))
+    paths = paths_for_model(model, origins, steps, **options)
+    return forecast_table(paths, options.get("standard", "2012"))
 
 
 def every_nth_hour(forecast: DataFrame, n: int = 12) -> DataFrame:

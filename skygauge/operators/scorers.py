@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import (
     GBTRegressionModel,
@@ -17,15 +19,11 @@ from pyspark.sql import functions as F
 from skygauge.schemas import FEATURE_COLS
 from skygauge.session import scratch_path
 
-# A node takes 36 bytes in the arrays below, so a broadcast stays under 150 MB.
-MAX_NODES = 4_000_000
+# Trees are sent in groups of about so many nodes, 36 bytes each; a larger tree is a group.
+GROUP_NODES = 1_000_000
 ROWS_AT_ONCE = 2048
 
 
-class ModelTooLarge(ValueError):
-    """The model has more nodes than may be broadcast."""
-
-
 @dataclass
 class LinearScorer:
     coefficients: np.ndarray
@@ -37,7 +35,7 @@ class LinearScorer:
 
 @dataclass
 class TreeScorer:
-    """All nodes of an ensemble in one set of arrays; a leaf is its own child."""
+    """All nodes of some trees in one set of arrays; a leaf is its own child."""
 
     feature: np.ndarray
     threshold: np.ndarray
@@ -62,7 +60,20 @@ class TreeScorer:
         return self.value[node] @ self.weights
 
 
-Scorer = LinearScorer | TreeScorer
+@dataclass
+class SharedTrees:
+    """An ensemble of any size, as broadcast groups of trees; predictions add up over groups."""
+
+    groups: list[Broadcast]
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        for group in self.groups:
+            total += group.value.predict(x)
+        return total
+
+
+Scorer = LinearScorer | TreeScorer | SharedTrees
 
 
 def _core(model):
@@ -77,8 +88,13 @@ def is_tree_model(model) -> bool:
     return isinstance(_core(model), (GBTRegressionModel, RandomForestRegressionModel))
 
 
-def scorer_of(spark: SparkSession, model) -> Scorer:
-    """Arrays of a fitted linear, forest or boosting model (checked against ``MAX_NODES``)."""
+def has_arrays(model) -> bool:
+    """``scorer_of`` knows this kind of model."""
+    return is_tree_model(model) or isinstance(_core(model), LinearRegressionModel)
+
+
+def scorer_of(spark: SparkSession, model) -> LinearScorer | SharedTrees:
+    """Arrays of a fitted linear, forest or boosting model of any size."""
     core = _core(model)
     if isinstance(core, LinearRegressionModel):
         fitted = dict(zip(_inputs(model), core.coefficients.toArray()))
@@ -86,35 +102,55 @@ def scorer_of(spark: SparkSession, model) -> Scorer:
         return LinearScorer(coefficients, float(core.intercept))
     if not is_tree_model(core):
         raise TypeError(f"no array form of {type(core).__name__}")
-    if core.totalNumNodes > MAX_NODES:
-        raise ModelTooLarge(f"{core.totalNumNodes} nodes")
     weights = np.asarray(core.treeWeights, dtype=float)
     if isinstance(core, RandomForestRegressionModel):
         weights = weights / weights.sum()
     return _read_trees(spark, core, weights)
 
 
-def _read_trees(spark: SparkSession, core, weights: np.ndarray) -> TreeScorer:
-    """Through the saved form of the model, which holds the rows seen by every node."""
+def _tree_groups(sizes: dict[int, int]) -> list[tuple[int, int]]:
+    """(first, last) of runs of trees with about ``GROUP_NODES`` nodes."""
+    groups, nodes = [], 0
+    for tree in sorted(sizes):
+        if groups and nodes + sizes[tree] <= GROUP_NODES:
+            groups[-1] = (groups[-1][0], tree)
+            nodes += sizes[tree]
+        else:
+            groups.append((tree, tree))
+            nodes = sizes[tree]
+    return groups
+
+
+def _read_trees(spark: SparkSession, core, weights: np.ndarray) -> SharedTrees:
+    """Through the saved form of the model, which holds the rows seen by every node.
+
+    The driver holds one group at a time.
+    """
     path = scratch_path(spark, "model")
     core.write().save(path)
     node = F.col("nodeData")
-    nodes = (
-        spark.read.parquet(f"{path}/data")
-        .select(
-            F.col("treeID").alias("tree"),
-            node["id"].alias("id"),
-            node["leftChild"].alias("left"),
-            node["rightChild"].alias("right"),
-            node["split"]["featureIndex"].alias("feature"),
-            F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
-            node["split"]["numCategories"].alias("categories"),
-            node["prediction"].alias("value"),
-            node["rawCount"].cast("double").alias("cover"),
-        )
-        .toPandas()
-        .sort_values(["tree", "id"])
+    saved = spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"),
+        node["id"].alias("id"),
+        node["leftChild"].alias("left"),
+        node["rightChild"].alias("right"),
+        node["split"]["featureIndex"].alias("feature"),
+        F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
+        node["split"]["numCategories"].alias("categories"),
+        node["prediction"].alias("value"),
+        node["rawCount"].cast("double").alias("cover"),
     )
+    # One row for each tree.
+    sizes = {r["tree"]: r["count"] for r in saved.groupBy("tree").count().collect()}
+    groups = []
+    for first, last in _tree_groups(sizes):
+        nodes = saved.filter(F.col("tree").between(first, last)).toPandas()
+        trees = _arrays(nodes.sort_values(["tree", "id"]), weights[first : last + 1])
+        groups.append(spark.sparkContext.broadcast(trees))
+    return SharedTrees(groups)
+
+
+def _arrays(nodes: pd.DataFrame, weights: np.ndarray) -> TreeScorer:
     if (nodes["categories"] > 0).any():
         raise TypeError("categorical splits are not used here")
     sizes = nodes.groupby("tree").size().to_numpy()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skygauge.functions.aqi import BREAKPOINTS
 from skygauge.operators import backtest, forecast, models
 from skygauge.operators.features import build_features, positioned
-from skygauge.operators.scorers import LinearScorer
+from skygauge.operators.scorers import LinearScorer, scorer_of
 from skygauge.operators.series import latest_rows
 from skygauge.plans.queries import stub_scorer
 from skygauge.schemas import FEATURE_COLS
@@ -135,12 +135,29 @@ def test_unrolled_form_agrees(spark, featured):
     assert np.allclose(np.vstack(batched.predictions), np.vstack(unrolled.predictions))
 
 
-def test_large_models_take_the_other_way(spark, featured, monkeypatch):
+def test_groups_of_trees_give_the_same_paths(spark, featured, monkeypatch):
     train, _ = models.split_for_training(featured)
-    model = models.fit(train, models.boosting(rounds=2, depth=2))
-    monkeypatch.setattr("skygauge.operators.scorers.MAX_NODES", 1)
-    rows = forecast.paths_for_model(model, latest_rows(featured), 2).collect()
-    assert [len(r.predictions) for r in rows] == [2, 2]
+    model = models.fit(train, models.boosting(rounds=3, depth=2))
+    origins = latest_rows(featured)
+    whole = by_key(forecast.paths_for_model(model, origins, 4))
+    monkeypatch.setattr("skygauge.operators.scorers.GROUP_NODES", 1)
+    parts = by_key(forecast.paths_for_model(model, origins, 4))
+    assert np.allclose(np.vstack(whole.predictions), np.vstack(parts.predictions), rtol=1e-12)
+
+
+def test_options_reach_the_public_calls(spark, featured):
+    train, _ = models.split_for_training(featured)
+    model = models.fit(train, models.boosting(rounds=2, depth=3))
+    options = {"calendar": "exact", "lags": "exact", "standard": "2024"}
+    table = by_key(forecast.latest_forecast(model, featured, 6, **options))
+    origins = latest_rows(forecast.with_recent(featured))
+    paths = forecast.forecast_paths(scorer_of(spark, model), origins, 6, **options)
+    expected = by_key(forecast.forecast_table(paths, "2024"))
+    assert np.allclose(table.pm2_5_predicted, expected.pm2_5_predicted)
+    assert list(table.aqi_predicted) == list(expected.aqi_predicted)
+    few = backtest.recursive_backtest(model, featured, {"6hr": 6}, at_most=2, **options).collect()
+    all_ = backtest.recursive_backtest(model, featured, {"6hr": 6}, step=1, at_most=10**6).collect()
+    assert few[0].n_origins == 4 < all_[0].n_origins
 
 
 # -- backtest ---------------------------------------------------------------------------

@@ -56,10 +56,14 @@ def test_arrays_reproduce_the_model(spark, fitted, name):
     assert np.allclose(got, pdf.prediction, rtol=1e-12)
 
 
-def test_size_check(spark, fitted, monkeypatch):
-    monkeypatch.setattr(scorers, "MAX_NODES", 3)
-    with pytest.raises(scorers.ModelTooLarge):
-        scorers.scorer_of(spark, fitted[2]["forest"])
+@pytest.mark.parametrize("name", ["forest", "boosting"])
+def test_groups_of_trees_add_up(spark, fitted, name, monkeypatch):
+    _, test, found = fitted
+    pdf = models.score(found[name], test).toPandas()
+    monkeypatch.setattr(scorers, "GROUP_NODES", 3)
+    scorer = scorers.scorer_of(spark, found[name])
+    assert len(scorer.groups) > 1
+    assert np.allclose(scorer.predict(pdf[FEATURE_COLS].to_numpy(float)), pdf.prediction, rtol=1e-12)
 
 
 def test_save_and_load(spark, fitted, tmp_path):
