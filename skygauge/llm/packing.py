@@ -6,7 +6,8 @@ one packing problem and several islands work on it with different seeds, each a
 DataFrame. On an island, a solution is a set of bins. Crossover puts whole well-filled bins of
 one parent into a copy of the other, removes the bins there that hold any of the same pieces,
 and places the displaced pieces best-fit, largest first. Between epochs each island's best solution
-migrates to the next island. A shard ends when it needs no more bins than its tokens demand.
+migrates to the next island. A shard ends when it needs no more bins than its tokens demand: it is
+best-fit once, and only shards left open go to the islands.
 
 Memory: a task holds the texts of one batch, or one shard; both are bounded, whatever the size or
 the skew of the table. Only numbers are shuffled.
@@ -21,9 +22,11 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +45,7 @@ KNOWN_WORDS = 400_000
 MARKS = ".,;:!?"
 RAW = "\x01"
 # Words encoded in one call, a line end between them.
-WORDS_AT_ONCE = 1000
+WORDS_AT_ONCE = 300
 
 
 def regular(text: str) -> bool:
@@ -109,11 +112,7 @@ class WordIds:
 
     @staticmethod
     def keys(text: str) -> list[str]:
-        """What a text is cut into."""
-        if regular(text):
-            keys = text.replace("\n", " \n").split(" ")
-            keys[0] = RAW + keys[0]
-            return keys
+        """What a text with uneven spaces is cut into."""
         words = text.split(" ")
         out = words[:1]
         for word in words[1:]:
@@ -124,24 +123,45 @@ class WordIds:
         plain = lambda w: len(w) > 1 and w[0] == " " and "\n" not in w and regular(w[1:])
         return [w[1:] if plain(w) else RAW + w for w in out]
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self.keys(t) for t in texts]
-        words = set().union(*cut)
-        missing = words - self.new.keys()
+    def of_keys(self, keys: list[str]) -> list[bytes]:
+        """Ids of what each key stands for, remembered."""
+        missing = {w for w in keys if w not in self.new}
         if len(self.new) + len(missing) > KNOWN_WORDS:
             self.old, self.new = self.new, {}
-            missing = words
-        again = missing & self.old.keys()
+            missing = set(keys)
+        again = {w for w in missing if w in self.old}
         self.new.update((w, self.old[w]) for w in again)
         # A letter and one mark after it are never one token: both are looked up alone.
         unknown = missing - again
         marked = {w for w in unknown if w[-1:] in self.marks and w[-2:-1].isalpha()}
-        todo = list((unknown - marked) | ({w[:-1] for w in marked} - self.new.keys()))
+        todo = list((unknown - marked) | {w[:-1] for w in marked if w[:-1] not in self.new})
         self.new.update(self.encode_keys(todo))
         self.new.update((w, self.new[w[:-1]] + self.marks[w[-1]]) for w in marked)
-        get = self.new.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+        return [self.new[w] for w in keys]
+
+    def joined(self, cut: pa.ListArray) -> list[bytes]:
+        """Ids of texts that are cut into keys; only distinct keys become Python objects."""
+        coded = cut.values.dictionary_encode()
+        ids = pa.array(self.of_keys(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        _, ends, data = ids.buffers()
+        at = np.frombuffer(ends, np.int64)[cut.offsets.to_numpy()].tolist()
+        whole = memoryview(data or b"")
+        return [bytes(whole[a:b]) for a, b in zip(at, at[1:], strict=False)]
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        even = [regular(t) for t in texts]
+        plain = [RAW + t.replace("\n", " \n") for t, e in zip(texts, even, strict=True) if e]
+        other = [self.keys(t) for t, e in zip(texts, even, strict=True) if not e]
+        from_plain = iter(self.joined(pc.split_pattern(pa.array(plain, pa.large_string()), " ")))
+        from_other = iter(self.joined(pa.array(other, pa.list_(pa.large_string()))))
+        return [next(from_plain if e else from_other) for e in even]
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """One for each worker process: its tasks share the memory of words."""
+    return WordIds(path)
 
 
 def _piece_rows(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int]]:
@@ -163,7 +183,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with
     end = array("I", [END_ID]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
@@ -265,12 +285,15 @@ class Bins:
 
 
 def evolve(sizes: list[int], capacity: int, elites: list[list[int]], seed: int) -> list[int]:
-    """The best solution of an island after an epoch, as the bin of each piece."""
+    """The best solution of an island after an epoch, as the bin of each piece.
+
+    Without elites it is the first solution: all pieces best-fit.
+    """
+    if not elites:
+        return Bins(sizes, capacity).best_fit(list(range(len(sizes)))).numbers()
     rng = np.random.default_rng(seed)
     least = -(-sum(sizes) // capacity)
     population = [Bins.of_numbers(sizes, capacity, e) for e in elites]
-    if not population:
-        population.append(Bins(sizes, capacity).best_fit(list(range(len(sizes)))))
     best = min(population, key=lambda b: (len(b.bins), -b.fitness()))
     if len(best.bins) <= least:
         return best.numbers()
@@ -330,18 +353,31 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         .select("shard", "items.item", "items.size"),
         "shards",
     )
-    state = problems.select(
-        "shard", F.explode(F.array(*map(F.lit, range(ISLANDS)))).alias("island"), F.col("size").alias("sizes"),
-        F.array().cast("array<array<int>>").alias("elites"),
-    )
-    for epoch in range(EPOCHS):
+    no_elites = F.array().cast("array<array<int>>").alias("elites")
+    # A first solution of each shard; most need no more bins than their tokens demand.
+    first = stage(
+        _epoch(
+            spread(problems.select("shard", F.lit(0).alias("island"), F.col("size").alias("sizes"), no_elites)), capacity, 0
+        ),
+        "first",
+    )
+    tokens = F.aggregate("sizes", F.lit(0).cast("long"), lambda total, size: total + size)
+    still_open = (F.col("bins") - 1) * F.lit(capacity).cast("long") >= tokens
+    solutions = first
+    state = first.filter(still_open).select(
+        "shard", F.explode(F.array(*map(F.lit, range(ISLANDS)))).alias("island"), "sizes", F.array("best").alias("elites")
+    )
+    for epoch in range(1, EPOCHS + 1):
+        if state.isEmpty():
+            break
         # Not by the key of the join: its few small partitions would be packed into one task.
         evolved = stage(_epoch(spread(state), capacity, epoch), "epoch")
+        solutions = solutions.unionByName(evolved)
         guests = evolved.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("best").alias("guest"))
-        state = evolved.join(guests, ["shard", "island"]).select(
+        state = evolved.filter(still_open).join(guests, ["shard", "island"]).select(
             "shard", "island", "sizes", F.array("best", "guest").alias("elites")
         )
-    winner = evolved.groupBy("shard").agg(F.min(F.struct("bins", "island", "best")).alias("w"))
+    winner = solutions.groupBy("shard").agg(F.min(F.struct("bins", "island", "best")).alias("w"))
     placed = (
         problems.join(winner, "shard")
         .select("shard", F.explode(F.arrays_zip("item", F.col("w.best").alias("bin"), F.col("size"))).alias("p"))
