@@ -248,12 +248,14 @@ def _dense_links(open_: DataFrame, texts: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, row_id: str | None = None) -> DataFrame:
     """One row per row of ``docs``: rid, doc_id, n_shingles, component_id, kept.
 
-    ``row_id`` names a column with distinct longs; without it, rows are numbered here, and
-    ``docs`` must give its rows in the same order each time (a saved table does).
+    ``row_id`` names a column with distinct longs that are saved with the rows; without it, rows
+    are numbered here and staged with their numbers: a later scan may be split in another way.
     """
     ship_package(docs.sparkSession)
     rid = (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("rid")
     numbered = docs.select(rid, "doc_id", "text")
+    if row_id is None:
+        numbered = stage(numbered, "numbered")
     features = stage(
         per_text(numbered, _start_features, {"same": "binary", "n": "int", "sig": "array<long>"}), "features"
     )

@@ -115,6 +115,26 @@ def test_near(plain_docs, hard_rows, monkeypatch, dense):
     assert sum(r.stays for r in rows) == len({c for _, c in want.values()})
 
 
+def test_near_when_the_scan_is_split_anew(spark, plain_docs, hard_rows, monkeypatch):
+    """Between two jobs the table's splits change, as they do when executors come late."""
+    size, real = "spark.sql.files.maxPartitionBytes", hamming.stage
+    old = spark.conf.get(size)
+
+    def moved(df, name):
+        out = real(df, name)
+        if name == "features":
+            spark.conf.set(size, "1k")
+        return out
+
+    monkeypatch.setattr(hamming, "stage", moved)
+    try:
+        rows = hamming.near_groups(plain_docs).collect()
+    finally:
+        spark.conf.set(size, old)
+    want = brute.near([(d, t) for d, t, _ in hard_rows])
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want
+
+
 def test_keys_meet_under_the_distance():
     rng = np.random.default_rng(3)
     shift = np.arange(hamming.CHUNK_SYMBOLS, dtype=np.uint64) * np.uint64(hamming.SYMBOL_BITS)
