@@ -14,7 +14,7 @@ Occurrences of a hot entity are spread over many documents, and their join with
 may be split by adaptive execution.
 
 Defined results: null and empty texts stay as they are, with 0 entities; repeated rows get
-the same text; documents keep all columns (``_at``, ``_found`` are reserved); an empty table stays empty.
+the same text; documents keep all columns (``_at``, ``_found``, ``_names``, ``_pattern``, ``_new`` are reserved); an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -29,18 +29,42 @@ from skygauge.session import stage
 KEY = "surrogate-key-1"
 
 _WORD_START = r"(?<![\p{L}\p{N}._%+\-@])"
+_TITLE = r"(?:(?:Mr|Mrs|Ms|Sr|Sra|Mme|Dr|Prof)\b\.?|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Господин|Госпожа)"
+_TITLES = rf"(?:{_TITLE}\s+)+"
+# A name part: initials before it, small words of a family name, inner capitals, apostrophes and hyphens belong to it.
+_PART = (
+    rf"(?!{_TITLE}\s)(?:\p{{Lu}}\.\s?)*(?:(?:van|von|der|den|de|del|della|di|da|dos|la|le|bin|al)[^\S\n]+){{0,3}}"
+    r"(?:\p{Lu}['’])?\p{Lu}\p{L}+(?:['’\-]\p{L}{2,})*"
+)
 #: Type and pattern; where two begin at the same place, the first wins.
 TYPES = {
     "email": _WORD_START + r"[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]+\.)+\p{L}{2,}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
-    "phone": r"(?<![\p{L}\d])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<![\p{L}\d])\+\d{1,3}(?:[ .\-]\d{2,4}){2,4}(?!\d)|(?<![\d\-.])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\d\-.])",
+    "phone": (
+        r"(?<![\p{L}\d])(?:\+\d{1,3}[ .\-]?)?\(\d{2,5}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)"
+        r"|(?<![\p{L}\d+])\+1[ .\-]?\d{3}[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)"
+        # A blank is not followed by an address or the groups of a card.
+        r"|(?<![\p{L}\d+])\+[1-9](?:(?:[.\-/]| (?!(?:\d{1,3}\.){3}\d|(?:\d{4}[ \-]){3}\d)| ?\(|\)[ .\-/]?)?\d){6,14}(?!\d)"
+        r"|(?<![\p{L}\d\-.])(?:1[ .\-])?(?:\d{3}-\d{3}-|\d{3}\.\d{3}\.|[2-9]\d{2} [2-9]\d{2}[ \-])\d{4}(?!\d|[\-.]\d)"
+    ),
     "id": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\d])\d(?:[ \-]?\d){12,18}(?!\d)",
-    "secret": r"(?<![\p{L}\p{N}])(?=[a-fA-F]*\d)(?=\d*[a-fA-F])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
-    "person": r"(?<![\p{L}])(?:(?:Mr|Mrs|Ms|Sr|Sra|Mme)\.?|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Господин|Госпожа)\s\p{Lu}\p{Ll}+(?:\s\p{Lu}\p{Ll}+)?(?!\p{L})",
+    "secret": (
+        r"(?<![\p{L}\p{N}])(?=[a-fA-F]*\d)(?=\d*[a-fA-F])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])"
+        r"|(?<![\p{L}\p{N}_\-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255}"
+        r"|glpat-[A-Za-z0-9_\-]{20,64}|xox[abeoprs]-[A-Za-z0-9\-]{10,250}|AIza[A-Za-z0-9_\-]{35}"
+        r"|sk[-_](?:[a-z]{2,8}[-_])*[A-Za-z0-9_\-]{20,250}|[rp]k_(?:live|test)_[A-Za-z0-9]{16,250}"
+        r"|eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})(?![\p{L}\p{N}_])"
+        r"|(?<![A-Za-z0-9_+/\-])(?=[A-Za-z0-9_+/\-]{16})(?<=(?i:secret|token|passwd|password|api[_\-]?key|access[_\-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)"
+        r"(?=[A-Za-z_+/\-]*\d)(?=[\d_+/\-]*[A-Za-z])[A-Za-z0-9_+/\-]{16,250}+={0,2}"
+    ),
+    "person": rf"(?<!\p{{L}}){_TITLES}{_PART}(?:[^\S\n]+{_PART})*(?:\n{_PART}(?:[^\S\n]+{_PART})*)?(?!\p{{L}})",
 }
 FEMALE = r"^(?:Mrs|Ms|Miss|Sra|Mme|Frau|Madame|Señora|Госпожа)\b"
+HEX = r"^[0-9a-fA-F]{32,128}$"
+#: A name part that may stand without a title.
+MENTION = r"^\p{Lu}[\p{L}'’\-]+$"
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 
 #: Syllables that surrogate names are made of, by script, and their endings.
@@ -123,31 +147,69 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         F.when(kind == "ip", octets)
         .when(kind == "email", F.concat(_draw(F.substring_index(canon, "@", 1), code), F.lit("@h"), host, F.lit(".example.org")))
         .when(kind == "card", F.coalesce(sums, drawn))
-        .when(kind == "secret", F.substr(code, F.lit(1), F.length(canon)))
+        .when((kind == "secret") & canon.rlike(HEX), F.substr(code, F.lit(1), F.length(canon)))
         .when(kind == "person", _name(code, canon))
         .otherwise(drawn)
     )
 
 
 def kind_of(raw: Column) -> Column:
-    """The first type whose pattern covers the whole entity."""
+    """The first type whose pattern covers the whole entity.
+
+    What is an entity by its surroundings alone is a name without a title, or a secret after its label.
+    """
     made = F
     for name, pattern in TYPES.items():
         made = made.when(raw.rlike(f"^(?:{pattern})$"), name)
-    return made
+    return made.when(raw.rlike(MENTION), "person").otherwise("secret")
+
+
+def person_parts(raw: Column) -> Column:
+    """Canonical name parts of a titled person, the last one as the family name."""
+    gender = F.when(raw.rlike(FEMALE), "f:").otherwise("m:")
+    words = F.split(F.regexp_replace(raw, f"^{_TITLES}", ""), r"\s+")
+    return F.transform(words, lambda w, k: F.concat(F.when(k == F.size(words) - 1, "s:").otherwise(gender), F.lower(w)))
+
+
+def names_of(found: Column) -> Column:
+    """(word, canon) of the name parts of titled persons, which stand for them elsewhere in the text.
 
+    Words after a line end may begin a sentence, so they do not count; the halves of a double name do.
+    """
 
-def parts_of(kind: Column, raw: Column) -> Column:
+    def of(raw: Column) -> Column:
+        line = F.split(F.regexp_replace(raw, f"^{_TITLES}", ""), "\n")[0]
+        words = F.split(F.trim(line), r"\s+")
+        named = F.zip_with(words, F.slice(person_parts(raw), F.lit(1), F.size(words)), lambda w, c: F.struct(w.alias("word"), c.alias("canon")))
+        halves = F.flatten(F.transform(
+            F.filter(named, lambda n: n["word"].contains("-")),
+            lambda n: F.transform(F.split(n["word"], "-"), lambda w: F.struct(w.alias("word"), F.concat(F.substr(n["canon"], F.lit(1), F.lit(2)), F.lower(w)).alias("canon"))),
+        ))
+        return F.filter(F.concat(named, halves), lambda n: n["word"].rlike(MENTION))
+
+    return F.flatten(F.transform(F.filter(found, lambda raw: raw.rlike(f"^{_TITLES}")), of))
+
+
+def pattern_with(names: Column) -> Column:
+    """PATTERN, and the words of ``names`` (as they are or in capitals); longer words first."""
+    words = F.array_distinct(F.flatten(F.transform(names, lambda n: F.array(n["word"], F.upper(n["word"])))))
+    ordered = F.transform(
+        F.sort_array(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), False), lambda x: x["w"]
+    )
+    mentions = F.concat(F.lit(r"|(?<![\p{L}\p{N}_@])(?:"), F.array_join(ordered, "|"), F.lit(r")(?![\p{L}\p{N}_@])"))
+    return F.when(F.size(names) > 0, F.concat(F.lit(PATTERN), mentions)).otherwise(F.lit(PATTERN))
+
+
+def parts_of(kind: Column, raw: Column, names: Column) -> Column:
     """Canonical values that an entity stands for: name parts for a person, else one."""
     digits = F.regexp_replace(raw, r"\D", "")
-    words = F.split(raw, r"\s+")
-    gender = F.when(raw.rlike(FEMALE), "f:").otherwise("m:")
-    family = F.concat(F.lit("s:"), F.lower(F.element_at(words, -1)))
-    person = F.when(F.size(words) > 2, F.array(F.concat(gender, F.lower(F.element_at(words, 2))), family)).otherwise(F.array(family))
+    mentioned = F.filter(names, lambda n: F.lower(n["word"]) == F.lower(raw))
+    person = F.when(raw.rlike(f"^{_TITLES}"), person_parts(raw)).otherwise(F.array(F.get(mentioned, F.lit(0))["canon"]))
     return (
         F.when(kind == "person", person)
         .when(kind.isin("phone", "card", "id"), F.array(digits))
         .when(kind == "iban", F.array(F.regexp_replace(raw, " ", "")))
+        .when((kind == "secret") & ~raw.rlike(HEX), F.array(raw))
         .otherwise(F.array(F.lower(raw)))
     )
 
@@ -165,10 +227,10 @@ def written(kind: Column, raw: Column, found: Column) -> Column:
         lambda a: a["out"],
     )
     upper = (raw == F.upper(raw)) & (raw != F.lower(raw))
-    title = F.regexp_extract(raw, r"^\S+\s", 0)
+    title = F.regexp_extract(raw, f"^{_TITLES}", 0)
     names = F.array_join(F.transform(found, lambda x: F.initcap(F.substring_index(x, ":", -1))), " ")
     return (
-        F.when(kind == "person", F.concat(title, names))
+        F.when(kind == "person", F.concat(title, F.when(upper, F.upper(names)).otherwise(names)))
         .when(kind.isin("phone", "card", "id", "iban"), fill)
         .otherwise(F.when(upper, F.upper(value)).otherwise(value))
     )
@@ -201,11 +263,14 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     found = docs.withColumn("_found", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
     none = F.coalesce(F.size("_found") <= 0, F.lit(True))
     clean = found.filter(none).drop("_found").withColumn("n_private", F.lit(0))
-    private = stage(found.filter(~none).withColumn("_at", F.monotonically_increasing_id()), "private")
-    raw = private.select(F.col("_at").alias("at"), F.posexplode("_found").alias("place", "raw"))
+    # Names found by a title are looked for once more without it.
+    named = found.filter(~none).withColumn("_names", names_of(F.col("_found"))).withColumn("_pattern", pattern_with(F.col("_names")))
+    again = F.when(F.size("_names") > 0, F.regexp_extract_all("text", F.col("_pattern"), F.lit(0))).otherwise(F.col("_found"))
+    private = stage(named.withColumn("_found", again).drop("_pattern").withColumn("_at", F.monotonically_increasing_id()), "private")
+    raw = private.select(F.col("_at").alias("at"), "_names", F.posexplode("_found").alias("place", "raw"))
     typed = raw.withColumn("kind", kind_of(F.col("raw")))
     places = stage(
-        typed.select("at", "place", "raw", "kind", F.posexplode(parts_of(F.col("kind"), F.col("raw"))).alias("part", "canon")),
+        typed.select("at", "place", "raw", "kind", F.posexplode(parts_of(F.col("kind"), F.col("raw"), F.col("_names"))).alias("part", "canon")),
         "places",
     )
     table = stage(surrogate_table(places.select("kind", "canon").distinct(), key), "surrogates")
@@ -219,7 +284,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("place", "new"))).alias("n"))
         .select(F.col("at").alias("_at"), F.col("n.new").alias("_new"))
     )
-    between = F.split("text", PATTERN, -1)
+    between = F.split("text", pattern_with(F.col("_names")), -1)
     pieces = F.zip_with(between, "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     replaced = (
         private.join(filled, "_at")
