@@ -1,11 +1,11 @@
 """Language-model scores: the marginal likelihood of a text over all its segmentations.
 
-The model is a unigram model over the pieces of an existing subword vocabulary (and single
-bytes, so that any text can be made). A text is a sequence of pieces and an end; its probability is
+The model is a unigram model over the pieces of an existing BPE vocabulary (and single bytes, so that any text can be made). A text is a sequence of pieces and an end; its probability is
 the sum over all segmentations, found by a forward recursion in log space. Pieces never
 cross a word's beginning, so the recursion runs word by word and the logarithms add up.
 
-Piece weights start from the vocabulary's own scores and are fitted to the training words by
+A BPE vocabulary scores pieces by merge rank, not by probability, so a piece of rank r starts
+with a weight in proportion to 1 / (1 + r); weights are then fitted to the training words by
 rounds of expectation and maximisation: each word of the corpus, with its count, is weighed over
 all its segmentations. The vocabulary is fixed; only the weights are fitted, from all training
 documents. The base model is a word unigram model with add-one smoothing.
@@ -33,7 +33,7 @@ from skygauge.llm.text import per_text, words_of
 from skygauge.session import ship_package, stage
 
 HEAD = 1 << 16
-ROUNDS = 1
+ROUNDS = 2
 PSEUDO_COUNT = 0.1
 FOLDS, HELD_OUT = 7, 2
 WORD_MARK = b" "

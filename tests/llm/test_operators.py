@@ -299,6 +299,22 @@ def test_lattice_is_the_sum_of_all_segmentations():
     assert sum(n * len(p) for p, n in uses.items()) == pytest.approx(2 * (2 + 3 + 7 + 6))
 
 
+def test_weights_are_fitted_twice(spark):
+    """The second round starts from what the first one gave."""
+    own = {b"lattice": 3, b"score": 2, b"scores": 1}
+    weights, ends = lattice.vocabulary(PIECES), 4
+    for _ in range(2):
+        model, used = lattice.Lattice(weights), {}
+        for word, n in own.items():
+            model.expected(word, n, used)
+        fitted = {p: used.get(p, 0.0) + lattice.PSEUDO_COUNT for p in weights}
+        total = sum(fitted.values()) + ends + lattice.PSEUDO_COUNT
+        weights = {p: log(c / total) for p, c in fitted.items()}
+    counts = spark.createDataFrame([(bytearray(w), n, n) for w, n in own.items()], "word binary, n long, seen long")
+    found, end = lattice.fit(counts, ends, PIECES)
+    assert found == pytest.approx(weights) and end == pytest.approx(log((ends + lattice.PSEUDO_COUNT) / total))
+
+
 def test_scores(plain_docs, hard_rows):
     train, ends = Counter(), 0
     for d, text, _ in hard_rows:
