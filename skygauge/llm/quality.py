@@ -25,8 +25,14 @@ from skygauge.llm.text import per_text, words_of
 WINDOW = 5
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-MEASURED = {c: "long" for c in [*MEASURES, "n_lines", "n_shouted", "n_marked"]}
-
+MEASURED = {c: "long" for c in [*MEASURES, "n_lines", "n_shouted", "n_marked", "unspaced"]}
+# Scripts written without blanks between words: Thai, Lao, Tibetan, Burmese, Khmer, Tai, kana, Han, Yi, Javanese and others.
+_UNSPACED = (
+    "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u1b00-\u1b7f\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff"
+    "\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua4cf\ua980-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff"
+)
+UNSPACED_LETTER = re.compile(rf"(?![\d_])[{_UNSPACED}]")
+OTHER_LETTER = re.compile(rf"[^\W\d_{_UNSPACED}]")
 
 
 def _rules() -> dict[str, Column]:
@@ -36,8 +42,8 @@ def _rules() -> dict[str, Column]:
         "repeated_windows": 100 * F.col("n_repeat_words") > 20 * words,
         "symbols": 100 * F.col("n_symbols") > 10 * words,
         "duplicate_lines": (F.col("n_lines") >= 4) & (100 * F.col("n_dup_lines") > 40 * F.col("n_lines")),
-        "long_words": F.col("word_chars") > 14 * words,
-        "short_words": (words >= 50) & (F.col("word_chars") < 2 * words),
+        "long_words": (F.col("unspaced") == 0) & (F.col("word_chars") > 14 * words),
+        "short_words": (F.col("unspaced") == 0) & (words >= 50) & (F.col("word_chars") < 2 * words),
         "shouting": (words >= 10) & (100 * F.col("n_shouted") > 60 * words),
         "exclamations": 100 * F.col("n_marked") > 30 * words,
     }
@@ -79,6 +85,14 @@ def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     return int((np.cumsum(covered[:n]) > 0).sum())
 
 
+def unspaced(text: str) -> bool:
+    """Whether most letters are of scripts without blanks between words; word lengths say nothing then."""
+    if text.isascii():
+        return False
+    n = sum(1 for _ in UNSPACED_LETTER.finditer(text))
+    return n > 0 and n > sum(1 for _ in OTHER_LETTER.finditer(text))
+
+
 def measures(text: str | None) -> tuple[int, ...]:
     """The values of MEASURED for a text."""
     text = text or ""
@@ -89,7 +103,7 @@ def measures(text: str | None) -> tuple[int, ...]:
     marked = sum(1 for w in words if w.endswith(b"!!"))
     return (
         len(words), len(joined), len(SYMBOLS.findall(text)), len(lines) - len(set(lines)),
-        repeated_words(words), len(lines), shouted, marked,
+        repeated_words(words), len(lines), shouted, marked, int(unspaced(text)),
     )
 
 

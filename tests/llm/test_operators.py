@@ -88,6 +88,19 @@ def test_rules(plain_docs, hard_rows):
         assert found["clean-2", rule] == (n, n - len(kept))
 
 
+def test_word_lengths_count_only_in_scripts_with_blanks(spark):
+    chinese = " ".join(chr(0x4E00 + 37 * k) * 2 + "".join(chr(0x5000 + 41 * k + j) for j in range(20)) for k in range(15))
+    thai = " ".join("".join(chr(0x0E01 + (k * 7 + j * 3) % 46) for j in range(25)) for k in range(12))
+    segmented = " ".join(chr(0x4E00 + k) for k in range(60))
+    latin = " ".join(f"{'x' * 20}{k}" for k in range(12))
+    few = latin + " \u4e2d\u6587"
+    docs = spark.createDataFrame(list(enumerate([chinese, thai, segmented, latin, few, latin.upper()])), "doc_id long, text string")
+    kept = {r.doc_id for r in quality.apply_policy(docs).collect()}
+    assert kept == {0, 1, 2}
+    for r in quality.ledger(docs).collect():
+        assert bool(r.failures & quality.mask_of(("long_words",))) == (r.doc_id > 2)
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_exact(plain_docs, hard_rows, monkeypatch, small):
     if small:  # many levels and split blocks
