@@ -6,8 +6,9 @@ at most 1 - s. Signatures are cut into CHUNKS equal chunks. If two signatures di
 CHUNKS * (ERRORS + 1) symbols, then by pigeonhole some chunk has at most ERRORS differing
 symbols; so each chunk is entered into the index once for every choice of ERRORS symbols left
 out, and such a pair meets under at least one key. The guarantee is for all pairs under that
-distance: 31 of 96 symbols. At a similarity of exactly 0.85, a pair is further apart with a
-probability of 6e-6, at 0.9 of 4e-10.
+distance. For a similarity of 85 % or more (``AT_85``) it is 31 of 96 symbols: at exactly 0.85, a pair is further
+apart with a probability of 6e-6, at 0.9 of 4e-10. For 80 % or more (``AT_80``) it is 39 of 100
+symbols: at exactly 0.8, a pair is further apart with a probability of 4e-6.
 
 Texts with the same words are one class with one signature. Under a key, every class is paired
 with the one that meets most others (a star, not all pairs); links are confirmed on full shingle
@@ -25,7 +26,8 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -39,69 +41,117 @@ from skygauge.llm.text import WordHashes, mixed, per_text, shingle_hashes, words
 from skygauge.session import ship_package, stage
 
 WIDTH = 5
-LEAST_PERCENT = 85
-CHUNKS = 16
-CHUNK_SYMBOLS = 6
-ERRORS = 1
-SYMBOLS = CHUNKS * CHUNK_SYMBOLS
-MOST_DISTANCE = CHUNKS * (ERRORS + 1) - 1
-# A chunk's symbols fill one long.
-SYMBOL_BITS = 10
 # Shingles hashed at a time, so that a very long text needs no more memory for it.
 SLICE = 4096
 # Keys under which more classes than this meet are compared in blocks of about BLOCK classes.
 DENSE_KEY = 64
 BLOCK = 256
 
-_SEEDS = mixed(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_FACTORS = (_SEEDS[:SYMBOLS] | np.uint64(1))[:, None]
-_SHIFTS = _SEEDS[SYMBOLS:][:, None]
-_LANES = np.arange(CHUNK_SYMBOLS, dtype=np.uint64) * np.uint64(SYMBOL_BITS)
-_SYMBOL = np.uint64((1 << SYMBOL_BITS) - 1)
-# The highest bit of each lane of a long, and all bits below them.
-_HIGH = sum(1 << (SYMBOL_BITS * k + SYMBOL_BITS - 1) for k in range(CHUNK_SYMBOLS))
-_LOW = sum(((1 << (SYMBOL_BITS - 1)) - 1) << (SYMBOL_BITS * k) for k in range(CHUNK_SYMBOLS))
-
-
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Low bits of the minimum of each hash function over the shingles, a long per chunk."""
-    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), SLICE):
-        part = shingles[None, at : at + SLICE]
-        np.minimum(least, (part * _FACTORS + _SHIFTS).min(axis=1), out=least)
-    symbols = (mixed(least) & _SYMBOL).reshape(CHUNKS, CHUNK_SYMBOLS)
-    return np.bitwise_or.reduce(symbols << _LANES, axis=1).view(np.int64)
-
-
-def chunk_keys(signatures: np.ndarray) -> np.ndarray:
-    """(rows, SYMBOLS): a key for each chunk and each symbol left out of it, in that order."""
-    chunks = (signatures.view(np.uint64)[:, :, None] >> _LANES) & _SYMBOL
-    place = np.arange(CHUNKS, dtype=np.uint64)[None, :] * np.uint64(CHUNK_SYMBOLS)
+
+@dataclass(frozen=True)
+class Scheme:
+    """Least similarity of a link in percent, and the layout of signatures that finds such links."""
+
+    percent: int
+    chunks: int
+    chunk_symbols: int
+    # A chunk's symbols fill one long.
+    symbol_bits: int
+    errors: int = 1
+
+    @property
+    def symbols(self) -> int:
+        return self.chunks * self.chunk_symbols
+
+    @property
+    def most_distance(self) -> int:
+        return self.chunks * (self.errors + 1) - 1
+
+    @property
+    def seeds(self) -> np.ndarray:
+        return mixed(np.arange(1, 2 * self.symbols + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    @property
+    def lanes(self) -> np.ndarray:
+        return np.arange(self.chunk_symbols, dtype=np.uint64) * np.uint64(self.symbol_bits)
+
+    @property
+    def symbol(self) -> np.uint64:
+        return np.uint64((1 << self.symbol_bits) - 1)
+
+    def split(self, signatures: np.ndarray) -> np.ndarray:
+        """(rows, chunks, chunk_symbols): the symbols of packed signatures."""
+        return (signatures.view(np.uint64)[:, :, None] >> self.lanes) & self.symbol
+
+
+AT_85 = Scheme(85, chunks=16, chunk_symbols=6, symbol_bits=10)
+AT_80 = Scheme(80, chunks=20, chunk_symbols=5, symbol_bits=12)
+
+LEAST_PERCENT = AT_85.percent
+CHUNKS = AT_85.chunks
+CHUNK_SYMBOLS = AT_85.chunk_symbols
+ERRORS = AT_85.errors
+SYMBOLS = AT_85.symbols
+MOST_DISTANCE = AT_85.most_distance
+SYMBOL_BITS = AT_85.symbol_bits
+
+
+def scheme_for(percent: int) -> Scheme:
+    """The cheapest scheme whose guarantee is made for ``percent``; links are confirmed at ``percent``."""
+    if percent < AT_80.percent:
+        raise ValueError(f"no scheme for a similarity under {AT_80.percent} %")
+    return replace(AT_85 if percent >= AT_85.percent else AT_80, percent=percent)
+
+
+def signer(scheme: Scheme = AT_85) -> Callable[[np.ndarray], np.ndarray]:
+    """Shingles to signature: low bits of the minimum of each hash function, a long per chunk."""
+    seeds, lanes = scheme.seeds, scheme.lanes
+    factors, shifts = (seeds[: scheme.symbols] | np.uint64(1))[:, None], seeds[scheme.symbols :][:, None]
+
+    def signature(shingles: np.ndarray) -> np.ndarray:
+        least = np.full(scheme.symbols, np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(shingles), SLICE):
+            part = shingles[None, at : at + SLICE]
+            np.minimum(least, (part * factors + shifts).min(axis=1), out=least)
+        symbols = (mixed(least) & scheme.symbol).reshape(scheme.chunks, scheme.chunk_symbols)
+        return np.bitwise_or.reduce(symbols << lanes, axis=1).view(np.int64)
+
+    return signature
+
+
+def chunk_keys(signatures: np.ndarray, scheme: Scheme = AT_85) -> np.ndarray:
+    """(rows, symbols): a key for each chunk and each symbol left out of it, in that order."""
+    chunks = scheme.split(signatures)
+    place = np.arange(scheme.chunks, dtype=np.uint64)[None, :] * np.uint64(scheme.chunk_symbols)
     keys = np.empty(chunks.shape, np.uint64)
-    for out in range(CHUNK_SYMBOLS):
+    for out in range(scheme.chunk_symbols):
         key = np.broadcast_to(mixed(place + np.uint64(out + 1)), chunks.shape[:2])
-        for k in range(CHUNK_SYMBOLS):
+        for k in range(scheme.chunk_symbols):
             if k != out:
                 key = mixed(key * np.uint64(31) + chunks[:, :, k])
         keys[:, :, out] = key
-    return keys.reshape(len(keys), SYMBOLS).view(np.int64)
+    return keys.reshape(len(keys), scheme.symbols).view(np.int64)
 
 
-def _differing(a: str, b: str, chunk: int) -> Column:
+def _differing(a: str, b: str, chunk: int, scheme: Scheme) -> Column:
     """Number of symbols of a chunk in which the signatures in columns ``a`` and ``b`` differ."""
+    # The highest bit of each lane of a long, and all bits below them.
+    lanes, bits = range(scheme.chunk_symbols), scheme.symbol_bits
+    high = sum(1 << (bits * k + bits - 1) for k in lanes)
+    low = sum(((1 << (bits - 1)) - 1) << (bits * k) for k in lanes)
     x = F.col(a)[chunk].bitwiseXOR(F.col(b)[chunk])
-    return F.bit_count((x.bitwiseAND(_LOW) + F.lit(_LOW)).bitwiseOR(x).bitwiseAND(_HIGH))
+    return F.bit_count((x.bitwiseAND(low) + F.lit(low)).bitwiseOR(x).bitwiseAND(high))
 
 
-def _may_link(a: str, b: str, n_a: str, n_b: str) -> Column:
+def _may_link(a: str, b: str, n_a: str, n_b: str, scheme: Scheme) -> Column:
     """Whether signature distance and set sizes allow a link."""
-    distance = reduce(lambda x, y: x + y, [_differing(a, b, c) for c in range(CHUNKS)])
+    distance = reduce(lambda x, y: x + y, [_differing(a, b, c, scheme) for c in range(scheme.chunks)])
     small, large = F.least(n_a, n_b), F.greatest(n_a, n_b)
-    return (100 * small >= LEAST_PERCENT * large) & (distance <= MOST_DISTANCE)
+    return (100 * small >= scheme.percent * large) & (distance <= scheme.most_distance)
 
 
-def _start_features():
-    hashes = WordHashes()
+def _start_features(scheme: Scheme):
+    hashes, signature = WordHashes(), signer(scheme)
 
     def features(texts: list[str | None]) -> list[tuple]:
         rows = []
@@ -115,15 +165,15 @@ def _start_features():
     return features
 
 
-def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _keys(batches: Iterator[pd.DataFrame], scheme: Scheme) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for at in range(0, len(batch), 1000):
             part = batch.iloc[at : at + 1000]
-            keys = chunk_keys(np.stack(part["sig"].to_numpy()))
-            yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), SYMBOLS), "key": keys.ravel()})
+            keys = chunk_keys(np.stack(part["sig"].to_numpy()), scheme)
+            yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), scheme.symbols), "key": keys.ravel()})
 
 
-def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _linked(batches: Iterator[pd.DataFrame], scheme: Scheme) -> Iterator[pd.DataFrame]:
     """Pairs that the full shingle sets confirm; rows with the same ``a`` stand together."""
     hashes = WordHashes()
     last, mine = None, None
@@ -134,14 +184,14 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 last, mine = a, shingle_hashes(hashes.of(words_of(text_a)), WIDTH)
             theirs = shingle_hashes(hashes.of(words_of(text_b)), WIDTH)
             common = len(np.intersect1d(mine, theirs, assume_unique=True))
-            good.append(100 * common >= LEAST_PERCENT * (len(mine) + len(theirs) - common))
+            good.append(100 * common >= scheme.percent * (len(mine) + len(theirs) - common))
         yield batch.loc[good, ["a", "b"]]
 
 
 PAIRS = "a long, b long"
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
     """Staged links among the candidate pairs (a, b)."""
     side = lambda df, c, x: df.select(
         F.col("node").alias(c), *[F.col(v).alias(f"{v}_{c}") for v in x]
@@ -149,19 +199,19 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFram
     near = stage(
         pairs.join(side(nodes, "a", ["n", "sig"]), "a")
         .join(side(nodes, "b", ["n", "sig"]), "b")
-        .filter(_may_link("sig_a", "sig_b", "n_a", "n_b"))
+        .filter(_may_link("sig_a", "sig_b", "n_a", "n_b", scheme))
         .select("a", "b"),
         "near",
     )
     return stage(
         near.join(side(texts, "b", ["text"]), "b")
         .join(side(texts, "a", ["text"]), "a")
-        .mapInPandas(_linked, PAIRS),
+        .mapInPandas(lambda batches: _linked(batches, scheme), PAIRS),
         "links",
     )
 
 
-def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
+def _block_links(rows: pd.DataFrame, scheme: Scheme) -> pd.DataFrame:
     """Links between the classes of two blocks (or within one) that join components.
 
     A link is left out if the links found before it, or the components given, imply it.
@@ -169,8 +219,7 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
     hashes = WordHashes()
     rows = rows.sort_values("node", ignore_index=True)
     nodes, n = rows["node"].to_numpy(), rows["n"].to_numpy()
-    chunks = np.stack(rows["sig"].to_numpy()).view(np.uint64)
-    symbols = ((chunks[:, :, None] >> _LANES) & _SYMBOL).astype(np.uint16).reshape(len(rows), SYMBOLS)
+    symbols = scheme.split(np.stack(rows["sig"].to_numpy())).astype(np.uint16).reshape(len(rows), scheme.symbols)
     # Labels as small numbers that are merged when a link is found.
     labels = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
     blocks = rows["block"].to_numpy()
@@ -188,19 +237,19 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
         if not one_block:
             j = j[blocks[j] != blocks[i]]
         j = j[labels[j] != labels[i]]
-        j = j[100 * np.minimum(n[j], n[i]) >= LEAST_PERCENT * np.maximum(n[j], n[i])]
+        j = j[100 * np.minimum(n[j], n[i]) >= scheme.percent * np.maximum(n[j], n[i])]
         distance = (symbols[j] != symbols[i]).sum(axis=1)
-        near = distance <= MOST_DISTANCE
+        near = distance <= scheme.most_distance
         for k in j[near][np.argsort(distance[near], kind="stable")]:
             if labels[k] != labels[i]:
                 common = len(np.intersect1d(shingles(i), shingles(k), assume_unique=True))
-                if 100 * common >= LEAST_PERCENT * (n[i] + n[k] - common):
+                if 100 * common >= scheme.percent * (n[i] + n[k] - common):
                     found.append((nodes[i], nodes[k]))
                     labels[labels == labels[k]] = labels[i]
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def _dense_links(open_: DataFrame, texts: DataFrame) -> DataFrame:
+def _dense_links(open_: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
     """Links between components among classes that meet under dense keys.
 
     Classes that meet are one cluster. Its largest component needs no comparison with itself: the
@@ -242,29 +291,32 @@ def _dense_links(open_: DataFrame, texts: DataFrame) -> DataFrame:
         )
     )
     ship_package(spark)
-    return stage(units.groupBy("cluster", "low", "high").applyInPandas(_block_links, PAIRS), "links")
+    linked = units.groupBy("cluster", "low", "high").applyInPandas(lambda rows: _block_links(rows, scheme), PAIRS)
+    return stage(linked, "links")
 
 
-def near_groups(docs: DataFrame, row_id: str | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, row_id: str | None = None, percent: int = LEAST_PERCENT) -> DataFrame:
     """One row per row of ``docs``: rid, doc_id, n_shingles, component_id, kept.
 
+    ``percent`` is the least Jaccard similarity of a link, 80 or more.
     ``row_id`` names a column with distinct longs that are saved with the rows; without it, rows
     are numbered here and staged with their numbers: a later scan may be split in another way.
     """
+    scheme = scheme_for(percent)
     ship_package(docs.sparkSession)
     rid = (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("rid")
     numbered = docs.select(rid, "doc_id", "text")
     if row_id is None:
         numbered = stage(numbered, "numbered")
     features = stage(
-        per_text(numbered, _start_features, {"same": "binary", "n": "int", "sig": "array<long>"}), "features"
+        per_text(numbered, lambda: _start_features(scheme), {"same": "binary", "n": "int", "sig": "array<long>"}), "features"
     )
     classes = stage(
         features.groupBy("same").agg(F.min("rid").alias("node"), F.max("n").alias("n"), F.max("sig").alias("sig")),
         "classes",
     )
     nodes = classes.filter("n > 0").select("node", "n", "sig")
-    keys = nodes.select("node", "sig").mapInPandas(_keys, "node long, key long")
+    keys = nodes.select("node", "sig").mapInPandas(lambda batches: _keys(batches, scheme), "node long, key long")
     shared = stage(
         keys.groupBy("key")
         .agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("size"))
@@ -290,7 +342,7 @@ def near_groups(docs: DataFrame, row_id: str | None = None) -> DataFrame:
         ),
         "texts",
     )
-    links = _confirmed(stars, nodes, texts)
+    links = _confirmed(stars, nodes, texts, scheme)
     labels = components(links)
     # Keys under which more than one component meets; a class without links is its own.
     placed = stage(
@@ -310,13 +362,14 @@ def near_groups(docs: DataFrame, row_id: str | None = None) -> DataFrame:
         .join(
             sparse.alias("y"),
             (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))
-            & _may_link("x.sig", "y.sig", "x.n", "y.n"),
+            & _may_link("x.sig", "y.sig", "x.n", "y.n", scheme),
         )
         .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    more = _confirmed(across, nodes, texts).union(_dense_links(open_.filter(F.col("size") > DENSE_KEY), texts))
+    dense = _dense_links(open_.filter(F.col("size") > DENSE_KEY), texts, scheme)
+    more = _confirmed(across, nodes, texts, scheme).union(dense)
     if not more.isEmpty():
         labels = components(links.union(more))
     placed_rows = (

@@ -366,3 +366,31 @@ def test_pipeline_stages(spark, plain_docs, hard_rows):
     assert mixed.columns == columns and mixed.count() >= 1
     packed = steps["packing"](spark, mixed, "")
     assert packed.agg(F.sum("length")).first()[0] > 0
+
+
+def test_pipeline_near_copies_from_80_percent(spark):
+    """Pairs of 0.83, 0.82 and 0.8 are one group each, those of 0.79 and less are two; all would be at 85."""
+    words = [f"n{k}" for k in range(10 * 200)]
+    rows = []
+    for at, (size, cut) in enumerate([(104, 18), (104, 20), (104, 21), (184, 30), (184, 40), (184, 48)]):
+        text = words[200 * at : 200 * at + size]
+        rows += [(2 * at, " ".join(text), "a"), (2 * at + 1, " ".join(text[:-cut]), "a")]
+    docs = [(d, t) for d, t, _ in rows]
+    want = sorted({c for _, c in brute.near(docs, 80).values()})
+    assert len(want) < len({c for _, c in brute.near(docs).values()}) == len(docs)
+    table = spark.createDataFrame([(d, t, s, len(t)) for d, t, s in rows], "doc_id long, text string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, table, "")
+    assert sorted(r.doc_id for r in kept.collect()) == want
+
+
+def test_keys_meet_under_the_distance_of_each_scheme():
+    rng = np.random.default_rng(4)
+    for scheme in (hamming.AT_85, hamming.AT_80):
+        pack = lambda s: np.bitwise_or.reduce(s.reshape(scheme.chunks, -1).astype(np.uint64) << scheme.lanes, axis=1).view(np.int64)
+        for _ in range(200):
+            one = rng.integers(0, 1 << scheme.symbol_bits, scheme.symbols)
+            other = one.copy()
+            at = rng.choice(scheme.symbols, scheme.most_distance, replace=False)
+            other[at] ^= rng.integers(1, 1 << scheme.symbol_bits, len(at))
+            a, b = hamming.chunk_keys(np.stack([pack(one), pack(other)]), scheme)
+            assert (a == b).any()
