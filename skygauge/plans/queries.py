@@ -440,12 +440,12 @@ def _fitted(spark: SparkSession, sf_dir: str, make) -> tuple:
     return rows, models.fit(train, make(train)), test
 
 
-def small_forest(train: DataFrame):
-    return models.forest(trees=10, depth=8)
+def default_forest(train: DataFrame):
+    return models.forest()
 
 
-def small_boosting(train: DataFrame):
-    return models.boosting(rounds=10, depth=5)
+def default_boosting(train: DataFrame):
+    return models.boosting()
 
 
 def _trained(make) -> Query:
@@ -458,27 +458,21 @@ def _trained(make) -> Query:
 
 def train_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.featured(spark, sf_dir)
-    train, _ = models.split_for_training(rows)
-    estimators = {
-        models.RIDGE: models.ridge(train),
-        models.FOREST: small_forest(train),
-        models.BOOSTING: small_boosting(train),
-    }
-    return reports.model_comparison(models.train_and_compare(rows, estimators).metrics)
+    return reports.model_comparison(models.train_and_compare(rows).metrics)
 
 
 def forecast_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, model, _ = _fitted(spark, sf_dir, small_boosting)
+    rows, model, _ = _fitted(spark, sf_dir, default_boosting)
     return forecast.latest_forecast(model, rows)
 
 
 def backtest_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, model, _ = _fitted(spark, sf_dir, small_boosting)
+    rows, model, _ = _fitted(spark, sf_dir, default_boosting)
     return backtest.recursive_backtest(model, rows)
 
 
 def tree_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, model, _ = _fitted(spark, sf_dir, small_boosting)
+    rows, model, _ = _fitted(spark, sf_dir, default_boosting)
     found = attribution.attribute(model, attribution.sample_rows(rows))
     return attribution.ranked(attribution.importance(found))
 
@@ -535,8 +529,8 @@ QUERIES: dict[str, Query] = {
     "pollutant_limits": pollutant_limits,
     "live_stream": live_stream,
     "train_ridge": _trained(models.ridge),
-    "train_forest": _trained(small_forest),
-    "train_boosting": _trained(small_boosting),
+    "train_forest": _trained(default_forest),
+    "train_boosting": _trained(default_boosting),
     "train_compare": train_compare,
     "forecast_boosting": forecast_boosting,
     "backtest_boosting": backtest_boosting,

@@ -4,7 +4,7 @@ import pytest
 
 from skygauge.operators import evaluate, models, scorers
 from skygauge.operators.features import build_features
-from skygauge.plans import reports
+from skygauge.plans import queries, reports
 from skygauge.schemas import FEATURE_COLS, MODEL_METRICS, TARGET
 from skygauge.session import stage
 
@@ -110,3 +110,37 @@ def test_default_settings():
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (200, 15, 5)
     assert (boosting.getMaxIter(), boosting.getStepSize(), boosting.getMaxDepth()) == (300, 0.05, 6)
     assert (boosting.getSubsamplingRate(), boosting.getFeatureSubsetStrategy()) == (0.8, "0.8")
+
+
+TREES = {"numTrees": 200, "maxDepth": 15}, {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05}
+
+
+@pytest.mark.parametrize(
+    "name, fitted",
+    [("train_forest", TREES[:1]), ("train_compare", TREES)]
+    + [(n, TREES[1:]) for n in ("train_boosting", "forecast_boosting", "backtest_boosting", "tree_shap")],
+)
+def test_queries_fit_the_models_of_the_reference(spark, featured, monkeypatch, name, fitted):
+    """Which trees are asked for; the fit itself is left out, as it takes minutes."""
+    asked = []
+
+    class Stop(Exception):
+        pass
+
+    def record(train, estimator, *args):
+        asked.append({p.name: v for p, v in estimator.extractParamMap().items()})
+        if len([a for a in asked if "maxDepth" in a]) == len(fitted):
+            raise Stop
+
+    class Blank:
+        def first(self):
+            return {"mae": 0.0, "rmse": 0.0, "r2": 0.0}
+
+    monkeypatch.setattr(queries.tables, "featured", lambda *args: featured)
+    monkeypatch.setattr(models, "fit", record)
+    monkeypatch.setattr(models, "score", lambda *args: None)
+    monkeypatch.setattr(models, "regression_metrics", lambda *args: Blank())
+    with pytest.raises(Stop):
+        queries.QUERIES[name](spark, "")
+    trees = [a for a in asked if "maxDepth" in a]
+    assert [{k: a[k] for k in want} for a, want in zip(trees, fitted, strict=True)] == list(fitted)
