@@ -1,7 +1,10 @@
 """Licence scan: units of text compared with licence templates by Dice over word bigrams.
 
 A text is normalised (lower case, everything but letters and digits as one blank) and looked at
-in three kinds of units: sentences, paragraphs and the whole. The coefficient is
+in four kinds of units: sentences, paragraphs, the whole, and runs of words of the whole, whatever
+sentences, lines and paragraphs they cover. A run begins where a template would begin if an anchor of it (see
+below) stood at its place in the template, and has one of RUN_SHARES of the template's length; of runs that
+overlap and are alike in size, the best is given. The coefficient is
 2 * common / (unit's bigrams + template's bigrams), over distinct bigrams. A unit of n bigrams can
 only reach the threshold t against templates of n * t / (2 - t) to n * (2 - t) / t bigrams, so
 sizes prune the templates a unit is compared with. Before that, a document is skipped if it has
@@ -24,7 +27,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 0.8
+#: Lengths of runs, in parts of a template's: from one end of the size bounds at 0.8 to the other.
+RUN_SHARES = (0.7, 0.85, 1.0, 1.2, 1.45)
 
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution. {} THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+    "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+    "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF "
+    "THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {0} as published by "
+    "the Free Software Foundation, either {1} of the License, or (at your option) any later version. This program is "
+    "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {0} for more details."
+)
 #: Texts of public licences and of the usual notices.
 TEMPLATES = {
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -81,6 +105,26 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
         "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
+    "BSD-2-Clause": _BSD.format(""),
+    "BSD-3-Clause": _BSD.format(
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission."
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, "
+        "execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties "
+        "to whom the Software is furnished to do so, all subject to the following:"
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means."
+    ),
+    "GPL-2.0-notice": _GNU.format("GNU General Public License", "version 2"),
+    "LGPL-2.1-notice": _GNU.format("GNU Lesser General Public License", "version 2.1"),
+    "LGPL-3.0-notice": _GNU.format("GNU Lesser General Public License", "version 3"),
+    "AGPL-3.0-notice": _GNU.format("GNU Affero General Public License", "version 3"),
 }
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -88,10 +132,15 @@ SENTENCE_END = r"\n+|(?<=[.!?])\s+"
 PARAGRAPH_END = r"\n[ \t]*\n+"
 
 
-def template_bigrams(text: str) -> list[str]:
-    """Distinct bigrams of a template, in the form of the scan."""
+def template_pairs(text: str) -> list[str]:
+    """Bigrams of a template in order, in the form of the scan."""
     words = re.sub(r"[\W_]+", " ", text.lower()).split()
-    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+
+def template_bigrams(text: str) -> list[str]:
+    """Distinct bigrams of a template."""
+    return list(dict.fromkeys(template_pairs(text)))
 
 
 def anchors(bigrams: list[str], least: float) -> list[str]:
@@ -120,19 +169,80 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), NOT_WORD, " "))
 
 
-def bigrams(unit: Column) -> Column:
-    """Distinct bigrams of a unit."""
+def pairs_of(unit: Column) -> Column:
+    """Bigrams of a unit in order."""
     words = F.split(normalised(unit), " ")
-    pairs = F.zip_with(
+    return F.zip_with(
         F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
         F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
         lambda a, b: F.concat(a, F.lit(" "), b),
     )
-    return F.array_distinct(pairs)
+
+
+def bigrams(unit: Column) -> Column:
+    """Distinct bigrams of a unit."""
+    return F.array_distinct(pairs_of(unit))
+
+
+def runs_of(name: str, text: str, least: float) -> Column:
+    """Runs that match one template, from ``_pairs`` (bigrams in order) and ``_hits`` (anchors in them)."""
+    pairs, known = template_pairs(text), template_bigrams(text)
+    own = anchors(known, least)
+    # An anchor that stands in the template more than once gives a start for each place.
+    places = [(b, k) for k, b in enumerate(pairs) if b in set(own)]
+    table = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(k).alias("k")) for b, k in places])
+    lengths = sorted({max(1, round(share * len(pairs))) for share in RUN_SHARES})
+
+    def begins(hit: Column) -> Column:
+        return F.transform(F.filter(table, lambda p: p["b"] == hit["b"]), lambda p: F.greatest(hit["i"] - p["k"], F.lit(0)))
+
+    def run(start: Column, length: int) -> Column:
+        cut = F.array_distinct(F.slice("_pairs", start + 1, F.lit(length)))
+        common = F.size(F.array_intersect(cut, F.array(*map(F.lit, known))))
+        return F.struct(
+            (2.0 * common / (F.size(cut) + len(known))).alias("dice"), F.lit(name).alias("license"),
+            start.alias("position"), F.size(cut).alias("bigrams"), F.lit(length).alias("length"),
+        )
+
+    hits = F.filter("_hits", lambda h: h["b"].isin(own))
+    starts = F.array_distinct(F.flatten(F.transform(hits, begins)))
+    found = F.flatten(F.transform(starts, lambda s: F.array(*[run(s, n) for n in lengths])))
+    return F.filter(found, lambda x: x["dice"] >= least - 1e-12)
+
+
+def runs(docs: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
+    """Matching runs of words of ``docs``, which have anchors: the columns of ``scan``; position counts words."""
+    made = [runs_of(name, text, least) for name, text in sorted(templates.items())]
+    all_anchors = {a for text in templates.values() for a in anchors(template_bigrams(text), least)}
+    better_first = F.array_sort(
+        F.flatten(F.array(*made)),
+        lambda a, b: F.when(a["dice"] != b["dice"], F.when(a["dice"] > b["dice"], -1).otherwise(1))
+        .when(a["license"] != b["license"], F.when(a["license"] < b["license"], -1).otherwise(1))
+        .otherwise(F.signum(a["position"] - b["position"]).cast("int")),
+    )
+    alike = lambda x, y: (
+        (x["position"] < y["position"] + y["length"]) & (y["position"] < x["position"] + x["length"])
+        & (3 * x["length"] >= 2 * y["length"]) & (3 * y["length"] >= 2 * x["length"])
+    )
+    kept = F.aggregate(
+        "_found",
+        F.slice("_found", F.lit(1), F.lit(0)),
+        lambda kept, x: F.when(F.exists(kept, lambda y: alike(x, y)), kept).otherwise(F.concat(kept, F.array(x))),
+    )
+    hits = F.filter(
+        F.transform("_pairs", lambda b, i: F.struct(b.alias("b"), i.alias("i"))), lambda h: h["b"].isin(sorted(all_anchors))
+    )
+    return (
+        docs.withColumn("_pairs", pairs_of(F.col("text")))
+        .withColumn("_hits", hits)
+        .withColumn("_found", better_first)
+        .select("doc_id", F.explode(kept).alias("r"))
+        .select("doc_id", F.lit("run").alias("unit"), "r.position", "r.license", "r.dice", "r.bigrams")
+    )
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """Matching units: doc_id, unit (sentence, paragraph or text), position, license, dice, bigrams."""
+    """Matching units: doc_id, unit (sentence, paragraph, text or run), position, license, dice, bigrams."""
     known = {name: template_bigrams(text) for name, text in sorted(templates.items())}
     phrases = sorted({a for b in known.values() for a in anchors(b, least)})
     anchor = f"(?:^| ){any_of(phrases)}"
@@ -144,10 +254,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
         )
 
     text = F.col("text")
+    anchored = docs.select("doc_id", "text").filter(normalised(text).rlike(anchor))
     found = (
-        docs.select("doc_id", "text")
-        .filter(normalised(text).rlike(anchor))
-        .select(
+        anchored.select(
             "doc_id",
             F.explode(
                 F.concat(
@@ -175,8 +284,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
         F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("license")),
         lambda a, b: F.when(b["dice"] > a["dice"], b).otherwise(a),
     )
-    return (
+    matching = (
         found.withColumn("best", best)
         .filter(F.col("best.dice") >= least - 1e-12)
         .select("doc_id", "unit", "position", F.col("best.license").alias("license"), F.col("best.dice").alias("dice"), "bigrams")
     )
+    return matching.unionByName(runs(anchored, templates, least))

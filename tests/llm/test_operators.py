@@ -220,6 +220,28 @@ def test_licences(spark):
             assert r.dice == pytest.approx(2 * len(of & own) / (len(of) + len(own)))
 
 
+def test_licences_inside_larger_texts(spark):
+    """Licences in several paragraphs or over line ends, with other words around them."""
+    t = licenses.TEMPLATES
+    other = " ".join(f"word{k}" for k in range(300))
+    mit = t["MIT"].replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    gpl = t["GPL-3.0-notice"].replace("version. This", "version.\n\nThis")
+    apache = t["Apache-2.0-notice"].replace(". You", ".\nYou").replace("2.0 Unless", "2.0\n\nUnless")
+    rows = [
+        (1, f"{other}\n\n{mit}\n\n{other}"), (2, f"{gpl}\n\n{other}"), (3, f"{other}\n{apache} {other}"),
+        (4, f"{other} Licensed under the Apache\nLicense, Version 2.0. {other}"), (5, other),
+        (6, f"{mit} {other} {mit.replace('hereby granted', 'hereby freely and for ever granted')} {other}"),
+        (7, f"{other}\n\n{t['BSD-3-Clause']}"),
+    ]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).filter("unit = 'run'").collect()
+    names = {(r.doc_id, r.license) for r in found}
+    assert names >= {(1, "MIT"), (2, "GPL-3.0-notice"), (3, "Apache-2.0-notice"), (4, "Apache-2.0-line"), (6, "MIT"), (7, "BSD-3-Clause")}
+    assert not {(2, "GPL-2.0-notice"), (7, "BSD-2-Clause")} & names and all(d != 5 for d, _ in names)
+    assert sum(r.doc_id == 6 and r.license == "MIT" for r in found) == 2
+    first = next(r for r in found if r.doc_id == 1)
+    assert (first.position, first.dice) == (300, 1.0)
+
+
 def test_resampling_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
