@@ -100,9 +100,46 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id, d.doc_id = c.comp
 FROM docs d LEFT JOIN sizes s ON d.doc_id = s.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON d.doc_id = c.a
 """
 
+TRIE = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS steps),
+turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS said FROM turns GROUP BY conv_id),
+borrowing AS (
+  SELECT conv_id, said, conv_id - conv_id % 100 AS root,
+    xor(4294967295, list_reduce(
+      list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1]))) % 6 AS h
+  FROM own, crc),
+rebuilt AS (
+  SELECT c.conv_id,
+    list_concat(CASE WHEN r.said IS NULL THEN [] ELSE r.said[1 : h] END, c.said[h + 1 : len(c.said)]) AS seq
+  FROM borrowing c LEFT JOIN own r ON c.root = r.conv_id),
+members AS (
+  SELECT conv_id, d AS depth, seq[1 : d] AS path, d = len(seq) AS ends FROM rebuilt, unnest(range(0, len(seq) + 1)) AS t(d)),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * length(path[depth].text) END AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM members GROUP BY path, depth),
+children AS (SELECT path[1 : depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+counted AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON n.path = c.path),
+below AS (
+  SELECT path[1 : d] AS path, sum(saved) AS saved, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM counted, unnest(range(0, depth + 1)) AS t(d) GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves,
+  CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM counted n JOIN below b ON n.path = b.path LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[1 : n.depth - 1]
+"""
+
 ORACLE = {
     "op2_source_mix": MIX,
     "op5_quality_rules": RULES,
     "op7_exact_dedup": EXACT,
     "op8_near_dedup": NEAR,
+    "op12_prefix_trie": TRIE,
 }

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skygauge.llm import chat, hamming, lattice, licenses, mixing, naming, packing, quality, resampling, surrogates
+from skygauge.llm import token_counts, trie, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
+COUNTED = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +75,19 @@ def pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(COUNTED))
+    return counted.withColumn("over_limit", F.col("n_tokens") > token_counts.MAX_TOKENS)
+
+
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": licence_scan,
     "op2_source_mix": mix,
@@ -84,4 +99,7 @@ QUERIES: dict[str, Query] = {
     "op8_near_dedup": near,
     "op9_lattice_score": lm_score,
     "op10_packing": pack,
+    "op11_token_counts": tokens,
+    "op12_prefix_trie": prefix_trie,
+    "op13_embedding_whitening": whitened,
 }
