@@ -14,7 +14,8 @@ the occurrences, so nothing is sorted and the number sent is bounded whatever th
 
 A pre-token of more than LONG_KEY characters is represented by its digest, so keys are short; its pieces are
 counted where it is found. Texts are cut at the six ASCII spaces first, and each distinct word is
-pre-tokenized once per worker memory; ``PreTokens`` checks that the tokenizer's pre-tokens never cross a space. Words of
+pre-tokenized once per worker memory, plain Latin ones by the pattern in the tokenizer's file, others by
+the library; ``PreTokens`` checks that the tokenizer's pre-tokens never cross a space. Words of
 more than LONG_WORD bytes are cut further where an ASCII letter or digit meets another mark, so that the
 library's own working memory stays small.
 
@@ -26,6 +27,7 @@ is kept; an empty table gives no rows; other columns are ignored, whatever their
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from array import array
@@ -35,6 +37,7 @@ from functools import cache
 from itertools import chain
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +57,39 @@ SPACES = " \t\n\v\f\r"
 # Space is in no pre-token, so it marks keys that are not the pre-token itself.
 SPECIAL, DIGEST = "\n", "\r"
 INSIDE_LONG_WORD = re.compile(r"(?<=[0-9A-Za-z])(?=[!-&(-/:-@\[-`{-~])|(?<=[0-9])(?=[0-9A-Za-z])")
+# Printable letters and marks of Latin scripts, none of which combines with another.
+PLAIN = re.compile("[!-~¡-¬®-ɏ]+")
 PROBES = ["a", "Z9", "it's", "'s", "é", "́x", "字", "...", "-", "İ"]
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself where it is printable, else the next one from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+def plain_pattern(spec: dict) -> tuple[regex.Pattern, bool] | None:
+    """What a tokenizer's file says of plain words: the pattern of pre-tokens, and whether they are lower-cased.
+
+    None where it says more than that.
+    """
+    steps = lambda x, name: [] if x is None else x[name] if x["type"] == "Sequence" else [x]
+    normalizers, pre = steps(spec["normalizer"], "normalizers"), steps(spec["pre_tokenizer"], "pretokenizers")
+    lower = False
+    for step in normalizers:
+        spaces = step["type"] == "Replace" and step["pattern"] == {"Regex": r"\s+"}
+        lower |= step["type"] == "Lowercase"
+        if not (spaces or step["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase")):
+            return None
+    if [s["type"] for s in pre] != ["Split", "ByteLevel"] or pre[1]["add_prefix_space"] or pre[1]["use_regex"]:
+        return None
+    split = pre[0]
+    if split["behavior"] != "Removed" or not split["invert"] or "Regex" not in split["pattern"]:
+        return None
+    return regex.compile(split["pattern"]["Regex"]), lower
+
+
 class PreTokens(dict):
     """Keys of the pre-tokens of each word (UTF-8 without ASCII space), remembered."""
 
@@ -70,8 +103,14 @@ class PreTokens(dict):
         if any(t.normalized or t.single_word or t.lstrip or t.rstrip or set(t.content) & set(SPACES) for t in added):
             raise ValueError("added tokens that depend on what stands around them can't be counted word by word")
         names = sorted((re.escape(t.content) for t in added), key=len, reverse=True)
-        self.special = re.compile(f"({'|'.join(names)})") if names else None
-        self.longest: dict[str, str] = {}
+        self.special = re.compile(f"({'|'.join(names)})" if names else r"(?!)")
+        self.plain = plain_pattern(json.loads(self.tokenizer.to_str()))
+        self.letters = byte_letters()
+        if self.plain:
+            # Normal forms and letter cases must be those of the library for every plain character.
+            plain = [c for c in map(chr, range(0x250)) if PLAIN.fullmatch(c)]
+            if any(self.cut(c) != self.cut_plain(c) for c in plain):
+                self.plain = None
         for a in PROBES:
             for b in PROBES:
                 for space in [*SPACES, "\r\n ", "  "]:
@@ -84,6 +123,14 @@ class PreTokens(dict):
             text = self.tokenizer.normalizer.normalize_str(text)
         return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
+    def cut_plain(self, text: str) -> list[str]:
+        """The same for a plain word, by the pattern alone."""
+        pattern, lower = self.plain
+        found = pattern.findall(text.lower() if lower else text)
+        if text.isascii():
+            return found
+        return [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in found]
+
     def key(self, pre_token: str) -> str:
         if len(pre_token) <= LONG_KEY:
             return pre_token
@@ -92,8 +139,10 @@ class PreTokens(dict):
     def of(self, word: bytes) -> list[str]:
         """Pre-tokens of a word, special tokens marked."""
         text = word.decode("utf-8", "replace")
+        if self.plain and PLAIN.fullmatch(text) and not self.special.search(text):
+            return self.cut_plain(text)
         out = []
-        for k, part in enumerate(self.special.split(text) if self.special else [text]):
+        for k, part in enumerate(self.special.split(text)):
             if k % 2:
                 out.append(SPECIAL + part)
             else:

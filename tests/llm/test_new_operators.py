@@ -74,6 +74,14 @@ def test_tokenizers_that_join_spaces_are_refused():
         token_counts.PreTokens(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.characters(min_codepoint=0x21, max_codepoint=0x24F, exclude_categories=["Cc", "Cf", "Zs"]), min_size=1, max_size=40))
+def test_pattern_of_plain_words_is_the_library(word):
+    known = token_counts.pre_tokens(COUNTED)
+    assert known.plain and token_counts.PLAIN.fullmatch(word)
+    assert known.special.search(word) or known.of(word.encode()) == known.cut(word)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_words_add_up_to_the_text(text):
