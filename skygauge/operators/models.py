@@ -6,14 +6,16 @@ from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skygauge.operators.boosting import BoostedTrees, HistogramBoosting, Settings
 from skygauge.operators.evaluate import regression_metrics, select_model
 from skygauge.operators.series import chronological_split
 from skygauge.schemas import FEATURE_COLS, MODEL_METRICS, STATION, TARGET, TIMESTAMP
 from skygauge.session import ensure_checkpoint_dir, stage
+from skygauge.sources import files
 
 RIDGE = "Ridge Regression"
 FOREST = "Random Forest"
@@ -62,20 +64,16 @@ def boosting(
     column_share: float = 0.8,
     seed: int = 42,
     target: str = TARGET,
-) -> GBTRegressor:
-    return GBTRegressor(
-        labelCol=target,
-        maxIter=rounds,
-        stepSize=rate,
-        maxDepth=depth,
-        subsamplingRate=row_share,
-        featureSubsetStrategy=str(column_share),
-        maxBins=256,
-        seed=seed,
-    )
+    **more: float,
+) -> HistogramBoosting:
+    """``more``: penalty, least_weight, least_gain, bins of ``boosting.Settings``."""
+    return HistogramBoosting(Settings(rounds, rate, depth, row_share, column_share, seed=seed, **more), target)
+
+
+Fitted = PipelineModel | BoostedTrees
 
 
-def default_models(train: DataFrame) -> dict[str, Estimator]:
+def default_models(train: DataFrame) -> dict[str, Estimator | HistogramBoosting]:
     return {RIDGE: ridge(train), FOREST: forest(), BOOSTING: boosting()}
 
 
@@ -85,19 +83,21 @@ def varying(train: DataFrame, features: list[str]) -> list[str]:
     return [f for f in features if ends[f]]
 
 
-def fit(train: DataFrame, estimator: Estimator, features: list[str] = FEATURE_COLS) -> PipelineModel:
+def fit(train: DataFrame, estimator: Estimator | HistogramBoosting, features: list[str] = FEATURE_COLS) -> Fitted:
     """Constant features (the month of a short series) are left out of a linear fit.
 
     Their ridge coefficient is 0, but Spark does not penalize a column without variance and
     meets a singular matrix.
     """
     ensure_checkpoint_dir(train.sparkSession)
+    if isinstance(estimator, HistogramBoosting):
+        return estimator.fit(train, features)
     if isinstance(estimator, LinearRegression):
         features = varying(train, features)
     return Pipeline(stages=[assembler(features), estimator]).fit(train)
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
+def score(model: Fitted, df: DataFrame) -> DataFrame:
     return model.transform(df).drop("features")
 
 
@@ -116,12 +116,12 @@ class Comparison:
     """Metrics of all models, the fitted models and the winner's name."""
 
     metrics: DataFrame
-    models: dict[str, PipelineModel]
+    models: dict[str, Fitted]
     winner: str
 
 
 def train_and_compare(
-    featured: DataFrame, estimators: dict[str, Estimator] | None = None, train_share: float = 0.8
+    featured: DataFrame, estimators: dict[str, Estimator | HistogramBoosting] | None = None, train_share: float = 0.8
 ) -> Comparison:
     """Fit every model on the same training rows and compare them on the same test rows."""
     spark = featured.sparkSession
@@ -136,9 +136,13 @@ def train_and_compare(
     return Comparison(metrics, models, select_model(metrics).first()["model"])
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: Fitted, path: str) -> None:
+    if isinstance(model, BoostedTrees):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> Fitted:
+    spark = SparkSession.active()
+    return BoostedTrees.load(spark, path) if files.exists(spark, f"{path}/nodes") else PipelineModel.load(path)

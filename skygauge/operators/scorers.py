@@ -16,12 +16,13 @@ from pyspark.ml.regression import (
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from skygauge.operators.boosting import BoostedTrees
+from skygauge.operators.trees import TreeScorer
 from skygauge.schemas import FEATURE_COLS
 from skygauge.session import scratch_path
 
 # Trees are sent in groups of about so many nodes, 36 bytes each; a larger tree is a group.
 GROUP_NODES = 1_000_000
-ROWS_AT_ONCE = 2048
 
 
 @dataclass
@@ -33,33 +34,6 @@ class LinearScorer:
         return x @ self.coefficients + self.intercept
 
 
-@dataclass
-class TreeScorer:
-    """All nodes of some trees in one set of arrays; a leaf is its own child."""
-
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    value: np.ndarray
-    cover: np.ndarray
-    roots: np.ndarray
-    weights: np.ndarray
-    depth: int
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        parts = [x[i : i + ROWS_AT_ONCE] for i in range(0, len(x), ROWS_AT_ONCE)]
-        return np.concatenate([self._predict(p) for p in parts]) if parts else np.empty(0)
-
-    def _predict(self, x: np.ndarray) -> np.ndarray:
-        rows = np.arange(len(x))[:, None]
-        node = np.repeat(self.roots[None, :], len(x), axis=0)
-        for _ in range(self.depth):
-            low = x[rows, self.feature[node]] <= self.threshold[node]
-            node = np.where(low, self.left[node], self.right[node])
-        return self.value[node] @ self.weights
-
-
 @dataclass
 class SharedTrees:
     """An ensemble of any size, as broadcast groups of trees; predictions add up over groups."""
@@ -81,11 +55,13 @@ def _core(model):
 
 
 def _inputs(model) -> list[str]:
+    if isinstance(model, BoostedTrees):
+        return model.features
     return model.stages[0].getInputCols() if isinstance(model, PipelineModel) else FEATURE_COLS
 
 
 def is_tree_model(model) -> bool:
-    return isinstance(_core(model), (GBTRegressionModel, RandomForestRegressionModel))
+    return isinstance(_core(model), (BoostedTrees, GBTRegressionModel, RandomForestRegressionModel))
 
 
 def has_arrays(model) -> bool:
@@ -102,12 +78,25 @@ def scorer_of(spark: SparkSession, model) -> LinearScorer | SharedTrees:
         return LinearScorer(coefficients, float(core.intercept))
     if not is_tree_model(core):
         raise TypeError(f"no array form of {type(core).__name__}")
+    if isinstance(core, BoostedTrees):
+        return _share_boosted(spark, core)
     weights = np.asarray(core.treeWeights, dtype=float)
     if isinstance(core, RandomForestRegressionModel):
         weights = weights / weights.sum()
     return _read_trees(spark, core, weights)
 
 
+def _share_boosted(spark: SparkSession, model: BoostedTrees) -> SharedTrees:
+    at = np.array([FEATURE_COLS.index(f) for f in model.features], np.int32)
+    size = len(model.trees[0].feature) if model.trees else 1
+    groups = []
+    for first, last in _tree_groups(dict.fromkeys(range(len(model.trees)), size)) or [(0, -1)]:
+        trees = model.scorer(model.trees[first : last + 1], with_base=first == 0)
+        trees.feature = at[trees.feature]
+        groups.append(spark.sparkContext.broadcast(trees))
+    return SharedTrees(groups)
+
+
 def _tree_groups(sizes: dict[int, int]) -> list[tuple[int, int]]:
     """(first, last) of runs of trees with about ``GROUP_NODES`` nodes."""
     groups, nodes = [], 0

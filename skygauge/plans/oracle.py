@@ -14,7 +14,7 @@ from skygauge.functions.aqi import (
     NO2_UGM3_PER_PPB,
     OUT_OF_BAND,
 )
-from skygauge.plans.queries import AS_OF, NUDGE, STUB_COEFFICIENTS, STUB_INTERCEPT, STUB_MODELS
+from skygauge.plans.queries import AS_OF, NUDGE, STUB_BACKGROUND, STUB_COEFFICIENTS, STUB_INTERCEPT, STUB_MODELS
 from skygauge.plans.reports import FORECAST_BANDS, LIVE_SOURCE, MODEL_SOURCE
 from skygauge.schemas import (
     CYCLIC,
@@ -259,6 +259,54 @@ def forecast_sql(body: str) -> str:
     return sql(body, _paths("latest"), _FORECAST)
 
 
+# -- two rounds of boosting -----------------------------------------------------------------
+
+
+def _level(tree: int, level: int) -> str:
+    """Best cut of each node of a level, and the rows one level further down."""
+    rows = f"rows_{tree}_{level}"
+    return f"""
+hist_{tree}_{level} AS (
+  SELECT node, f, x[f] AS v, sum(p - y) AS g, count(*) AS h FROM {rows}, unnest([1, 2, 3, 4, 5]) AS t(f)
+  WHERE node >= {2**level - 1} GROUP BY ALL),
+run_{tree}_{level} AS (
+  SELECT node, f, v, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY node, f) AS ga, sum(h) OVER (PARTITION BY node, f) AS ha
+  FROM hist_{tree}_{level} WINDOW w AS (PARTITION BY node, f ORDER BY v)),
+cut_{tree}_{level} AS (
+  SELECT node, f, v FROM (
+    SELECT *, (gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1)) / 2 AS gain FROM run_{tree}_{level} WHERE ha > hl)
+  WHERE gain > 1e-6 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, v) = 1),
+rows_{tree}_{level + 1} AS (
+  SELECT event_id, x, y, p, CASE WHEN f IS NULL THEN r.node ELSE 2 * r.node + 1 + CAST(x[f] > v AS INT) END AS node
+  FROM {rows} r LEFT JOIN cut_{tree}_{level} c ON r.node = c.node)"""
+
+
+def _nodes(tree: int) -> str:
+    parts = [
+        f"""SELECT {tree} AS tree, r.node, any_value(f) AS f, any_value(v) AS threshold, -sum(p - y) / (count(*) + 1) * 0.5::DOUBLE AS value, count(*) AS rows
+  FROM rows_{tree}_{level} r {'LEFT JOIN cut_' + str(tree) + '_' + str(level) + ' c ON r.node = c.node' if level < 2 else 'CROSS JOIN (SELECT NULL AS f, NULL AS v)'}
+  WHERE r.node >= {2**level - 1} GROUP BY r.node"""
+        for level in range(3)
+    ]
+    return " UNION ALL ".join(parts)
+
+
+BOOSTING_ROUNDS = f"""
+WITH data AS (
+  SELECT event_id, [hour(ts), isodow(ts) - 1, CAST(json_extract(props, '$.k') AS BIGINT), user_id % 40, length(event_type)] AS x,
+    round(value * 100) AS y FROM events),
+mean AS (SELECT avg(y) AS m FROM data),
+rows_0_0 AS (SELECT event_id, x, y, round(m, CAST(9 - floor(log10(m)) AS INT)) AS p, 0 AS node FROM data, mean),
+{_level(0, 0)}, {_level(0, 1)},
+nodes_0 AS ({_nodes(0)}),
+rows_1_0 AS (SELECT event_id, x, y, p + value AS p, 0 AS node FROM rows_0_2 JOIN nodes_0 USING (node)),
+{_level(1, 0)}, {_level(1, 1)},
+nodes_1 AS ({_nodes(1)})
+SELECT CAST(tree AS INT) AS tree, CAST(node AS INT) AS node, ['hour', 'day', 'k', 'sensor', 'kind'][f] AS feature,
+  CAST(threshold AS DOUBLE) AS threshold, round(value, 4) + 0.0::DOUBLE AS value, rows
+FROM (SELECT * FROM nodes_0 UNION ALL SELECT * FROM nodes_1)"""
+
+
 def _backtest(source: str) -> str:
     return f"""
 SELECT label, CAST(h AS INTEGER) AS horizon_hours, round(avg(mae) + 1.7e-9, 6) AS mae, count(mae) AS n_origins
@@ -347,6 +395,9 @@ ORACLE: dict[str, str] = {
     ),
     "payload_flatten": sql("SELECT * FROM pollutants"),
     "landed_payloads": sql("SELECT *, true AS is_forecast FROM pollutants"),
+    "weather_payloads": sql("SELECT * FROM weather"),
+    "historical_rows": sql("SELECT * FROM combined WHERE NOT is_forecast"),
+    "snapshot_overwrite": sql("SELECT * REPLACE (pm2_5 * 2 AS pm2_5) FROM historical"),
     "csv_scan": sql("SELECT * FROM historical"),
     "live_readings": sql("SELECT * FROM live"),
     "lenient_cast": """SELECT event_id,
@@ -438,6 +489,30 @@ FROM (SELECT event_id, {cyclic('hour(ts)', 'month(ts)', '(isodow(ts) - 1)')} FRO
     "recursive_forecast": forecast_sql("SELECT * FROM labelled"),
     "forecast_sample": forecast_sql("SELECT * FROM labelled WHERE (horizon_hour - 1) % 12 = 0"),
     "recursive_backtest": sql(_backtest("predicted"), _paths("origins", ("pos", "reach"))),
+    "metric_history": sql(
+        f"""SELECT run_id, model AS name, CAST(ordinal AS INTEGER) AS ordinal, {r6(['mae', 'rmse', 'r2'])},
+  row_number() OVER (PARTITION BY run_id ORDER BY round_even(mae, 3), ordinal) = 1 AS winner, run_id = 'whole' AS latest
+FROM (
+  SELECT run_id, model, ordinal, avg(abs(pm2_5 - prediction)) AS mae,
+    sqrt(avg((pm2_5 - prediction) * (pm2_5 - prediction))) AS rmse,
+    1 - sum((pm2_5 - prediction) * (pm2_5 - prediction)) / (var_pop(pm2_5) * count(pm2_5)) AS r2
+  FROM ({' UNION ALL '.join(
+    f"SELECT '{run}' AS run_id, '{name}' AS model, {i} AS ordinal, pm2_5, {c} AS prediction FROM split WHERE NOT is_train{where}"
+    for i, (name, c) in enumerate(STUB_MODELS.items()) for run, where in (('half', ' AND pos % 2 = 0'), ('whole', '')))})
+  GROUP BY run_id, model, ordinal)"""
+    ),
+    "boosting_rounds": BOOSTING_ROUNDS,
+    "coalition_shap": sql(
+        f"""SELECT station, timestamp, feature, {r6(['contribution'])} FROM ({' UNION ALL '.join(
+    f"SELECT station, timestamp, '{f}' AS feature, {c}::DOUBLE * ({f} - (SELECT avg({f}) FROM unknown)) AS contribution FROM explained"
+    for f, c in STUB_COEFFICIENTS.items())})""",
+        """explained AS (
+  SELECT * FROM featured
+  ORDER BY md5(station || '|' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') || '|42'), station, timestamp LIMIT 500)""",
+        f"""unknown AS (
+  SELECT * FROM featured
+  ORDER BY md5(station || '|' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') || '|background 42'), station, timestamp LIMIT {STUB_BACKGROUND})""",
+    ),
     "linear_attribution": sql(
         f"SELECT station, timestamp, feature, {r6(['contribution'])} FROM ({_contribution})"
     ),

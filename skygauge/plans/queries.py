@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from skygauge.functions import aqi
 from skygauge.functions.calendar import calendar_parts, cyclic_parts
 from skygauge.functions.numeric import lenient_double
-from skygauge.operators import attribution, backtest, evaluate, features, forecast, merge, models
+from skygauge.operators import attribution, backtest, boosting, coalitions, evaluate, features, forecast, merge, models
 from skygauge.operators.repair import interpolate, measured, median_fill
 from skygauge.operators.repair import station_quantiles
 from skygauge.operators.scorers import LinearScorer
@@ -37,9 +37,11 @@ from skygauge.schemas import (
     ROLLS,
     STATION,
     TIMESTAMP,
+    WEATHER_FIELDS,
+    WEATHER_PAYLOAD,
 )
 from skygauge.session import scratch_path, stage
-from skygauge.sources import sensor_log
+from skygauge.sources import runs, sensor_log, snapshots
 from skygauge.sources.payloads import flatten_hourly, read_forecast
 from skygauge.sources.tables import read_csv, write_table
 from skygauge.streaming import live
@@ -65,6 +67,7 @@ STUB_COEFFICIENTS = {
     "heat_humidity": 0.02,
     "wind_speed": -0.2,
 }
+STUB_BACKGROUND = 8
 STUB_MODELS = {"Last Hour": "pm2_5_lag1", "Three Hours Ago": "pm2_5_lag3", "Day Mean": "pm2_5_roll24"}
 AS_OF = dt.date(2024, 1, 20)
 
@@ -119,6 +122,43 @@ def landed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_forecast(spark, landing, multi_line=False)
 
 
+def weather_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weather station-days as payloads in JSON text, read back as rows."""
+    fields = [
+        F.date_format(TIMESTAMP, "yyyy-MM-dd'T'HH:mm").alias("time"),
+        *[F.col(new).alias(old) for old, new in WEATHER_FIELDS.items()],
+    ]
+    # At most 24 elements each.
+    days = sensor_log.weather_readings(spark, sf_dir).groupBy(STATION, F.to_date(TIMESTAMP).alias("day")).agg(
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("rows")
+    )
+    arrays = [F.col(f"rows.{name}").alias(name) for name in ("time", *WEATHER_FIELDS)]
+    payloads = days.select(STATION, F.to_json(F.struct(F.struct(*arrays).alias("hourly"))).alias("json"))
+    parsed = payloads.select(STATION, F.from_json("json", WEATHER_PAYLOAD).alias("p"))
+    return flatten_hourly(parsed.select(STATION, "p.*"), WEATHER_FIELDS)
+
+
+def historical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the features are built from: no forecast hour of the combined table."""
+    return merge.historical_only(tables.raw_data(spark, sf_dir))
+
+
+def snapshot_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is overwritten from itself, after an overwrite that fails and an empty one that is refused."""
+    path = scratch_path(spark, "snapshots")
+    snapshots.write_snapshot(tables.raw_air_quality(spark, sf_dir), path)
+    saved = snapshots.read_snapshot(spark, path)
+    broken = saved.withColumn("pm2_5", F.when(F.hour(TIMESTAMP) == 5, F.raise_error(F.lit("half-way")).cast("double")))
+    try:
+        snapshots.write_snapshot(broken, path)
+    except Exception as error:
+        if "half-way" not in str(error):
+            raise
+    snapshots.snapshot_if_any(saved.filter("station is null"), path)
+    snapshots.write_snapshot(saved.withColumn("pm2_5", F.col("pm2_5") * 2), path)
+    return snapshots.read_snapshot(spark, path)
+
+
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings written as CSV and read back with the declared schema."""
     path = scratch_path(spark, "csv")
@@ -309,11 +349,14 @@ def regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stub_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stand-ins scored in one pass: one long row per model and test row."""
+    return _metrics_of_stubs(_stub_test_rows(spark, sf_dir))
+
+
+def _metrics_of_stubs(rows: DataFrame) -> DataFrame:
     entries = [
         F.struct(F.lit(name).alias("model"), F.lit(i).alias("ordinal"), F.col(c).alias("prediction"))
         for i, (name, c) in enumerate(STUB_MODELS.items())
     ]
-    rows = _stub_test_rows(spark, sf_dir)
     long = rows.select("pm2_5", F.inline(F.array(*entries)))
     return evaluate.regression_metrics(long, by=("model", "ordinal")).drop("n")
 
@@ -323,6 +366,19 @@ def select_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(best, "mae", "rmse", "r2")
 
 
+def metric_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of the stand-ins, the first one over every second test row; which is latest, and who won."""
+    path = scratch_path(spark, "runs")
+    rows = stage(_stub_test_rows(spark, sf_dir), "test rows")
+    for k, (name, part) in enumerate((("half", rows.filter(F.col(POS) % 2 == 0)), ("whole", rows))):
+        metrics = stage(_metrics_of_stubs(part), "metrics")
+        runs.log_models(metrics, path, name, dt.datetime(2025, 1, 1 + k))
+    latest = runs.latest_run(spark, path).select("run_id", "name", F.lit(True).alias("latest"))
+    found = runs.history(spark, path).join(latest, ["run_id", "name"], "left")
+    marked = found.select("run_id", "name", "ordinal", "mae", "rmse", "r2", "winner", F.coalesce("latest", F.lit(False)).alias("latest"))
+    return rounded(marked, "mae", "rmse", "r2")
+
+
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = stage(_stub_metrics(spark, sf_dir), "metrics")
     return reports.model_comparison(metrics)
@@ -369,6 +425,23 @@ def linear_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(attribution.linear_attribution(rows, STUB_COEFFICIENTS), "contribution")
 
 
+class StubModel:
+    """The stand-in as a model of no particular kind."""
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        terms = (F.col(f) * F.lit(c) for f, c in STUB_COEFFICIENTS.items())
+        return df.withColumn("prediction", reduce(lambda a, b: a + b, terms, F.lit(STUB_INTERCEPT)))
+
+
+def coalition_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contributions to the stand-in's predictions, found from its predictions alone."""
+    rows = tables.featured(spark, sf_dir)
+    names = list(STUB_COEFFICIENTS)
+    background = coalitions.background_rows(rows, names, STUB_BACKGROUND)
+    found = coalitions.coalition_attribution(StubModel(), attribution.sample_rows(rows), background, names)
+    return rounded(attribution.by_feature(found, names), "contribution")
+
+
 def importance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.featured(spark, sf_dir)
     found = attribution.importance(attribution.linear_attribution(rows, STUB_COEFFICIENTS))
@@ -431,6 +504,29 @@ def live_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.drain(readings.drop("delivery"))
 
 
+def boosting_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trees of two rounds over all events, without drawing rows or columns."""
+    log = sensor_log.read_events(spark, sf_dir)
+    rows = log.select(
+        F.hour("ts").alias("hour"), F.weekday("ts").alias("day"), F.get_json_object("props", "$.k").cast("int").alias("k"),
+        (F.col("user_id") % 40).alias("sensor"), F.length("event_type").alias("kind"),
+        F.round(F.col("value") * 100).alias("cents"),
+    )
+    names = ["hour", "day", "k", "sensor", "kind"]
+    settings = boosting.Settings(rounds=2, rate=0.5, depth=2, row_share=1.0, column_share=1.0)
+    model = boosting.HistogramBoosting(settings, "cents").fit(rows, names)
+    nodes = [
+        (t, i, names[tree.feature[i]] if tree.feature[i] >= 0 else None, float(tree.threshold[i]) if tree.feature[i] >= 0 else None,
+         float(tree.value[i]), int(tree.cover[i]))
+        for t, tree in enumerate(model.trees)
+        for i in range(len(tree.feature))
+        if tree.cover[i] > 0
+    ]
+    made = spark.createDataFrame(nodes, "tree int, node int, feature string, threshold double, value double, rows long")
+    # Gradients are whole multiples of about 5e-7 here.
+    return made.withColumn("value", F.round("value", 4))
+
+
 # -- fitted models: rows only -----------------------------------------------------------
 
 
@@ -481,6 +577,9 @@ QUERIES: dict[str, Query] = {
     "hourly_readings": hourly_readings,
     "payload_flatten": payload_flatten,
     "landed_payloads": landed_payloads,
+    "weather_payloads": weather_payloads,
+    "historical_rows": historical_rows,
+    "snapshot_overwrite": snapshot_overwrite,
     "csv_scan": csv_scan,
     "live_readings": live_readings,
     "lenient_cast": lenient_cast,
@@ -511,12 +610,15 @@ QUERIES: dict[str, Query] = {
     "regression_metrics": regression_metrics,
     "select_model": select_model,
     "model_comparison": model_comparison,
+    "metric_history": metric_history,
     "backtest_origins": backtest_origins,
     "backtest_mae": backtest_mae,
     "recursive_forecast": recursive_forecast,
     "forecast_sample": forecast_sample,
     "recursive_backtest": recursive_backtest,
     "linear_attribution": linear_attribution,
+    "coalition_shap": coalition_shap,
+    "boosting_rounds": boosting_rounds,
     "importance_topk": importance_topk,
     "sampled_rows": sampled_rows,
     "latest_per_station": latest_per_station,

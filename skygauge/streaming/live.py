@@ -1,46 +1,59 @@
-"""Live readings as a stream: deduplicated hourly index per station."""
+"""Live readings as a stream: deduplicated hourly index per station.
+
+A reading counts once however often and late it is delivered. Readings are told apart by station, time and, if there,
+``sensor``; of copies that differ, the smallest stays. ``value`` and ``weight`` are summed and divided, so
+integer values give a mean that does not depend on the order of arrival.
+
+The stream keeps state for each station, sensor and hour: the readings seen, which are few however large the station is. A
+new reading, or one that replaces a larger copy, changes the hour's sums by a difference, and only differences leave
+the state. They are stored batch by batch, each in a folder of its own that a retried batch overwrites, so each counts once.
+Now and then the folders are folded into a snapshot that carries the last batch's number. So a drain reads new
+files only, and the hours are sums over one row per hour and the differences since the last snapshot.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skygauge.functions.aqi import category, report_aqi
+from skygauge.functions.calendar import hour_start
 from skygauge.schemas import STATION, TIMESTAMP
 from skygauge.session import scratch_path
+from skygauge.sources import files, snapshots
 
-EVENT_TIME = "event_time"
 SENSOR = "sensor"
+HOUR = "hour"
+# Folders of differences after which they are folded.
+FOLD_AFTER = 20
+SUMS = ["value", "weight", "known", "readings"]
 
 
-def hourly_live(readings: DataFrame) -> DataFrame:
-    """Landed readings ``(station, timestamp, value, weight)`` to one row per station and hour.
-
-    A reading counts once however often and late it is delivered. Readings are told apart by
-    station, time and, if there, ``sensor``; of copies that differ, the smallest stays.
-    ``value`` and ``weight`` are summed and divided, so integer values give a mean that does
-    not depend on the order of arrival.
-    """
-    key = [STATION, TIMESTAMP, *(c for c in [SENSOR] if c in readings.columns)]
-    once = (
-        readings.groupBy(*key)
-        .agg(F.min(F.struct("value", "weight")).alias("_first"))
-        .select(*key, "_first.*")
-        # Windows need a zoned timestamp; the session runs in UTC.
-        .withColumn(EVENT_TIME, F.col(TIMESTAMP).cast("timestamp"))
-    )
-    hours = once.groupBy(STATION, F.window(EVENT_TIME, "1 hour").alias("hour")).agg(
-        F.sum("value").alias("_value"), F.sum("weight").alias("_weight"), F.count("*").alias("readings")
-    )
-    mean = F.try_divide(F.col("_value").cast("double"), F.col("_weight").cast("double"))
-    rows = hours.select(
-        STATION, F.col("hour.start").cast("timestamp_ntz").alias(TIMESTAMP), "readings", mean.alias("pm2_5")
-    )
+def _hours(sums: DataFrame) -> DataFrame:
+    """(station, hour, value, weight, known, readings) to the hourly table."""
+    value = F.when(F.col("known") > 0, F.col("value"))
+    mean = F.try_divide(value.cast("double"), F.col("weight").cast("double"))
+    rows = sums.select(STATION, F.col(HOUR).alias(TIMESTAMP), "readings", mean.alias("pm2_5"))
     with_index = rows.withColumn("aqi", report_aqi(F.col("pm2_5")))
     return with_index.withColumn("category", category(F.col("aqi")))
 
 
+def hourly_live(readings: DataFrame) -> DataFrame:
+    """Landed readings ``(station, timestamp, value, weight)`` to one row per station and hour, in one go."""
+    key = [STATION, TIMESTAMP, *(c for c in [SENSOR] if c in readings.columns)]
+    once = readings.groupBy(*key).agg(F.min(F.struct("value", "weight")).alias("_first")).select(*key, "_first.*")
+    hours = once.groupBy(STATION, hour_start(F.col(TIMESTAMP)).alias(HOUR)).agg(
+        F.sum("value").alias("value"), F.sum("weight").alias("weight"),
+        F.count("value").alias("known"), F.count("*").alias("readings"),
+    )
+    return _hours(hours)
+
+
 def live_values(live: DataFrame) -> DataFrame:
     """Input of ``hourly_live`` from live readings."""
     return live.select(
@@ -48,25 +61,129 @@ def live_values(live: DataFrame) -> DataFrame:
     )
 
 
+# -- stream -----------------------------------------------------------------------------
+
+
+def _keyed(readings: DataFrame) -> DataFrame:
+    """Readings with what the state needs: missing values as a flag, time as a number."""
+    sensor = F.col(SENSOR).cast("string") if SENSOR in readings.columns else F.lit("")
+    return readings.select(
+        STATION, F.coalesce(sensor, F.lit("\0")).alias(SENSOR), hour_start(F.col(TIMESTAMP)).alias(HOUR),
+        F.unix_micros(F.col(TIMESTAMP).cast("timestamp")).alias("at"),
+        F.col("value").isNotNull().cast("int").alias("known"),
+        F.coalesce(F.col("value"), F.lit(0)).alias("value"), F.coalesce(F.col("weight"), F.lit(0)).cast("long").alias("weight"),
+    )
+
+
+def _changes(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What new readings of one sensor and hour change of the hour's sums."""
+    at, known, value, weight = state.get if state.exists else ([], [], [], [])
+    seen = dict(zip(at, zip(known, value, weight, strict=True), strict=True))
+    change = [0, 0, 0, 0]
+    for part in parts:
+        for time, *new in zip(*(part[c].tolist() for c in ("at", "known", "value", "weight")), strict=True):
+            old, new = seen.get(time), tuple(new)
+            # A missing value comes before all others, as in an ordered struct.
+            if old is None or new < old:
+                seen[time] = new
+                before = old or (0, 0, 0)
+                change[0] += new[1] - before[1]
+                change[1] += new[2] - before[2]
+                change[2] += new[0] - before[0]
+                change[3] += old is None
+    state.update(([*seen], *map(list, zip(*seen.values(), strict=True))))
+    station, _, hour = key
+    yield pd.DataFrame([(station, hour, *change)], columns=[STATION, HOUR, *SUMS])
+
+
+def changes(readings: DataFrame) -> DataFrame:
+    """The stream of differences to the sums of hours."""
+    keyed = _keyed(readings)
+    kind = dict(keyed.dtypes)["value"]
+    kind = kind if kind in ("double", "float") else "long"
+    out = f"{STATION} string, {HOUR} timestamp_ntz, value {kind}, weight long, known long, readings long"
+    state = f"at array<long>, known array<int>, value array<{kind}>, weight array<long>"
+    return keyed.groupBy(STATION, SENSOR, HOUR).applyInPandasWithState(
+        _changes, out, state, "update", GroupStateTimeout.NoTimeout
+    )
+
+
+def _batch(number: int) -> str:
+    return f"batch={number:012d}"
+
+
 def start(readings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append landed readings to a Parquet folder, exactly once; drains what is there.
+    """Store what landed readings change, exactly once; drains what is there.
 
-    Nothing is left out by its time of arrival: hours are made when the folder is read, from all
-    readings landed so far, so neither the order of files nor their number per batch matters.
+    Nothing is left out by its time of arrival, so neither the order of files nor their number per batch matters.
     """
+
+    def store(batch: DataFrame, number: int) -> None:
+        folder = f"{path}/changes/{_batch(number)}"
+        summed = batch.groupBy(STATION, HOUR).agg(*[F.sum(c).alias(c) for c in SUMS])
+        summed.write.mode("overwrite").parquet(folder)
+        spark = batch.sparkSession
+        if len(_since_fold(spark, path)) > FOLD_AFTER:
+            fold(spark, path)
+
     return (
-        readings.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
+        changes(readings)
+        .writeStream.outputMode("update")
+        .foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def _since_fold(spark: SparkSession, path: str) -> list[str]:
+    """Folders of differences that no snapshot holds yet."""
+    folded = snapshots.current(spark, f"{path}/folded")
+    least = "" if folded is None else _batch(folded.number)
+    return [name for name in files.names(spark, f"{path}/changes") if name.startswith("batch=") and name > least]
+
+
+def stored_sums(spark: SparkSession, path: str) -> DataFrame | None:
+    """Sums of all hours: the last snapshot and the differences since. None before the first batch."""
+    folded = snapshots.current(spark, f"{path}/folded")
+    parts = [f"{path}/changes/{name}" for name in _since_fold(spark, path)]
+    frames = [spark.read.parquet(*parts)] if parts else []
+    if folded is not None:
+        frames.append(spark.read.parquet(snapshots.folder_of(f"{path}/folded", folded)))
+    if not frames:
+        return None
+    rows = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+    return rows.groupBy(STATION, HOUR).agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
+def fold(spark: SparkSession, path: str) -> None:
+    """Write the sums as a snapshot numbered like the last batch in it, and drop the folders it holds."""
+    names = _since_fold(spark, path)
+    sums = stored_sums(spark, path)
+    if not names or sums is None:
+        return
+    last = int(names[-1].removeprefix("batch="))
+    snapshots.write_snapshot(sums, f"{path}/folded", number=last)
+    # The last folder stays: its batch may be run again before the stream notes that it is done.
+    for name in names[:-1]:
+        files.delete(spark, f"{path}/changes/{name}")
+
+
+def stored_hours(spark: SparkSession, path: str) -> DataFrame:
+    """The hourly table as stored so far."""
+    sums = stored_sums(spark, path)
+    if sums is None:
+        kinds = "value double, weight long, known long, readings long"
+        sums = spark.createDataFrame([], f"{STATION} string, {HOUR} timestamp_ntz, {kinds}")
+    return _hours(sums)
+
+
 def drain(readings: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Run the stream over all files landed so far and give the hours of all readings stored."""
+    """Run the stream over all files landed since the last drain and give the hours of all readings.
+
+    ``path`` and ``checkpoint`` belong together: they hold what earlier drains have seen.
+    """
     spark = readings.sparkSession
     path = path or scratch_path(spark, "live")
     start(readings, path, checkpoint or scratch_path(spark, "live-state")).awaitTermination()
-    return hourly_live(spark.read.schema(readings.schema).parquet(path))
+    return stored_hours(spark, path)

@@ -108,8 +108,9 @@ def test_comparison(featured, fitted):
 def test_default_settings():
     forest, boosting = models.forest(), models.boosting()
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (200, 15, 5)
-    assert (boosting.getMaxIter(), boosting.getStepSize(), boosting.getMaxDepth()) == (300, 0.05, 6)
-    assert (boosting.getSubsamplingRate(), boosting.getFeatureSubsetStrategy()) == (0.8, "0.8")
+    own = boosting.settings
+    assert (own.rounds, own.rate, own.depth, own.row_share, own.column_share) == (300, 0.05, 6, 0.8, 0.8)
+    assert (own.penalty, own.least_weight, own.least_gain, own.bins) == (1.0, 1.0, 0.0, 256)
 
 
 TREES = {"numTrees": 200, "maxDepth": 15}, {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05}
@@ -128,7 +129,11 @@ def test_queries_fit_the_models_of_the_reference(spark, featured, monkeypatch, n
         pass
 
     def record(train, estimator, *args):
-        asked.append({p.name: v for p, v in estimator.extractParamMap().items()})
+        if isinstance(estimator, models.HistogramBoosting):
+            own = estimator.settings
+            asked.append({"maxIter": own.rounds, "maxDepth": own.depth, "stepSize": own.rate})
+        else:
+            asked.append({p.name: v for p, v in estimator.extractParamMap().items()})
         if len([a for a in asked if "maxDepth" in a]) == len(fitted):
             raise Stop
 

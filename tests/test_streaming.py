@@ -53,6 +53,63 @@ def test_redelivery_in_a_later_run_counts_once(spark, tmp_path):
     assert sorted(r.readings for r in live.drain(source(), store, state).collect()) == [1, 3]
 
 
+def test_a_second_drain_reads_new_files_only(spark, tmp_path):
+    landing = tmp_path / "landing"
+    store, state = scratch_path(spark, "live"), scratch_path(spark, "state")
+    seen = []
+
+    def drained():
+        query = live.start(live.live_values(payloads.stream_live(spark, str(landing))), store, state)
+        query.awaitTermination()
+        seen.append(sum(p["numInputRows"] for p in query.recentProgress))
+        return rows(live.stored_hours(spark, store))
+
+    for i in range(6):
+        land(landing, i, "A", 20 * i, 5.0 + i)
+    drained()
+    land(landing, 6, "A", 20, 4.0)  # a smaller copy of a reading replaces it
+    land(landing, 7, "B", 300, 9.0)
+    land(landing, 8, "A", 10, 2.0)  # late, into an hour that is there
+    found = drained()
+    assert seen == [6, 3]
+    assert found == rows(live.hourly_live(live.live_values(payloads.read_live(spark, str(landing)))))
+
+
+def test_folding_and_retried_batches_change_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "FOLD_AFTER", 2)
+    landing = tmp_path / "landing"
+    store, state = scratch_path(spark, "live"), scratch_path(spark, "state")
+    folds, fold = [], live.fold
+    monkeypatch.setattr(live, "fold", lambda spark, path: folds.append(path) or fold(spark, path))
+    for i in range(9):
+        land(landing, i, "AB"[i % 2], 25 * (i % 6), float(i))
+    batch = lambda: rows(live.hourly_live(live.live_values(payloads.read_live(spark, str(landing)))))
+    found = live.drain(live.live_values(payloads.stream_live(spark, str(landing), max_files=1)), store, state)
+    assert rows(found) == batch() and len(folds) >= 2
+    # The last batch is stored again, as after a driver that died before noting it.
+    last = f"{store}/changes/{sorted(n for n in live.files.names(spark, f'{store}/changes'))[-1]}"
+    again = stage(spark.read.parquet(last), "again")
+    again.write.mode("overwrite").parquet(last)
+    assert rows(live.stored_hours(spark, store)) == batch()
+    live.fold(spark, store)
+    assert rows(live.stored_hours(spark, store)) == batch()
+
+
+def test_nothing_landed_yet(spark):
+    assert live.stored_hours(spark, scratch_path(spark, "nothing")).isEmpty()
+
+
+def test_missing_values_and_sensors(spark, tmp_path):
+    """As in one go: a missing value is the smallest copy, counts as a reading and adds nothing."""
+    at = dt.datetime(2025, 3, 4, 10)
+    data = [("A", at, 100, 1, 1), ("A", at, None, 1, 1), ("A", at, 300, 1, 2), ("B", at, None, 1, 1), ("A", at, 40, 1, None)]
+    df = spark.createDataFrame(data, "station string, timestamp timestamp_ntz, value long, weight int, sensor int")
+    folder = str(tmp_path / "r")
+    df.repartition(3).write.parquet(folder)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    assert rows(live.drain(stream)) == rows(live.hourly_live(df))
+
+
 def test_sensors_at_one_time_are_told_apart(spark):
     at = dt.datetime(2025, 3, 4, 10)
     df = spark.createDataFrame(
