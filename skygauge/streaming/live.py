@@ -4,31 +4,31 @@ A reading counts once however often and late it is delivered. Readings are told
 ``sensor``; of copies that differ, the smallest stays. ``value`` and ``weight`` are summed and divided, so
 integer values give a mean that does not depend on the order of arrival.
 
-The stream keeps state for each station, sensor and hour: the readings seen, which are few however large the station is. A
-new reading, or one that replaces a larger copy, changes the hour's sums by a difference, and only differences leave
-the state. They are stored batch by batch, each in a folder of its own that a retried batch overwrites, so each counts once.
-Now and then the folders are folded into a snapshot that carries the last batch's number. So a drain reads new
-files only, and the hours are sums over one row per hour and the differences since the last snapshot.
+The stream keeps its own state as a table: the reading that stands for each (station, sensor, time), stored batch by batch
+and sorted by day. A batch is compared with the stored readings of its own days alone. A new reading, or one that
+replaces a larger copy, changes its hour's sums by a difference, and the differences are stored as well. Each batch has a folder
+of its own that a retried batch overwrites, and sees those of earlier batches only, so each counts once.
+Now and then the folders are folded into snapshots that carry the last batch's number. So a drain reads new files only, and
+the hours are sums over one row per hour and the differences since the last snapshot. All of it stays in the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skygauge.functions.aqi import category, report_aqi
 from skygauge.functions.calendar import hour_start
 from skygauge.schemas import STATION, TIMESTAMP
-from skygauge.session import scratch_path
+from skygauge.session import scratch_path, stage
 from skygauge.sources import files, snapshots
 
 SENSOR = "sensor"
 HOUR = "hour"
+DAY = "day"
 # Folders of differences after which they are folded.
 FOLD_AFTER = 20
 SUMS = ["value", "weight", "known", "readings"]
@@ -65,46 +65,11 @@ def live_values(live: DataFrame) -> DataFrame:
 
 
 def _keyed(readings: DataFrame) -> DataFrame:
-    """Readings with what the state needs: missing values as a flag, time as a number."""
+    """Readings with their key and, as one ordered value, what they say; a missing value comes before all others."""
     sensor = F.col(SENSOR).cast("string") if SENSOR in readings.columns else F.lit("")
+    said = F.struct(F.col("value").isNotNull().alias("known"), F.coalesce(F.col("value"), F.lit(0)).alias("value"), F.coalesce(F.col("weight"), F.lit(0)).cast("long").alias("weight"))
     return readings.select(
-        STATION, F.coalesce(sensor, F.lit("\0")).alias(SENSOR), hour_start(F.col(TIMESTAMP)).alias(HOUR),
-        F.unix_micros(F.col(TIMESTAMP).cast("timestamp")).alias("at"),
-        F.col("value").isNotNull().cast("int").alias("known"),
-        F.coalesce(F.col("value"), F.lit(0)).alias("value"), F.coalesce(F.col("weight"), F.lit(0)).cast("long").alias("weight"),
-    )
-
-
-def _changes(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """What new readings of one sensor and hour change of the hour's sums."""
-    at, known, value, weight = state.get if state.exists else ([], [], [], [])
-    seen = dict(zip(at, zip(known, value, weight, strict=True), strict=True))
-    change = [0, 0, 0, 0]
-    for part in parts:
-        for time, *new in zip(*(part[c].tolist() for c in ("at", "known", "value", "weight")), strict=True):
-            old, new = seen.get(time), tuple(new)
-            # A missing value comes before all others, as in an ordered struct.
-            if old is None or new < old:
-                seen[time] = new
-                before = old or (0, 0, 0)
-                change[0] += new[1] - before[1]
-                change[1] += new[2] - before[2]
-                change[2] += new[0] - before[0]
-                change[3] += old is None
-    state.update(([*seen], *map(list, zip(*seen.values(), strict=True))))
-    station, _, hour = key
-    yield pd.DataFrame([(station, hour, *change)], columns=[STATION, HOUR, *SUMS])
-
-
-def changes(readings: DataFrame) -> DataFrame:
-    """The stream of differences to the sums of hours."""
-    keyed = _keyed(readings)
-    kind = dict(keyed.dtypes)["value"]
-    kind = kind if kind in ("double", "float") else "long"
-    out = f"{STATION} string, {HOUR} timestamp_ntz, value {kind}, weight long, known long, readings long"
-    state = f"at array<long>, known array<int>, value array<{kind}>, weight array<long>"
-    return keyed.groupBy(STATION, SENSOR, HOUR).applyInPandasWithState(
-        _changes, out, state, "update", GroupStateTimeout.NoTimeout
+        STATION, TIMESTAMP, F.coalesce(sensor, F.lit("\0")).alias(SENSOR), F.to_date(TIMESTAMP).alias(DAY), said.alias("said")
     )
 
 
@@ -112,70 +77,98 @@ def _batch(number: int) -> str:
     return f"batch={number:012d}"
 
 
+def _numbers(names: list[str]) -> list[int]:
+    return [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")]
+
+
+def _stored(spark: SparkSession, path: str, before: int | None = None) -> list[DataFrame]:
+    """The last snapshot of a table, and its folders of later batches; those ``before`` a batch if asked for."""
+    folded = snapshots.current(spark, f"{path}/folded")
+    first = -1 if folded is None else folded.number
+    numbers = [n for n in _numbers(files.names(spark, f"{path}/batches")) if n > first and (before is None or n < before)]
+    frames = [] if folded is None else [spark.read.parquet(snapshots.folder_of(f"{path}/folded", folded))]
+    if numbers:
+        frames.append(spark.read.parquet(*[f"{path}/batches/{_batch(n)}" for n in sorted(numbers)]))
+    return frames
+
+
+def _sums(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(STATION, HOUR).agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
+def _readings(rows: DataFrame) -> DataFrame:
+    """The smallest copy of each reading."""
+    return rows.groupBy(STATION, TIMESTAMP, SENSOR, DAY).agg(F.min("said").alias("said"))
+
+
+def _changed(batch: DataFrame, path: str, number: int) -> DataFrame:
+    """Readings of a batch that are new or replace a larger copy, with what was stored (``old``)."""
+    new = _readings(_keyed(batch))
+    earlier = _stored(batch.sparkSession, f"{path}/readings", number)
+    if not earlier:
+        return new.withColumn("old", F.lit(None).cast(new.schema["said"].dataType))
+    # As many as the batch has days; they reach the scan, and files are sorted by day.
+    days = [r[DAY] for r in new.select(DAY).distinct().collect()]
+    old = _readings(reduce(DataFrame.unionByName, earlier).filter(F.col(DAY).isin(days)))
+    found = new.join(old.withColumnRenamed("said", "old"), [STATION, TIMESTAMP, SENSOR, DAY], "left")
+    return found.filter("old is null or said < old")
+
+
+def _store(batch: DataFrame, path: str, number: int) -> None:
+    batch = batch.persist()
+    spark = batch.sparkSession
+    changed = stage(_changed(batch, path, number), "changed")
+    was = lambda c: F.coalesce(F.col(f"old.{c}"), F.lit(0))
+    known = lambda c: F.coalesce(F.col(f"{c}.known").cast("long"), F.lit(0))
+    differences = changed.select(
+        STATION, hour_start(F.col(TIMESTAMP)).alias(HOUR),
+        (F.col("said.value") - was("value")).alias("value"), (F.col("said.weight") - was("weight")).alias("weight"),
+        (known("said") - known("old")).alias("known"), F.col("old").isNull().cast("long").alias("readings"),
+    )
+    _sums(differences).write.mode("overwrite").parquet(f"{path}/hours/batches/{_batch(number)}")
+    # Last, as earlier batches alone are looked at: a batch that ends before this is done again from the same state.
+    kept = changed.drop("old").sortWithinPartitions(DAY)
+    kept.write.mode("overwrite").parquet(f"{path}/readings/batches/{_batch(number)}")
+    batch.unpersist()
+    if len(files.names(spark, f"{path}/hours/batches")) > FOLD_AFTER:
+        fold(spark, path)
+
+
 def start(readings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Store what landed readings change, exactly once; drains what is there.
 
     Nothing is left out by its time of arrival, so neither the order of files nor their number per batch matters.
     """
-
-    def store(batch: DataFrame, number: int) -> None:
-        folder = f"{path}/changes/{_batch(number)}"
-        summed = batch.groupBy(STATION, HOUR).agg(*[F.sum(c).alias(c) for c in SUMS])
-        summed.write.mode("overwrite").parquet(folder)
-        spark = batch.sparkSession
-        if len(_since_fold(spark, path)) > FOLD_AFTER:
-            fold(spark, path)
-
     return (
-        changes(readings)
-        .writeStream.outputMode("update")
-        .foreachBatch(store)
+        readings.writeStream.foreachBatch(lambda batch, number: _store(batch, path, number))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def _since_fold(spark: SparkSession, path: str) -> list[str]:
-    """Folders of differences that no snapshot holds yet."""
-    folded = snapshots.current(spark, f"{path}/folded")
-    least = "" if folded is None else _batch(folded.number)
-    return [name for name in files.names(spark, f"{path}/changes") if name.startswith("batch=") and name > least]
-
-
-def stored_sums(spark: SparkSession, path: str) -> DataFrame | None:
-    """Sums of all hours: the last snapshot and the differences since. None before the first batch."""
-    folded = snapshots.current(spark, f"{path}/folded")
-    parts = [f"{path}/changes/{name}" for name in _since_fold(spark, path)]
-    frames = [spark.read.parquet(*parts)] if parts else []
-    if folded is not None:
-        frames.append(spark.read.parquet(snapshots.folder_of(f"{path}/folded", folded)))
-    if not frames:
-        return None
-    rows = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
-    return rows.groupBy(STATION, HOUR).agg(*[F.sum(c).alias(c) for c in SUMS])
-
-
 def fold(spark: SparkSession, path: str) -> None:
-    """Write the sums as a snapshot numbered like the last batch in it, and drop the folders it holds."""
-    names = _since_fold(spark, path)
-    sums = stored_sums(spark, path)
-    if not names or sums is None:
+    """Fold all batches but the last into snapshots numbered like the last one in them, and drop their folders.
+
+    The last batch stays out: it may be run again before the stream notes that it is done.
+    """
+    numbers = sorted(_numbers(files.names(spark, f"{path}/readings/batches")))
+    if len(numbers) < 2:
         return
-    last = int(names[-1].removeprefix("batch="))
-    snapshots.write_snapshot(sums, f"{path}/folded", number=last)
-    # The last folder stays: its batch may be run again before the stream notes that it is done.
-    for name in names[:-1]:
-        files.delete(spark, f"{path}/changes/{name}")
+    for table, fold_rows in (("hours", _sums), ("readings", lambda df: _readings(df).sortWithinPartitions(DAY))):
+        earlier = _stored(spark, f"{path}/{table}", numbers[-1])
+        snapshots.write_snapshot(fold_rows(reduce(DataFrame.unionByName, earlier)), f"{path}/{table}/folded", number=numbers[-2])
+        for number in numbers[:-1]:
+            files.delete(spark, f"{path}/{table}/batches/{_batch(number)}")
 
 
 def stored_hours(spark: SparkSession, path: str) -> DataFrame:
     """The hourly table as stored so far."""
-    sums = stored_sums(spark, path)
-    if sums is None:
+    stored = _stored(spark, f"{path}/hours")
+    if not stored:
         kinds = "value double, weight long, known long, readings long"
-        sums = spark.createDataFrame([], f"{STATION} string, {HOUR} timestamp_ntz, {kinds}")
-    return _hours(sums)
+        stored = [spark.createDataFrame([], f"{STATION} string, {HOUR} timestamp_ntz, {kinds}")]
+    return _hours(_sums(reduce(DataFrame.unionByName, stored)))
 
 
 def drain(readings: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
