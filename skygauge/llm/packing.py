@@ -62,12 +62,12 @@ class WordIds:
     word after a line end for both, and RAW with any text for that text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks = dict(zip(MARKS, self.encode(list(MARKS)), strict=True))
@@ -159,9 +159,9 @@ class WordIds:
 
 
 @cache
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, special_as_text: bool = False) -> WordIds:
     """One for each worker process: its tasks share the memory of words."""
-    return WordIds(path)
+    return WordIds(path, special_as_text)
 
 
 def _piece_rows(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int]]:
@@ -173,8 +173,13 @@ def _piece_rows(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int]]:
         yield k, start, end - start
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids, if asked for), one row per piece."""
+def token_pieces(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, special_as_text: bool = False
+) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (and ids, if asked for), one row per piece.
+
+    Strings of special tokens inside a text are these tokens, as is the library's default, unless ``special_as_text``.
+    """
     ship_package(docs.sparkSession)
     fields = {"piece": "int", "start": "long", "length": "long", "ids_crc32": "long"}
     if with_ids:
@@ -183,7 +188,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with
     end = array("I", [END_ID]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer)
+        words = word_ids(tokenizer, special_as_text)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)

@@ -31,6 +31,7 @@ def hard_rows(base_text):
         (13, "a b c d e", "c"),
         (14, "A B C D E", "c"),
         (15, "one", "a"),
+        (16, "x <|endoftext|> y<|endoftext|>\n<|endoftext|> z", "b"),
     ]
     # A group of exact and one of near copies.
     rows += [(100 + k, "copied text of the group with more than five words in it", "a") for k in range(40)]

@@ -169,7 +169,6 @@ def test_components(spark):
 
 def test_packing(plain_docs, hard_rows):
     tokenizer = Tokenizer.from_file(TOKENS)
-    tokenizer.encode_special_tokens = True
     got, bins = defaultdict(list), defaultdict(list)
     for r in packing.pack_documents(plain_docs, TOKENS).collect():
         got[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
@@ -184,10 +183,11 @@ def test_packing(plain_docs, hard_rows):
     assert len(bins) == -(-sum(n for b in bins.values() for _, n in b) // packing.CAPACITY)
 
 
-def test_word_ids():
-    words, tokenizer = packing.WordIds(TOKENS), Tokenizer.from_file(TOKENS)
-    tokenizer.encode_special_tokens = True
-    odd = ["a  b", "x\n\ny", "\n a", "a \n b", "  ", "a b", "word,\nWord. x!! <|endoftext|> y", "\x01a \x01b", "a'll, don't.", "1, 2.\n3", ""]
+@pytest.mark.parametrize("as_text", [False, True])
+def test_word_ids(as_text):
+    words, tokenizer = packing.WordIds(TOKENS, as_text), Tokenizer.from_file(TOKENS)
+    tokenizer.encode_special_tokens = as_text
+    odd = ["a  b", "x\n\ny", "\n a", "a \n b", "  ", "a b", "word,\nWord. x!! <|endoftext|> y", "<|endoftext|>", "x <|endoftext|>, a<|endoftext|>b.\n<|endoftext|>\nc  <|endoftext|>  d <|endoftext|><|endoftext|> <|end", "\x01a \x01b", "a'll, don't.", "1, 2.\n3", ""]
     for text in odd:
         assert np.frombuffer(words.of([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
