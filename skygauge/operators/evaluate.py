@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skygauge.functions.numeric import half_even
+from skygauge.functions.numeric import round_binary
 
 
 def regression_metrics(
@@ -26,9 +26,9 @@ def regression_metrics(
 
 def rounded_metrics(metrics: DataFrame) -> DataFrame:
     present = [c for c in ("mae", "rmse", "r2") if c in metrics.columns]
-    return metrics.withColumns({c: half_even(F.col(c), 3) for c in present})
+    return metrics.withColumns({c: round_binary(F.col(c), 3) for c in present})
 
 
 def select_model(metrics: DataFrame) -> DataFrame:
     """The row with the lowest rounded MAE; the first listed (``ordinal``) on ties."""
-    return metrics.orderBy(half_even(F.col("mae"), 3), "ordinal").limit(1)
+    return metrics.orderBy(round_binary(F.col("mae"), 3), "ordinal").limit(1)

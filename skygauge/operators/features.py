@@ -9,7 +9,8 @@ from skygauge.functions.aqi import composite_aqi
 from skygauge.functions.calendar import calendar_parts, cyclic_parts
 from skygauge.functions.numeric import interaction_parts
 from skygauge.operators.merge import historical_only, require_unique_hours
-from skygauge.operators.repair import repair
+from skygauge.operators.repair import carry_forward, repair
+from skygauge.session import stage
 from skygauge.operators.series import (
     BUCKET_HOURS,
     CHUNK_ROWS,
@@ -79,13 +80,23 @@ def build_features(
     train_share: float = 0.8,
     bucket_hours: int = BUCKET_HOURS,
     chunk_rows: int = CHUNK_ROWS,
+    causal: bool = False,
 ) -> DataFrame:
     """Raw hourly series to the feature table; incomplete rows (the lag warm-up) drop out.
 
     A station with the same historical hour twice fails the job: see ``merge.dedup_hours``.
+
+    ``leak_safe`` keeps the target out of its own features and fits medians and caps on the training part.
+    ``causal`` goes further: no feature depends on a later row. Gaps take the last value before
+    them, nothing is filled with medians or capped, and windows end before the current row.
     """
     fit_share = train_share if leak_safe else None
-    repaired = repair(require_unique_hours(historical_only(raw)), bucket_hours, fit_share)
+    given = require_unique_hours(historical_only(raw))
+    if causal:
+        leak_safe = True
+        repaired = stage(carry_forward(given, bucket_hours=bucket_hours), "series")
+    else:
+        repaired = repair(given, bucket_hours, fit_share)
     indexed = add_aqi(repaired, gap_policy)
     history = add_history(indexed, leak_safe=leak_safe, chunk_rows=chunk_rows)
     full = add_interactions(add_cyclic(add_calendar(history)), leak_safe).drop(*POS_COLS)

@@ -33,10 +33,10 @@ from skygauge.functions.calendar import (
 )
 from skygauge.functions.numeric import (
     EPSILON,
-    half_even,
     interaction_parts,
     non_negative,
     positive_or_one,
+    round_binary,
 )
 from skygauge.operators.features import positioned
 from skygauge.operators.models import score
@@ -271,7 +271,7 @@ def forecast_table(paths: DataFrame, standard: str = "2012") -> DataFrame:
     return rows.select(
         STATION,
         plus_hours(F.col(TIMESTAMP), F.col("horizon_hour")).alias(TIMESTAMP),
-        half_even(F.col("predicted"), 2).alias("pm2_5_predicted"),
+        round_binary(F.col("predicted"), 2).alias("pm2_5_predicted"),
         "aqi_predicted",
         "horizon_hour",
         category(F.col("aqi_predicted")).alias("aqi_category"),

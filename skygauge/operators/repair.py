@@ -35,8 +35,19 @@ def measured(df: DataFrame) -> list[str]:
 # -- interpolation ----------------------------------------------------------------------
 
 
-def interpolate(
+def carry_forward(
     df: DataFrame, cols: list[str] | None = None, bucket_hours: int = BUCKET_HOURS
+) -> DataFrame:
+    """Missing values take the last one before them; adds ``pos`` and ``n_rows``.
+
+    The causal repair: no value depends on a later row. Leading nulls stay null. The state that passes from one
+    time bucket to the next is one value per column, from the same summary of buckets as in ``interpolate``.
+    """
+    return interpolate(df, cols, bucket_hours, causal=True)
+
+
+def interpolate(
+    df: DataFrame, cols: list[str] | None = None, bucket_hours: int = BUCKET_HOURS, causal: bool = False
 ) -> DataFrame:
     """Linear interpolation by row position; adds ``pos`` and ``n_rows``.
 
@@ -106,6 +117,9 @@ def interpolate(
         "case when {c} is not null then {c} when _rp_{c} is null then _lv_{c} "
         "else (_rv_{c} - _lv_{c}) / (_rp_{c} - _lp_{c}) * (pos + 1 - _lp_{c}) + _lv_{c} end"
     )
+    if causal:
+        # What looks ahead is not read then, and the optimizer leaves it out.
+        blend = "coalesce({c}, _lv_{c})"
     blended = dict(zip(cols, each(blend, "{c}")))
     return ends.select(*[blended.get(c, F.col(c)) for c in df.columns], POS, LENGTH)
 

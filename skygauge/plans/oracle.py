@@ -439,6 +439,12 @@ LEFT JOIN (VALUES {_band_rows}) AS b(pollutant, lo, hi, alo, ahi)
 FROM (SELECT station, {composite()} AS aqi FROM pollutants) GROUP BY 1, 2"""
     ),
     "interpolate": sql(f"SELECT {_series_out} FROM series"),
+    "causal_series": sql(
+        f"SELECT station, timestamp, {each('coalesce({c}, lv_{c}) AS {c}', MEASUREMENTS)}, is_forecast, pos, n_rows FROM ends"
+    ),
+    "causal_series": sql(
+        f"SELECT station, timestamp, {each('coalesce({c}, lv_{c}) AS {c}', MEASUREMENTS)}, is_forecast, pos, n_rows FROM ends"
+    ),
     "median_fill": sql(f"SELECT {_series_out} FROM filled"),
     "station_quantiles": sql(
         f"SELECT station, measure, {r6(['median', 'lower', 'upper'])} FROM ({_quantile_rows})"

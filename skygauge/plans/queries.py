@@ -14,8 +14,7 @@ from skygauge.functions import aqi
 from skygauge.functions.calendar import calendar_parts, cyclic_parts
 from skygauge.functions.numeric import lenient_double
 from skygauge.operators import attribution, backtest, boosting, coalitions, evaluate, features, forecast, merge, models
-from skygauge.operators.repair import interpolate, measured, median_fill
-from skygauge.operators.repair import station_quantiles
+from skygauge.operators.repair import carry_forward, interpolate, measured, median_fill, station_quantiles
 from skygauge.operators.scorers import LinearScorer
 from skygauge.operators.series import (
     LENGTH,
@@ -260,6 +259,10 @@ def interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(interpolate(tables.saved_air_quality(spark, sf_dir)), *MEASUREMENTS)
 
 
+def causal_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return carry_forward(tables.saved_air_quality(spark, sf_dir))
+
+
 def median_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = stage(interpolate(tables.saved_air_quality(spark, sf_dir)), "series")
     cols = measured(series)
@@ -596,6 +599,7 @@ QUERIES: dict[str, Query] = {
     "aqi_band_join": aqi_band_join,
     "aqi_category": aqi_category,
     "interpolate": interpolated,
+    "causal_series": causal_series,
     "median_fill": median_filled,
     "station_quantiles": quantiles,
     "percentile_clip": percentile_clip,

@@ -123,3 +123,23 @@ def test_stats(spark):
     counts = features.row_counts(df).first()
     assert tuple(counts) == (120, 0, 120)
     assert set(MEASUREMENTS) <= set(df.columns)
+
+
+def test_causal_features_do_not_look_ahead(spark):
+    """All values of the last hours change, and no earlier feature does; gaps cross time buckets."""
+    pdf = raw_frame(150, stations=2, missing=0.4)
+    cut = sorted(pdf.timestamp.unique())[100]
+    changed = pdf.copy()
+    for c in MEASUREMENTS:
+        changed.loc[changed.timestamp >= cut, c] = 7.0
+    one, two = (
+        by_key(features.build_features(to_spark(spark, p), causal=True, bucket_hours=24, chunk_rows=64).filter(F.col("timestamp") < F.lit(cut)))
+        for p in (pdf, changed)
+    )
+    assert len(one) > 50
+    pd.testing.assert_frame_equal(one, two)
+    whole = by_key(features.build_features(to_spark(spark, pdf), causal=True))
+    pd.testing.assert_frame_equal(whole[whole.timestamp < cut].reset_index(drop=True), one)
+    for c in MEASUREMENTS:
+        want = pdf.sort_values(["station", "timestamp"]).groupby("station")[c].ffill()
+        assert set(whole[c]) <= set(want.dropna())
