@@ -48,6 +48,12 @@ RAW = "\x01"
 WORDS_AT_ONCE = 300
 
 
+# RAW, or space that is not one blank or line end between two other characters (the spaces of str.split).
+UNEVEN = (
+    r"[ \n][ \n]|\A[ \n]|[ \n]\z|[\x01\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+
+
 def regular(text: str) -> bool:
     """All space is one blank or line end between two other characters."""
     return RAW not in text and " ".join(text.split()) == text.replace("\n", " ")
@@ -125,7 +131,10 @@ class WordIds:
 
     def of_keys(self, keys: list[str]) -> list[bytes]:
         """Ids of what each key stands for, remembered."""
-        missing = {w for w in keys if w not in self.new}
+        found = list(map(self.new.get, keys))
+        if None not in found:
+            return found
+        missing = {w for w, ids in zip(keys, found, strict=True) if ids is None}
         if len(self.new) + len(missing) > KNOWN_WORDS:
             self.old, self.new = self.new, {}
             missing = set(keys)
@@ -150,10 +159,13 @@ class WordIds:
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        even = [regular(t) for t in texts]
-        plain = [RAW + t.replace("\n", " \n") for t, e in zip(texts, even, strict=True) if e]
+        column = pa.array(texts, pa.large_string())
+        uneven = pc.match_substring_regex(column, UNEVEN)
+        even = pc.invert(uneven).to_pylist()
+        plain = pc.replace_substring(column.filter(pc.invert(uneven)), "\n", " \n")
         other = [self.keys(t) for t, e in zip(texts, even, strict=True) if not e]
-        from_plain = iter(self.joined(pc.split_pattern(pa.array(plain, pa.large_string()), " ")))
+        raw, nothing = pa.scalar(RAW, pa.large_string()), pa.scalar("", pa.large_string())
+        from_plain = iter(self.joined(pc.split_pattern(pc.binary_join_element_wise(raw, plain, nothing), " ")))
         from_other = iter(self.joined(pa.array(other, pa.list_(pa.large_string()))))
         return [next(from_plain if e else from_other) for e in even]
 

@@ -8,6 +8,8 @@ from math import exp, log, log10
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -192,6 +194,13 @@ def test_word_ids(as_text):
         assert np.frombuffer(words.of([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_uneven_space_is_found_as_by_split():
+    spaces = [chr(k) for k in range(0x3100) if chr(k).isspace()] + ["\x01", ""]
+    texts = [a + x + b for x in spaces for a in ("", "a", "a ", "a\n") for b in ("", "b", " b", "\nb")]
+    found = pc.match_substring_regex(pa.array(texts, pa.large_string()), packing.UNEVEN).to_pylist()
+    assert found == [not packing.regular(t) for t in texts]
+
+
 def test_evolution_keeps_all_pieces_and_improves():
     rng = np.random.default_rng(1)
     sizes = rng.integers(300, 900, 300).tolist()
