@@ -375,7 +375,9 @@ class BoostedTrees:
             return pd.Series(sent.value.predict(np.column_stack([c.to_numpy(dtype=float) for c in columns])))
 
         inputs = [F.col(f).cast("double") for f in self.features]
-        return df.withColumn("prediction", F.pandas_udf(predict, "double")(*inputs))
+        # Else the optimizer may copy the call to every place that uses its result.
+        once = F.pandas_udf(predict, "double").asNondeterministic()
+        return df.withColumn("prediction", once(*inputs))
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Nodes as Parquet and one line of JSON, over what was there."""
