@@ -15,8 +15,10 @@ with the one that meets most others (a star, not all pairs); links are confirmed
 sets and joined to components; only then are other classes compared: those that share a key but no
 component, if sizes and signature distance allow a link. So no link between components can be
 missing, and members of a large group that are linked with its centre are not paired with each
-other. Where very many classes of different components share keys (copies that were changed more
-and more), they are compared in blocks in memory, and only links come out of a task.
+other. These pairs are never rows: the task that holds the classes of a key forms and judges them, a
+pair under its first common key alone, and only links come out. Where very many classes share a key
+(copies that were changed more and more), they are compared in blocks, in the same way. Texts go only
+to where their class has a pair that signatures allow.
 
 Defined results: no words or null text: no shingles, no link, a component of its own; fewer
 words than a shingle: their sequence is the one shingle; a repeated row links with its
@@ -211,42 +213,142 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scheme: Sch
     )
 
 
-def _block_links(rows: pd.DataFrame, scheme: Scheme) -> pd.DataFrame:
-    """Links between the classes of two blocks (or within one) that join components.
+def _whole_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches, sorted by key, cut anew so that the rows of a key are in one of them."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if len(held):
+            keys = held["key"].to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut:
+                yield held.iloc[:cut]
+                held = held.iloc[cut:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held
+
+
+def _symbols(signatures: np.ndarray, scheme: Scheme) -> np.ndarray:
+    return scheme.split(signatures).astype(np.uint16).reshape(len(signatures), scheme.symbols)
+
 
-    A link is left out if the links found before it, or the components given, imply it.
+def _key_pairs(rows: pd.DataFrame, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of rows of one key and two components whose sizes and signatures allow a link.
+
+    Two classes are paired under the first of their common keys only.
     """
+    key, label, n = (rows[c].to_numpy() for c in ("key", "label", "n"))
+    signatures = np.stack(rows["sig"].to_numpy())
+    symbols, keys = _symbols(signatures, scheme), chunk_keys(signatures, scheme)
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    # No key has more rows than DENSE_KEY, and the loop ends behind the most frequent one.
+    for step in range(1, len(rows)):
+        i = np.flatnonzero(key[step:] == key[:-step])
+        if not len(i):
+            break
+        i = i[label[i] != label[i + step]]
+        a, b = n[i].astype(np.int64), n[i + step].astype(np.int64)
+        i = i[100 * np.minimum(a, b) >= scheme.percent * np.maximum(a, b)]
+        i = i[(symbols[i] != symbols[i + step]).sum(axis=1) <= scheme.most_distance]
+        first = (keys[i] == keys[i + step]).argmax(axis=1)
+        i = i[keys[i, first] == key[i]]
+        found.append((i, i + step))
+    return tuple(np.concatenate(side) for side in zip(*found, strict=True))
+
+
+def _paired(batches: Iterator[pd.DataFrame], scheme: Scheme) -> Iterator[pd.DataFrame]:
+    """Rows (key, node) that have a pair under their key."""
+    for rows in _whole_keys(batches):
+        yield rows.iloc[np.unique(np.concatenate(_key_pairs(rows, scheme)))]
+
+
+class _Judge:
+    """Confirms pairs of rows on full shingle sets, and merges the components of those linked."""
+
+    def __init__(self, rows: pd.DataFrame, scheme: Scheme, hashes: WordHashes):
+        self.nodes, self.texts, self.labels = (rows[c].to_numpy() for c in ("node", "text", "label"))
+        self.percent, self.hashes = scheme.percent, hashes
+        self.sets: dict[int, np.ndarray] = {}
+        self.roots: dict[int, int] = {}
+        self.found: list[tuple[int, int]] = []
+
+    def shingles(self, at: int) -> np.ndarray:
+        node = self.nodes[at]
+        if node not in self.sets:
+            self.sets[node] = shingle_hashes(self.hashes.of(words_of(self.texts[at])), WIDTH)
+        return self.sets[node]
+
+    def root(self, at: int) -> int:
+        label = self.labels[at]
+        while (above := self.roots.get(label, label)) != label:
+            label = above
+        return label
+
+    def judge(self, i: int, j: int) -> None:
+        """A link is left out if the links found before it, or the components given, imply it."""
+        a, b = self.root(i), self.root(j)
+        if a == b:
+            return
+        mine, theirs = self.shingles(i), self.shingles(j)
+        common = len(np.intersect1d(mine, theirs, assume_unique=True))
+        if 100 * common >= self.percent * (len(mine) + len(theirs) - common):
+            self.roots[max(a, b)] = min(a, b)
+            self.found.append((min(self.nodes[i], self.nodes[j]), max(self.nodes[i], self.nodes[j])))
+
+    def links(self) -> pd.DataFrame:
+        return pd.DataFrame(self.found, columns=["a", "b"], dtype="int64")
+
+
+def _key_links(batches: Iterator[pd.DataFrame], scheme: Scheme) -> Iterator[pd.DataFrame]:
+    """Links that join components, among the pairs of each key."""
     hashes = WordHashes()
-    rows = rows.sort_values("node", ignore_index=True)
-    nodes, n = rows["node"].to_numpy(), rows["n"].to_numpy()
-    symbols = scheme.split(np.stack(rows["sig"].to_numpy())).astype(np.uint16).reshape(len(rows), scheme.symbols)
-    # Labels as small numbers that are merged when a link is found.
-    labels = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
-    blocks = rows["block"].to_numpy()
-    one_block = (blocks == blocks[0]).all()
-    sets: dict[int, np.ndarray] = {}
+    for rows in _whole_keys(batches):
+        judge = _Judge(rows, scheme, hashes)
+        for i, j in zip(*_key_pairs(rows, scheme), strict=True):
+            judge.judge(i, j)
+        yield judge.links()
+
+
+def _sparse_links(open_: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links between components among classes that meet under keys of DENSE_KEY classes at most."""
+    by_key = lambda df: df.repartition("key").sortWithinPartitions("key", "node")
+    rows = by_key(open_.select("key", "node", "label", "n", "sig"))
+    paired = stage(rows.mapInPandas(lambda batches: _paired(batches, scheme), rows.schema), "paired")
+    linked = by_key(paired.join(texts, "node")).mapInPandas(lambda batches: _key_links(batches, scheme), PAIRS)
+    return stage(linked, "links")
 
-    def shingles(k: int) -> np.ndarray:
-        if k not in sets:
-            sets[k] = shingle_hashes(hashes.of(words_of(rows["text"][k])), WIDTH)
-        return sets[k]
 
-    found = []
+def _block_pairs(rows: pd.DataFrame, scheme: Scheme) -> Iterator[tuple[int, np.ndarray]]:
+    """For places i of two blocks (or one): the places behind it, nearest first, that may link with it."""
+    n, blocks, label = (rows[c].to_numpy() for c in ("n", "block", "label"))
+    n = n.astype(np.int64)
+    symbols = _symbols(np.stack(rows["sig"].to_numpy()), scheme)
+    one_block = (blocks == blocks[0]).all()
     for i in range(len(rows)):
         j = np.arange(i + 1, len(rows))
         if not one_block:
             j = j[blocks[j] != blocks[i]]
-        j = j[labels[j] != labels[i]]
+        j = j[label[j] != label[i]]
         j = j[100 * np.minimum(n[j], n[i]) >= scheme.percent * np.maximum(n[j], n[i])]
         distance = (symbols[j] != symbols[i]).sum(axis=1)
         near = distance <= scheme.most_distance
-        for k in j[near][np.argsort(distance[near], kind="stable")]:
-            if labels[k] != labels[i]:
-                common = len(np.intersect1d(shingles(i), shingles(k), assume_unique=True))
-                if 100 * common >= scheme.percent * (n[i] + n[k] - common):
-                    found.append((nodes[i], nodes[k]))
-                    labels[labels == labels[k]] = labels[i]
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        yield i, j[near][np.argsort(distance[near], kind="stable")]
+
+
+def _block_paired(rows: pd.DataFrame, scheme: Scheme) -> pd.DataFrame:
+    """Rows of two blocks (or one) that may link with another one."""
+    at = [np.append(j, i) for i, j in _block_pairs(rows, scheme) if len(j)]
+    return rows.iloc[np.unique(np.concatenate(at))] if at else rows.iloc[:0]
+
+
+def _block_links(rows: pd.DataFrame, scheme: Scheme) -> pd.DataFrame:
+    """Links between the classes of two blocks (or within one) that join components."""
+    rows = rows.sort_values("node", ignore_index=True)
+    judge = _Judge(rows, scheme, WordHashes())
+    for i, near in _block_pairs(rows, scheme):
+        for j in near:
+            judge.judge(i, j)
+    return judge.links()
 
 
 def _dense_links(open_: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
@@ -284,14 +386,15 @@ def _dense_links(open_: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFram
     units = (
         dealt.filter("outer > 0")
         .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-        .join(texts, "node")
         .select(
             "cluster", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"),
-            "block", "node", "label", "n", "sig", "text",
+            "block", "node", "label", "n", "sig",
         )
     )
     ship_package(spark)
-    linked = units.groupBy("cluster", "low", "high").applyInPandas(lambda rows: _block_links(rows, scheme), PAIRS)
+    unit = ["cluster", "low", "high"]
+    paired = stage(units.groupBy(unit).applyInPandas(lambda rows: _block_paired(rows, scheme), units.schema), "paired")
+    linked = paired.join(texts, "node").groupBy(unit).applyInPandas(lambda rows: _block_links(rows, scheme), PAIRS)
     return stage(linked, "links")
 
 
@@ -356,20 +459,8 @@ def near_groups(docs: DataFrame, row_id: str | None = None, percent: int = LEAST
     open_ = stage(
         placed.join(mixed_keys, "key", "left_semi").join(shared, "key").join(nodes.select("node", "n", "sig"), "node"), "open"
     )
-    sparse = open_.filter(F.col("size") <= DENSE_KEY)
-    across = (
-        sparse.alias("x")
-        .join(
-            sparse.alias("y"),
-            (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))
-            & _may_link("x.sig", "y.sig", "x.n", "y.n", scheme),
-        )
-        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    dense = _dense_links(open_.filter(F.col("size") > DENSE_KEY), texts, scheme)
-    more = _confirmed(across, nodes, texts, scheme).union(dense)
+    sparse = _sparse_links(open_.filter(F.col("size") <= DENSE_KEY), texts, scheme)
+    more = sparse.union(_dense_links(open_.filter(F.col("size") > DENSE_KEY), texts, scheme))
     if not more.isEmpty():
         labels = components(links.union(more))
     placed_rows = (

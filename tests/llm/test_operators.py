@@ -425,3 +425,34 @@ def test_keys_meet_under_the_distance_of_each_scheme():
             other[at] ^= rng.integers(1, 1 << scheme.symbol_bits, len(at))
             a, b = hamming.chunk_keys(np.stack([pack(one), pack(other)]), scheme)
             assert (a == b).any()
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize("dense", [16, 64])
+def test_near_cloud_grows_in_proportion(spark, monkeypatch, percent, dense):
+    """Copies with two words changed, most of them not linked: no table of pairs grows with their square."""
+    monkeypatch.setattr(hamming, "DENSE_KEY", dense)
+    rng = np.random.default_rng(5)
+    base = [f"word{k}" for k in range(80)]
+
+    def text(k):
+        own = list(base)
+        for place in rng.choice(80, 2 - k % 3 // 2, replace=False):
+            own[place] = f"new{k}x{place}"
+        return " ".join(own)
+
+    rows = [(k, text(k)) for k in range(160)]
+    real, sizes = hamming.stage, {}
+
+    def counting(df, name):
+        out = real(df, name)
+        sizes[len(docs)] = max(sizes.get(len(docs), 0), out.count() if name in ("near", "links", "stars", "paired") else 0)
+        return out
+
+    monkeypatch.setattr(hamming, "stage", counting)
+    for docs in (rows[:80], rows):
+        table = spark.createDataFrame(docs, "doc_id long, text string")
+        found = hamming.near_groups(table, percent=percent).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.near(docs, percent)
+    # Each class stands under as many keys as a signature has symbols, whatever the number of classes.
+    assert sizes[160] <= 2.5 * sizes[80] + 400
