@@ -3,11 +3,16 @@
 Entities are found by one pattern; each belongs to a type. An entity has a canonical value
 (digits of a phone number, an address in lower case, a name part), so that different ways of
 writing it are one entity. Each distinct entity of the corpus gets one surrogate of the same
-type, made from a keyed hash, and every place it is written at gets the surrogate in the
-place's own format: separators, letter case, script and, for names, gender stay. So equal entities
-stay equal and, by the collision checks, different ones stay different: a surrogate
-that another entity has, or that is itself an entity of the corpus, is drawn again under the next
-attempt, until none is left.
+type, and every place it is written at gets the surrogate in the place's own format: separators,
+letter case, script and, for names, gender stay.
+
+A surrogate is a keyed permutation of the entity's own format: each digit and letter moves
+within its alphabet, by Feistel rounds in which one half of the value moves the other. So all values of
+one format have different surrogates, also where a format is used up, as by one-letter addresses. Names
+are syllables drawn by a keyed hash. A surrogate that another entity has, or that is itself an entity
+of the corpus, is made anew under the next key, ATTEMPTS times in all. What is left then gets a
+longer value: its permuted form, an end mark and filling up to more characters than any entity of the type has, which is
+distinct from all others and no entity. So the work ends after a fixed number of rounds.
 
 Everything is DataFrame work. Texts with entities are shuffled once; others not at all.
 Occurrences of a hot entity are spread over many documents, and their join with the surrogates
@@ -27,6 +32,8 @@ from pyspark.sql import functions as F
 from skygauge.session import stage
 
 KEY = "surrogate-key-1"
+# Keys under which a surrogate is sought before it is made longer.
+ATTEMPTS = 3
 
 _WORD_START = r"(?<![\p{L}\p{N}._%+\-@])"
 _TITLE = r"(?:(?:Mr|Mrs|Ms|Sr|Sra|Mme|Dr|Prof)\b\.?|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Господин|Госпожа)"
@@ -51,18 +58,18 @@ TYPES = {
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\d])\d(?:[ \-]?\d){12,18}(?!\d)",
     "secret": (
-        r"(?<![\p{L}\p{N}])(?=[a-fA-F]*\d)(?=\d*[a-fA-F])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])"
-        r"|(?<![\p{L}\p{N}_\-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255}"
-        r"|glpat-[A-Za-z0-9_\-]{20,64}|xox[abeoprs]-[A-Za-z0-9\-]{10,250}|AIza[A-Za-z0-9_\-]{35}"
-        r"|sk[-_](?:[a-z]{2,8}[-_])*[A-Za-z0-9_\-]{20,250}|[rp]k_(?:live|test)_[A-Za-z0-9]{16,250}"
+        r"(?<![\p{L}\p{N}])(?=[a-fA-F]*\d)(?=\d*[a-fA-F])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![\p{L}\p{N}])"
+        r"|(?<![\p{L}\p{N}_\-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}"
+        r"|glpat-[A-Za-z0-9_\-]{20,}|xox[abeoprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{35}"
+        r"|sk[-_](?:[a-z]{2,8}[-_])*[A-Za-z0-9_\-]{20,}|[rp]k_(?:live|test)_[A-Za-z0-9]{16,}"
         r"|eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})(?![\p{L}\p{N}_])"
         r"|(?<![A-Za-z0-9_+/\-])(?=[A-Za-z0-9_+/\-]{16})(?<=(?i:secret|token|passwd|password|api[_\-]?key|access[_\-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)"
-        r"(?=[A-Za-z_+/\-]*\d)(?=[\d_+/\-]*[A-Za-z])[A-Za-z0-9_+/\-]{16,250}+={0,2}"
+        r"(?=[A-Za-z_+/\-]*\d)(?=[\d_+/\-]*[A-Za-z])[A-Za-z0-9_+/\-]{16,}+={0,2}"
     ),
     "person": rf"(?<!\p{{L}}){_TITLES}{_PART}(?:[^\S\n]+{_PART})*(?:\n{_PART}(?:[^\S\n]+{_PART})*)?(?!\p{{L}})",
 }
 FEMALE = r"^(?:Mrs|Ms|Miss|Sra|Mme|Frau|Madame|Señora|Госпожа)\b"
-HEX = r"^[0-9a-fA-F]{32,128}$"
+HEX = r"^[0-9a-fA-F]{32,}$"
 #: A name part that may stand without a title.
 MENTION = r"^\p{Lu}[\p{L}'’\-]+$"
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
@@ -89,20 +96,58 @@ def _pick(code: Column, place: Column | int) -> Column:
     return F.conv(F.substr(code, F.lit(at), F.lit(4)), 16, 10).cast("int")
 
 
-def _draw(value: Column, code: Column) -> Column:
-    """Each digit and letter of a lower-case or upper-case value drawn anew, others kept."""
-    letters = "abcdefghijklmnopqrstuvwxyz"
+#: First and last letter of the alphabets inside which letters move.
+ALPHABETS = (
+    "09 az AZ àö øÿ ÀÖ ØÞ ая АЯ ѐџ ЀЏ αω ΑΡ ΣΩ את بغ अह ぁゖ ァヺ 一鿿 가힣".split()
+)
+ROUNDS = 6
+HEXDIGITS = "0123456789abcdef"
 
-    def one(ch: Column, k: Column) -> Column:
-        n = _pick(code, k)
-        return (
-            F.when(ch.rlike("^[0-9]$"), (n % 10).cast("string"))
-            .when(ch.rlike("^[A-Z]$"), F.substr(F.lit(letters.upper()), n % 26 + 1, F.lit(1)))
-            .when(ch.rlike(r"^\p{L}$"), F.substr(F.lit(letters), n % 26 + 1, F.lit(1)))
-            .otherwise(ch)
-        )
 
-    return F.array_join(F.transform(F.split(value, ""), one), "")
+def _moved(ch: Column, by: Column) -> Column:
+    """A digit or letter moved inside its alphabet; other letters inside 16 neighbouring code points."""
+    at = F.ascii(ch)
+    low, size = F, F
+    for first, last in ALPHABETS:
+        inside = at.between(ord(first), ord(last))
+        low, size = low.when(inside, ord(first)), size.when(inside, ord(last) - ord(first) + 1)
+    low, size = low.otherwise(at - at % 16), size.otherwise(16)
+    to = low + (at - low + by) % size
+    made = F.when(to < 128, F.char(to)).otherwise(F.decode(F.unhex(F.lpad(F.hex(to), 8, "0")), "UTF-32"))
+    return F.when(ch.rlike(r"^[0-9\p{L}]$"), made).otherwise(ch)
+
+
+def _moved_hex(ch: Column, by: Column) -> Column:
+    return F.substr(F.lit(HEXDIGITS), (F.instr(F.lit(HEXDIGITS), ch) - 1 + by) % 16 + 1, F.lit(1))
+
+
+def _permuted(value: Column, kind: Column, attempt: Column, key: str, moved=_moved) -> Column:
+    """The value's image under a keyed permutation of all values of its format."""
+
+    def shifted(part: Column, other: Column, turn: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor(F.length(part) / 32).cast("int"))
+        secret = [F.lit(key), kind, attempt.cast("string"), turn.cast("string")]
+        code = F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("\u0001", *secret, b.cast("string"), other), 512)), "")
+        by = lambda k: F.conv(F.substr(code, k * 4 + 1, F.lit(4)), 16, 10).cast("int")
+        return F.array_join(F.transform(F.split(part, ""), lambda ch, k: moved(ch, by(k))), "")
+
+    half = F.floor(F.length(value) / 2).cast("int")
+    return F.aggregate(
+        F.array(*map(F.lit, range(ROUNDS))),
+        F.struct(F.substr(value, F.lit(1), half).alias("a"), F.substr(value, half + 1).alias("b")),
+        lambda x, turn: F.struct(
+            F.when(turn % 2 == 1, shifted(x["a"], x["b"], turn)).otherwise(x["a"]).alias("a"),
+            F.when(turn % 2 == 0, shifted(x["b"], x["a"], turn)).otherwise(x["b"]).alias("b"),
+        ),
+        lambda x: F.concat(x["a"], x["b"]),
+    )
+
+
+def _octets(canon: Column, attempt: Column, key: str) -> Column:
+    """A permutation of all addresses, octet by octet written as two hexadecimal digits."""
+    packed = F.array_join(F.transform(F.split(canon, r"\."), lambda o: F.lower(F.lpad(F.hex(o.cast("int")), 2, "0"))), "")
+    mixed = _permuted(packed, F.lit("ip"), attempt, key, _moved_hex)
+    return F.concat_ws(".", *[F.conv(F.substr(mixed, F.lit(2 * k + 1), F.lit(2)), 16, 10) for k in range(4)])
 
 
 def _luhn(digits: Column) -> Column:
@@ -136,20 +181,44 @@ def _name(code: Column, canon: Column) -> Column:
 
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The canonical value of the surrogate of an entity."""
-    code = _code(kind, canon, attempt, key)
-    drawn = _draw(canon, code)
-    body = F.substr(drawn, F.lit(1), F.length(drawn) - 1)
-    sums = F.when(_luhn(canon) == 0, F.concat(body, (F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10))).cast("string")))
-    octets = F.concat_ws(".", (_pick(code, 0) % 16 + 240).cast("string"), *[(_pick(code, k) % 256).cast("string") for k in (1, 2, 3)])
-    domain = F.substring_index(canon, "@", -1)
+    local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     host = F.substr(_code(F.lit("host"), domain, F.lit(0), key), F.lit(1), F.lit(10))
+    body = _permuted(F.substr(canon, F.lit(1), F.length(canon) - 1), kind, attempt, key)
+    check = F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
+    return (
+        F.when(kind == "ip", _octets(canon, attempt, key))
+        .when(kind == "email", F.concat(_permuted(local, domain, attempt, key), F.lit("@h"), host, F.lit(".example.org")))
+        .when((kind == "card") & (_luhn(canon) == 0), F.concat(body, check))
+        .when((kind == "secret") & canon.rlike(HEX), _permuted(canon, kind, attempt, key, _moved_hex))
+        .when(kind == "person", _name(_code(kind, canon, attempt, key), canon))
+        .otherwise(_permuted(canon, kind, attempt, key))
+    )
+
+
+def longer_surrogate(kind: Column, canon: Column, longest: Column, key: str) -> Column:
+    """A value with more characters than ``longest``, distinct for distinct entities of a type."""
+    last = F.lit(ATTEMPTS)
+    filled = lambda value, fill: F.concat(value, F.lit("1"), F.repeat(F.lit(fill), longest - F.length(value) + 1))
+    local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
+    host = F.substr(_code(F.lit("host"), domain, F.lit(0), key), F.lit(1), F.lit(50))
+    octets = F.concat(_octets(canon, last, key), F.lit(".1"), F.repeat(F.lit(".0"), longest))
+    # A name: two syllables for each byte, and as many more as make it too long for a name of the corpus.
+    code = _permuted(F.lower(F.hex(F.encode(F.substr(canon, F.lit(3)), "UTF-8"))), kind, last, key, _moved_hex)
+    part = F.substr(canon, F.lit(1), F.lit(1))
+    name = None
+    for script, syllables in SYLLABLES.items():
+        table = F.array(*map(F.lit, syllables[:16]))
+        coded = F.transform(F.split(code, ""), lambda ch: F.element_at(table, F.instr(F.lit(HEXDIGITS), ch)))  # noqa: B023
+        body = F.concat(F.array_join(coded, ""), F.repeat(F.lit(syllables[-1]), longest))
+        for gender in "fms":
+            case = (canon.rlike(r"\p{IsCyrillic}") == (script == "cyrillic")) & (part == gender)
+            value = F.concat(F.lit(f"{gender}:"), body, F.lit(ENDINGS[script, gender]))
+            name = F.when(case, value) if name is None else name.when(case, value)
     return (
         F.when(kind == "ip", octets)
-        .when(kind == "email", F.concat(_draw(F.substring_index(canon, "@", 1), code), F.lit("@h"), host, F.lit(".example.org")))
-        .when(kind == "card", F.coalesce(sums, drawn))
-        .when((kind == "secret") & canon.rlike(HEX), F.substr(code, F.lit(1), F.length(canon)))
-        .when(kind == "person", _name(code, canon))
-        .otherwise(drawn)
+        .when(kind == "email", F.concat(filled(_permuted(local, domain, last, key), "0"), F.lit("@h"), host, F.lit(".example.org")))
+        .when(kind == "person", name)
+        .otherwise(filled(_permuted(canon, kind, last, key), "0"))
     )
 
 
@@ -224,7 +293,8 @@ def written(kind: Column, raw: Column, found: Column) -> Column:
             ch.rlike("^[A-Za-z0-9]$"),
             F.struct(F.concat(a["out"], F.substr(value, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at")),
         ).otherwise(F.struct(F.concat(a["out"], ch).alias("out"), a["at"].alias("at"))),
-        lambda a: a["out"],
+        # What is longer than its place goes on behind it.
+        lambda a: F.concat(a["out"], F.substr(value, a["at"])),
     )
     upper = (raw == F.upper(raw)) & (raw != F.lower(raw))
     title = F.regexp_extract(raw, f"^{_TITLES}", 0)
@@ -241,8 +311,8 @@ def surrogate_table(entities: DataFrame, key: str = KEY, drawn=surrogate) -> Dat
     of them an entity itself. ``drawn`` makes a value from kind, canon, attempt and key."""
     real = entities.select("kind", F.col("canon").alias("value"))
     done: list[DataFrame] = []
-    pending, attempt = entities.select("kind", "canon"), 0
-    while True:
+    pending = entities.select("kind", "canon")
+    for attempt in range(ATTEMPTS):
         made = stage(
             pending.withColumn("value", drawn(F.col("kind"), F.col("canon"), F.lit(attempt), key)), "drawn"
         )
@@ -255,7 +325,11 @@ def surrogate_table(entities: DataFrame, key: str = KEY, drawn=surrogate) -> Dat
         pending = stage(made.join(free, ["kind", "canon"], "left_anti").select("kind", "canon"), "pending")
         if pending.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        attempt += 1
+    # One row for each type.
+    longest = entities.groupBy("kind").agg(F.max(F.length("canon")).alias("longest"))
+    value = longer_surrogate(F.col("kind"), F.col("canon"), F.col("longest"), key)
+    done.append(stage(pending.join(F.broadcast(longest), "kind").select("kind", "canon", value.alias("value")), "longer"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:

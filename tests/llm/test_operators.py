@@ -456,3 +456,38 @@ def test_near_cloud_grows_in_proportion(spark, monkeypatch, percent, dense):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.near(docs, percent)
     # Each class stands under as many keys as a signature has symbols, whatever the number of classes.
     assert sizes[160] <= 2.5 * sizes[80] + 400
+
+
+def test_surrogates_of_a_full_space(spark):
+    """All one-letter addresses of three scripts at one domain, and all one-digit and two-digit values."""
+    letters = "abcdefghijklmnopqrstuvwxyzабвгдежзийклмнопрстуфхцчшщъыьэюяαβγδεζηθικλμνξοπρςστυφχψω"
+    text = " ".join(f"{c}@full.example.com" for c in letters)
+    out = surrogates.pseudonymise(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
+    mails = out[0].text.split()
+    assert out[0].text == out[1].text and len(set(mails)) == len(letters) == out[0].n_private
+    for old, new in zip(letters, mails, strict=True):
+        local = new.split("@")[0]
+        assert len(local) == 1 and ord(local) // 256 == ord(old) // 256 and "full" not in new
+    full = [(kind, str(k)) for kind in ("id", "phone") for k in range(10)] + [("id", f"{k:02}") for k in range(100)]
+    full += [("person", "s:lee"), ("email", "a@x.org"), ("ip", "1.2.3.4"), ("secret", "0a" * 16)]
+    table = spark.createDataFrame(full, "kind string, canon string")
+    same = lambda kind, canon, attempt, key: canon
+    for drawn in (surrogates.surrogate, same):
+        rows = surrogates.surrogate_table(table, drawn=drawn).collect()
+        values = {(r.kind, r.value) for r in rows}
+        assert {(r.kind, r.canon) for r in rows} == set(full) and len(values) == len(full) == len(rows)
+        assert not values & set(full)
+
+
+def test_permuted_values_keep_their_format(spark):
+    """Every value of a format comes out once."""
+    from pyspark.sql import functions as F
+
+    values = [f"{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in range(10)]
+    values += ["9", "Ab-9.z", "é", "字", "ք", "", "x" * 300]
+    table = spark.createDataFrame([(v,) for v in values], "v string")
+    rows = table.select("v", surrogates._permuted(F.col("v"), F.lit("k"), F.lit(0), "key").alias("p")).collect()
+    shape = lambda v: "".join("0" if c in "0123456789" else "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "." if c in "-." else "x" for c in v)
+    assert all(shape(r.v) == shape(r.p) for r in rows)
+    assert {r.p for r in rows if len(r.v) == 2} == {v for v in values if len(v) == 2}
+    assert len({r.p for r in rows}) == len(values)
