@@ -14,7 +14,8 @@ of the corpus, is made anew under the next key, ATTEMPTS times in all. What is l
 longer value: its permuted form, an end mark and filling up to more characters than any entity of the type has, which is
 distinct from all others and no entity. So the work ends after a fixed number of rounds.
 
-Everything is DataFrame work. Texts with entities are shuffled once; others not at all.
+Everything is DataFrame work. All texts are written once, with the entities found in them. Texts with entities are
+shuffled once; others not at all.
 Occurrences of a hot entity are spread over many documents, and their join with the surrogates
 may be split by adaptive execution.
 
@@ -334,13 +335,15 @@ def surrogate_table(entities: DataFrame, key: str = KEY, drawn=surrogate) -> Dat
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with entities in ``text`` replaced, and ``n_private``, their number."""
-    found = docs.withColumn("_found", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    # The pattern runs once over each text; what it found is written beside the text.
+    matched = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
+    found = stage(docs.withColumn("_found", matched).withColumn("_at", F.monotonically_increasing_id()), "found")
     none = F.coalesce(F.size("_found") <= 0, F.lit(True))
-    clean = found.filter(none).drop("_found").withColumn("n_private", F.lit(0))
+    clean = found.filter(none).drop("_found", "_at").withColumn("n_private", F.lit(0))
     # Names found by a title are looked for once more without it.
     named = found.filter(~none).withColumn("_names", names_of(F.col("_found"))).withColumn("_pattern", pattern_with(F.col("_names")))
     again = F.when(F.size("_names") > 0, F.regexp_extract_all("text", F.col("_pattern"), F.lit(0))).otherwise(F.col("_found"))
-    private = stage(named.withColumn("_found", again).drop("_pattern").withColumn("_at", F.monotonically_increasing_id()), "private")
+    private = stage(named.withColumn("_found", again).drop("_pattern"), "private")
     raw = private.select(F.col("_at").alias("at"), "_names", F.posexplode("_found").alias("place", "raw"))
     typed = raw.withColumn("kind", kind_of(F.col("raw")))
     places = stage(

@@ -302,6 +302,18 @@ def test_surrogates(spark):
     assert len(find(r'"[0-9a-f]{40}"', out[7])) == 1 and "04dbeb" not in out[7]
 
 
+def test_surrogates_read_each_text_once(spark, tmp_path):
+    """Texts without entities come from what the one pass wrote, not from a second pass over the input."""
+    rows = [(k, "mail a@b.example.com" if k % 3 == 0 else "nothing private", "x") for k in range(9)] + [(None, None, "y"), (1, "", "z")]
+    spark.createDataFrame(rows, "doc_id long, text string, other string").write.parquet(str(tmp_path / "docs"))
+    out = surrogates.pseudonymise(spark.read.parquet(str(tmp_path / "docs")))
+    assert out.columns == ["doc_id", "text", "other", "n_private"]
+    assert not [f for f in out.inputFiles() if str(tmp_path) in f]
+    found = out.collect()
+    assert sorted((str(r.doc_id), r.other, r.n_private) for r in found) == sorted((str(d), o, int("@" in (t or ""))) for d, t, o in rows)
+    assert {(r.doc_id, r.text) for r in found if not r.n_private} == {(d, t) for d, t, _ in rows if "@" not in (t or "")}
+
+
 def test_surrogates_of_other_formats(spark):
     """Each text holds private values (second entry), none of which may stay."""
     rows = [
