@@ -10,6 +10,9 @@ rounds of expectation and maximisation: each word of the corpus, with its count,
 all its segmentations. The vocabulary is fixed; only the weights are fitted, from all training
 documents. The base model is a word unigram model with add-one smoothing.
 
+Words of a batch that have the same length go through the recursion together, as rows of numbers in place of logarithms; a
+word that is long, or whose numbers leave the range of a double, goes through it alone, in log space.
+
 At scale: word counts are aggregates with a partial step, and each distinct word is scored once. The HEAD most frequent words and the
 pieces (bounded numbers) are sent to all tasks; all other words of a document are joined with the
 counts by word. The join has no hot key, as every frequent word is in the head.
@@ -21,10 +24,12 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 from math import exp, inf, log, log10
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +46,14 @@ WORD_MARK = b" "
 BYTE_SHARE = 0.01
 # Words counted in a task before they are handed on.
 COUNTED_AT_ONCE = 1_000_000
+# Words of more bytes go through the recursion one by one, as do those of a length that fewer words have.
+LONG_WORD, FEW_WORDS = 64, 8
+# Bytes of words that go through the recursion together.
+BYTES_AT_ONCE = 1 << 15
+# Places of pieces in words that are held until they are added up.
+USES_AT_ONCE = 1 << 20
+# Numbers outside these may have lost digits.
+SMALLEST, LARGEST = 1e-280, 1e280
 Weights = dict[bytes, float]
 
 
@@ -77,12 +90,143 @@ class Lattice:
     """All segmentations of a word under given log weights."""
 
     def __init__(self, weights: Weights):
+        self.weights = weights
+
+    @cached_property
+    def pieces(self):
         import ahocorasick
 
-        self.pieces = ahocorasick.Automaton()
-        for piece, weight in weights.items():
-            self.pieces.add_word(piece.decode("latin-1"), (len(piece), weight, piece))
-        self.pieces.make_automaton()
+        made = ahocorasick.Automaton()
+        for piece, weight in self.weights.items():
+            made.add_word(piece.decode("latin-1"), (len(piece), weight, piece))
+        made.make_automaton()
+        return made
+
+    @cached_property
+    def beginnings(self) -> list[bytes]:
+        """Beginnings of pieces by their number, from 1 on: the empty one, others that go on, whole pieces that don't."""
+        inner = {piece[:k] for piece in self.weights for k in range(len(piece))} | {b""}
+        return [*sorted(inner), *sorted(self.weights.keys() - inner)]
+
+    @cached_property
+    def following(self) -> np.ndarray:
+        """At 256 * beginning + byte the beginning that is one byte longer, 0 for none; the last entry stands for all after it."""
+        numbers = {b: k for k, b in enumerate(self.beginnings, 1)}
+        inner = 1 + max((numbers[b[:-1]] for b in numbers if b), default=0)
+        out = np.zeros(256 * inner + 1, np.int32)
+        for b, k in numbers.items():
+            if b:
+                out[256 * numbers[b[:-1]] + b[-1]] = k
+        return out
+
+    @cached_property
+    def shift(self) -> float:
+        """Added to log weights for each byte, so that products of many weights stay in range."""
+        return -min(weight / len(piece) for piece, weight in self.weights.items()) / 2
+
+    @cached_property
+    def shifted(self) -> np.ndarray:
+        """Shifted weight of each beginning, not as a logarithm; 0 for what is no piece."""
+        own = [self.weights[b] + self.shift * len(b) if b in self.weights else -inf for b in self.beginnings]
+        # What is too large makes words with it go alone.
+        with np.errstate(over="ignore"):
+            return np.exp([-inf, *own])
+
+    def together(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """Places of words that have one length and their bytes, mark first, a column for each; None for words that go alone."""
+        by_length = defaultdict(list)
+        for k, word in enumerate(words):
+            by_length[len(word)].append(k)
+        for length, places in by_length.items():
+            if length > LONG_WORD or len(places) < FEW_WORDS:
+                yield np.array(places), None
+                continue
+            n = length + 1
+            for at in range(0, len(places), step := max(1, BYTES_AT_ONCE // n)):
+                part = places[at : at + step]
+                whole = b"".join([WORD_MARK + words[k] for k in part])
+                yield np.array(part), np.ascontiguousarray(np.frombuffer(whole, np.uint8).reshape(-1, n).T)
+
+    def spans(self, text: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """By length: the beginning (its number) at each start, and its shifted weight."""
+        text = text.astype(np.int32)
+        at = self.following[256 + text]
+        numbers, values = [at], [self.shifted[at]]
+        for n in range(1, len(text)):
+            at = np.take(self.following, 256 * at[:-1] + text[n:], mode="clip")
+            if not at.any():
+                break
+            numbers.append(at)
+            values.append(self.shifted[at])
+        return numbers, values
+
+    @staticmethod
+    def sums(values: list[np.ndarray]) -> np.ndarray:
+        """Shifted weight of all segmentations of each beginning of the words; ``values`` by length and start."""
+        n, words = values[0].shape
+        out = np.zeros((n + 1, words))
+        out[0] = 1
+        for end in range(1, n + 1):
+            for length, own in enumerate(values[:end], 1):
+                out[end] += out[end - length] * own[end - length]
+        return out
+
+    @staticmethod
+    def in_range(sums: np.ndarray) -> np.ndarray:
+        """Words of which no number has lost digits."""
+        return (sums.min(0) > SMALLEST) & (sums.max(0) < LARGEST)
+
+    def log10_of(self, words: list[bytes]) -> np.ndarray:
+        """log10 of the probability of each word, its mark included."""
+        out = np.empty(len(words))
+        for places, text in self.together(words):
+            alone = places
+            if text is not None:
+                with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                    alpha = self.sums(self.spans(text)[1])
+                    out[places] = (np.log(alpha[-1]) - self.shift * len(text)) / log(10)
+                alone = places[~self.in_range(alpha)]
+            for k in alone.tolist():
+                out[k] = self.log10(words[k])
+        return out
+
+    def expected_of(self, words: list[bytes], counts: list[float], into: np.ndarray) -> dict[bytes, float]:
+        """Adds to ``into``, by the numbers of beginnings, how often each piece is expected in the words; returns what
+        words that went alone use."""
+        weight, used = np.array(counts, np.float64), {}
+        found, uses, held = [], [], 0
+
+        def add():
+            nonlocal held
+            if held:
+                into[:] += np.bincount(np.concatenate(found), np.concatenate(uses), len(into))
+            found.clear(), uses.clear()
+            held = 0
+
+        for places, text in self.together(words):
+            alone = places
+            if text is not None:
+                numbers, values = self.spans(text)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    alpha = self.sums(values)
+                    # From the word's end on, pieces are known by the distance of their end from it.
+                    beta = self.sums([v[::-1] for v in values])[::-1]
+                good = self.in_range(alpha) & self.in_range(beta)
+                alone = places[~good]
+                if len(alone):
+                    numbers, values = [v[:, good] for v in numbers], [v[:, good] for v in values]
+                    alpha, beta = alpha[:, good], beta[:, good]
+                share = weight[places[good]] / alpha[-1]
+                for length, (number, value) in enumerate(zip(numbers, values, strict=True), 1):
+                    found.append(number.ravel())
+                    uses.append((alpha[:-length] * value * beta[length:] * share).ravel())
+                    held += len(found[-1])
+                if held > USES_AT_ONCE:
+                    add()
+            for k in alone.tolist():
+                self.expected(words[k], counts[k], used)
+        add()
+        return used
 
     def arcs(self, word: bytes) -> list[tuple[int, int, float, bytes]]:
         """(start, end, weight, piece) of all pieces in a word, by their ends."""
@@ -166,7 +310,7 @@ def word_scores(counts: DataFrame, weights: Weights) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(sent.value)
         for batch in batches:
-            values = pa.array([lattice.log10(w) for w in batch.column("word").to_pylist()], pa.float64())
+            values = pa.array(lattice.log10_of(batch.column("word").to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, "log10"])
 
     return counts.mapInArrow(run, "word binary, n long, seen long, log10 double")
@@ -181,10 +325,13 @@ def fit(counts: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> tuple[
         sent = spark.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            lattice, uses = Lattice(sent.value), {}
+            lattice = Lattice(sent.value)
+            by_number, uses = np.zeros(len(lattice.beginnings) + 1), Counter()
             for batch in batches:
-                for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                    lattice.expected(word, n, uses)
+                words, n = batch.column("word").to_pylist(), batch.column("n").to_pylist()
+                uses.update(lattice.expected_of(words, n, by_number))
+            pieces = ((piece, n) for piece, n in zip(lattice.beginnings, by_number[1:].tolist(), strict=True) if n)
+            uses.update(dict(pieces))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(uses), pa.binary()), pa.array(list(uses.values()), pa.float64())], names=["piece", "uses"]
             )

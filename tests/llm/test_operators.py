@@ -355,6 +355,30 @@ def test_lattice_is_the_sum_of_all_segmentations():
     assert sum(n * len(p) for p, n in uses.items()) == pytest.approx(2 * (2 + 3 + 7 + 6))
 
 
+def test_words_go_through_the_lattice_together(monkeypatch):
+    """As each alone; alone go only words that are long, of a rare length, or out of the range of a double."""
+    ordinary = [bytes([97 + k % 7, 97 + k % 5]) * (1 + k % 3) + b"\xc3\xa9"[: k % 2] for k in range(300)]
+    hard = [b"x" * 64, b"y" * 65, b"z" * 3000, b"of a rare length".replace(b" ", b"")]
+    weights = lattice.vocabulary(PIECES)
+    rare = {p: w if len(p) == 1 else w - 900 for p, w in weights.items()} | {bytes([k]): -300.0 for k in range(100)}
+    for own, alone in ((weights, set(hard)), (rare, set(hard + ordinary)), (weights | {b"long" * 50: -3.0}, set(hard))):
+        model, scalar = lattice.Lattice(own), lattice.Lattice(own)
+        words = ordinary + hard + ([b"long" * 50] * 9 if len(own) > len(weights) else [])
+        counts = [1.0 + k % 4 for k in range(len(words))]
+        uses, into, seen = {}, np.zeros(len(model.beginnings) + 1), set()
+        for word, n in zip(words, counts, strict=True):
+            scalar.expected(word, n, uses)
+        one, expected = model.log10, model.expected
+        monkeypatch.setattr(model, "log10", lambda w: seen.add(w) or one(w))  # noqa: B023
+        monkeypatch.setattr(model, "expected", lambda w, n, to: seen.add(w) or expected(w, n, to))  # noqa: B023
+        assert model.log10_of(words) == pytest.approx([scalar.log10(w) for w in words], rel=1e-12)
+        found = Counter(model.expected_of(words, counts, into))
+        found.update({p: n for p, n in zip(model.beginnings, into[1:], strict=True) if n})
+        assert {p: n for p, n in found.items() if n > 1e-250} == pytest.approx({p: n for p, n in uses.items() if n > 1e-250}, rel=1e-9)
+        assert seen <= alone | {b"long" * 50}
+    assert model.log10_of([]).size == 0 and model.expected_of([], [], into) == {}
+
+
 def test_weights_are_fitted_twice(spark):
     """The second round starts from what the first one gave."""
     own = {b"lattice": 3, b"score": 2, b"scores": 1}
