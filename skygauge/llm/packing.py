@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skygauge.llm.text import ARROW, TEXTS_AT_ONCE, with_fields
+from skygauge.llm.text import ARROW, with_fields
 from skygauge.session import ship_package, spread, stage
 
 CAPACITY = 2048
@@ -40,8 +40,10 @@ ISLANDS = 3
 EPOCHS = 2
 GENERATIONS = 6
 POPULATION = 4
-# Entries of each of the two halves of a worker's memory of tokenized words.
-KNOWN_WORDS = 400_000
+# Words that a worker remembers; when there are more, the KEPT_WORDS used last stay.
+KNOWN_WORDS, KEPT_WORDS = 500_000, 250_000
+# Bytes of texts that are tokenized at a time.
+BYTES_AT_ONCE = 8 << 20
 MARKS = ".,;:!?"
 RAW = "\x01"
 # Words encoded in one call, a line end between them.
@@ -54,6 +56,10 @@ UNEVEN = (
 )
 
 
+# A letter and one mark at the end of a key.
+MARKED = rf"[A-Za-zÀ-ÖØ-öø-ɏ][{MARKS}]\z"
+
+
 def regular(text: str) -> bool:
     """All space is one blank or line end between two other characters."""
     return RAW not in text and " ".join(text.split()) == text.replace("\n", " ")
@@ -74,47 +80,48 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.marks = dict(zip(MARKS, self.encode(list(MARKS)), strict=True))
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.used, self.turn = np.zeros(0, np.int64), 0
         self.line_end = self.encode(["\n"])[0]
+        self.marks = pa.array(self.encode(list(MARKS)), pa.large_binary())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", found.ids).tobytes() for found in encoded]
 
-    def encode_words(self, words: list[str], before: str) -> list[bytes]:
+    def encode_words(self, words: list[str], before: str) -> pa.LargeBinaryArray:
         """Ids of words without space in them, ``before`` put before each."""
-        out = []
-        line_end = int.from_bytes(self.line_end, "little")
+        blocks = []
+        (line_end,) = array("I", self.line_end)
         for at in range(0, len(words), WORDS_AT_ONCE):
-            part = [before + w for w in words[at : at + WORDS_AT_ONCE]]
-            ids = self.encode(["\n".join(part)])[0]
-            ends = np.flatnonzero(np.frombuffer(ids, np.uint32) == line_end).tolist()
-            if len(ends) != len(part) - 1:
+            part = words[at : at + WORDS_AT_ONCE]
+            text = before + f"\n{before}".join(part)
+            ids = np.frombuffer(self.encode([text])[0] + self.line_end, np.uint32)
+            if np.count_nonzero(ids == line_end) != len(part):
                 raise ValueError("the tokenizer joins line ends with words")
-            out += [ids[4 * a + 4 : 4 * b] for a, b in zip([-1, *ends], [*ends, len(ids) // 4], strict=True)]
-        return out
-
-    def encode_keys(self, keys: list[str]) -> dict[str, bytes]:
-        """Ids of what each key stands for; words without space are encoded many at a time."""
-        after_blank, after_line, at_start, others = [], [], [], []
-        for key in keys:
-            first = key[:1]
-            if first == "\n" and len(key) > 1 and not any(map(str.isspace, key[1:])):
-                after_line.append(key)
-            elif first == RAW and len(key) > 1 and not any(map(str.isspace, key)):
-                at_start.append(key)
-            elif first in ("\n", RAW):
-                others.append(key)
-            else:
-                after_blank.append(key)
-        found = dict(zip(after_blank, self.encode_words(after_blank, " "), strict=True))
-        found.update(zip(at_start, self.encode_words([k[1:] for k in at_start], ""), strict=True))
-        lines = self.encode_words([k[1:] for k in after_line], "")
-        found.update((k, self.line_end + ids) for k, ids in zip(after_line, lines, strict=True))
-        found.update(zip(others, self.encode([k[1:] if k[0] == RAW else k for k in others]), strict=True))
-        return found
+            blocks.append(ids)
+        ids = np.concatenate([np.zeros(0, np.uint32), *blocks])
+        ends = np.flatnonzero(ids == line_end)
+        # Line ends before each end are left out.
+        offsets = np.concatenate([[0], ends - np.arange(len(ends))]) * 4
+        return _binary(offsets, ids[ids != line_end])
+
+    def encode_keys(self, keys: pa.LargeStringArray) -> tuple[pa.LargeStringArray, pa.LargeBinaryArray]:
+        """The keys in another order, and the ids of what each stands for; words without space are encoded many at a time."""
+        odd = pc.or_(pc.starts_with(keys, "\n"), pc.starts_with(keys, RAW))
+        after_blank = keys.filter(pc.invert(odd))
+        after_line, at_start, others = [], [], []
+        for key in keys.filter(odd).to_pylist():
+            spaced = len(key) == 1 or any(map(str.isspace, key[1:]))
+            (others if spaced else after_line if key[0] == "\n" else at_start).append(key)
+        lines = self.encode_words([k[1:] for k in after_line], "").to_pylist()
+        ids = [
+            self.encode_words(after_blank.to_pylist(), " "),
+            self.encode_words([k[1:] for k in at_start], ""),
+            pa.array([self.line_end + ids for ids in lines], pa.large_binary()),
+            pa.array(self.encode([k[1:] if k[0] == RAW else k for k in others]), pa.large_binary()),
+        ]
+        return pa.concat_arrays([after_blank, pa.array([*at_start, *after_line, *others], pa.large_string())]), pa.concat_arrays(ids)
 
     @staticmethod
     def keys(text: str) -> list[str]:
@@ -129,30 +136,40 @@ class WordIds:
         plain = lambda w: len(w) > 1 and w[0] == " " and "\n" not in w and regular(w[1:])
         return [w[1:] if plain(w) else RAW + w for w in out]
 
-    def of_keys(self, keys: list[str]) -> list[bytes]:
-        """Ids of what each key stands for, remembered."""
-        found = list(map(self.new.get, keys))
-        if None not in found:
-            return found
-        missing = {w for w, ids in zip(keys, found, strict=True) if ids is None}
-        if len(self.new) + len(missing) > KNOWN_WORDS:
-            self.old, self.new = self.new, {}
-            missing = set(keys)
-        again = {w for w in missing if w in self.old}
-        self.new.update((w, self.old[w]) for w in again)
+    def of_keys(self, keys: pa.LargeStringArray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """Ids of what the distinct keys stand for, and the place of each key's ids among them; remembered."""
         # A letter and one mark after it are never one token: both are looked up alone.
-        unknown = missing - again
-        marked = {w for w in unknown if w[-1:] in self.marks and w[-2:-1].isalpha()}
-        todo = list((unknown - marked) | {w[:-1] for w in marked if w[:-1] not in self.new})
-        self.new.update(self.encode_keys(todo))
-        self.new.update((w, self.new[w[:-1]] + self.marks[w[-1]]) for w in marked)
-        return [self.new[w] for w in keys]
+        marked = pc.match_substring_regex(keys, MARKED)
+        ending = keys.filter(marked)
+        needed = pa.concat_arrays([keys.filter(pc.invert(marked)), pc.utf8_rtrim(ending, MARKS)])
+        at = pc.index_in(needed, self.words)
+        unknown = at.is_null()
+        if unknown.true_count:
+            words, ids = self.encode_keys(needed.filter(unknown).unique())
+            new = pc.add(pc.index_in(needed.filter(unknown), words), pa.scalar(len(self.words), pa.int32()))
+            at = pc.replace_with_mask(at, unknown, new)
+            self.words, self.ids = pa.concat_arrays([self.words, words]), pa.concat_arrays([self.ids, ids])
+            self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
+        self.turn += 1
+        self.used[at.to_numpy()] = self.turn
+        found = self.ids.take(at)
+        plain = len(keys) - len(ending)
+        mark = pc.index_in(pc.utf8_slice_codeunits(ending, -1), pa.array(list(MARKS), pa.large_string()))
+        nothing = pa.scalar(b"", pa.large_binary())
+        ended = pc.binary_join_element_wise(found.slice(plain), self.marks.take(mark), nothing)
+        if len(self.words) > KNOWN_WORDS:
+            kept = np.argsort(-self.used, kind="stable")[:KEPT_WORDS]
+            self.words, self.ids, self.used = self.words.take(pa.array(kept)), self.ids.take(pa.array(kept)), self.used[kept]
+        place = np.empty(len(keys), np.int64)
+        mask = marked.to_numpy(zero_copy_only=False)
+        place[~mask], place[mask] = np.arange(plain), np.arange(plain, len(keys))
+        return pa.concat_arrays([found.slice(0, plain), ended]), place
 
     def joined(self, cut: pa.ListArray) -> list[bytes]:
-        """Ids of texts that are cut into keys; only distinct keys become Python objects."""
+        """Ids of texts that are cut into keys; no key becomes a Python object but those to be encoded."""
         coded = cut.values.dictionary_encode()
-        ids = pa.array(self.of_keys(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
-        _, ends, data = ids.buffers()
+        values, place = self.of_keys(coded.dictionary)
+        _, ends, data = values.take(pa.array(place[coded.indices.to_numpy()])).buffers()
         at = np.frombuffer(ends, np.int64)[cut.offsets.to_numpy()].tolist()
         whole = memoryview(data or b"")
         return [bytes(whole[a:b]) for a, b in zip(at, at[1:], strict=False)]
@@ -165,11 +182,25 @@ class WordIds:
         plain = pc.replace_substring(column.filter(pc.invert(uneven)), "\n", " \n")
         other = [self.keys(t) for t, e in zip(texts, even, strict=True) if not e]
         raw, nothing = pa.scalar(RAW, pa.large_string()), pa.scalar("", pa.large_string())
-        from_plain = iter(self.joined(pc.split_pattern(pc.binary_join_element_wise(raw, plain, nothing), " ")))
-        from_other = iter(self.joined(pa.array(other, pa.list_(pa.large_string()))))
+        cut = pc.split_pattern(pc.binary_join_element_wise(raw, plain, nothing), " ")
+        found = self.joined(pa.concat_arrays([cut, pa.array(other, pa.list_(pa.large_string()))]))
+        from_plain, from_other = iter(found[: len(plain)]), iter(found[len(plain) :])
         return [next(from_plain if e else from_other) for e in even]
 
 
+def _binary(offsets: np.ndarray, data: np.ndarray) -> pa.LargeBinaryArray:
+    buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, buffers)
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch with about BYTES_AT_ONCE of texts at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64)
+    starts = np.flatnonzero(np.diff(np.cumsum(sizes) // BYTES_AT_ONCE, prepend=-1)).tolist()
+    for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=False):
+        yield batch.slice(start, end - start)
+
+
 @cache
 def word_ids(path: str, special_as_text: bool = False) -> WordIds:
     """One for each worker process: its tasks share the memory of words."""
@@ -202,8 +233,7 @@ def token_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer, special_as_text)
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(at, TEXTS_AT_ONCE)
+            for part in _parts(batch):
                 source, rows = [], []
                 for k, ids in enumerate(words.of([t or "" for t in part.column("text").to_pylist()])):
                     ids += end
@@ -220,19 +250,20 @@ def token_pieces(
 
 
 class Bins:
-    """A solution: for each bin its pieces; free space is indexed for best fit."""
+    """A solution: for each bin its pieces and their sum; free space is indexed for best fit."""
 
     def __init__(self, sizes: np.ndarray, capacity: int):
         self.sizes, self.capacity = sizes, capacity
         self.bins: list[list[int]] = []
+        self.fill: list[int] = []
 
     def best_fit(self, pieces: list[int]) -> Bins:
         """Places pieces, largest first, into the fullest bin that has room for each."""
         sizes, capacity = self.sizes, self.capacity
         by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
         present = 0  # bit f: some bin has f free
-        for k, own in enumerate(self.bins):
-            free = capacity - sum(sizes[i] for i in own)
+        for k, filled in enumerate(self.fill):
+            free = capacity - filled
             by_free[free].append(k)
             present |= 1 << free
         for i in sorted(pieces, key=lambda p: -sizes[p]):
@@ -246,42 +277,41 @@ class Bins:
             else:
                 free, k = capacity, len(self.bins)
                 self.bins.append([])
+                self.fill.append(0)
             self.bins[k].append(i)
+            self.fill[k] += size
             left = free - size
             by_free[left].append(k)
             present |= 1 << left
         return self
 
-    def fill(self) -> list[int]:
-        return [sum(self.sizes[i] for i in own) for own in self.bins]
-
     def fitness(self) -> float:
         """Mean squared fill: fewer and fuller bins are better."""
-        return sum((f / self.capacity) ** 2 for f in self.fill()) / max(1, len(self.bins))
+        return sum((f / self.capacity) ** 2 for f in self.fill) / max(1, len(self.bins))
 
     def crossed(self, other: Bins, share: float, rng: np.random.Generator) -> Bins:
         """A child with the well-filled bins of ``other`` and what remains of the own ones."""
-        fill = other.fill()
-        ranked = sorted(range(len(other.bins)), key=lambda k: -fill[k])
-        taken = [other.bins[k] for k in ranked[: max(1, int(len(ranked) * share))] if rng.random() < 0.8]
-        inside = {i for own in taken for i in own}
+        ranked = sorted(range(len(other.bins)), key=lambda k: -other.fill[k])
+        taken = [k for k in ranked[: max(1, int(len(ranked) * share))] if rng.random() < 0.8]
+        inside = {i for k in taken for i in other.bins[k]}
         child = Bins(self.sizes, self.capacity)
         displaced = []
-        child.bins = [list(own) for own in taken]
-        for own in self.bins:
+        child.bins, child.fill = [list(other.bins[k]) for k in taken], [other.fill[k] for k in taken]
+        for own, filled in zip(self.bins, self.fill, strict=True):
             if inside.isdisjoint(own):
                 child.bins.append(list(own))
+                child.fill.append(filled)
             else:
                 displaced += [i for i in own if i not in inside]
         return child.best_fit(displaced)
 
     def mutated(self, rng: np.random.Generator) -> Bins:
         """The emptiest bins and some others are emptied and their pieces placed again."""
-        fill = self.fill()
-        ranked = sorted(range(len(self.bins)), key=lambda k: fill[k])
+        ranked = sorted(range(len(self.bins)), key=lambda k: self.fill[k])
         gone = set(ranked[: max(2, len(ranked) // 20)]) | set(rng.integers(0, len(ranked), 3).tolist())
         child = Bins(self.sizes, self.capacity)
-        child.bins = [list(own) for k, own in enumerate(self.bins) if k not in gone]
+        kept = [k for k in range(len(self.bins)) if k not in gone]
+        child.bins, child.fill = [list(self.bins[k]) for k in kept], [self.fill[k] for k in kept]
         return child.best_fit([i for k in sorted(gone) for i in self.bins[k]])
 
     def numbers(self) -> list[int]:
@@ -296,8 +326,10 @@ class Bins:
     def of_numbers(cls, sizes: list[int], capacity: int, numbers: list[int]) -> Bins:
         made = cls(sizes, capacity)
         made.bins = [[] for _ in range(max(numbers) + 1)]
+        made.fill = [0] * len(made.bins)
         for i, k in enumerate(numbers):
             made.bins[k].append(i)
+            made.fill[k] += sizes[i]
         return made
 
 

@@ -194,6 +194,34 @@ def test_word_ids(as_text):
         assert np.frombuffer(words.of([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_ids_of_many_texts(monkeypatch):
+    """Ids stay those of the library while words are remembered, forgotten and met again; all keys of a batch are looked up in one call."""
+    tokenizer = Tokenizer.from_file(TOKENS)
+    texts = [" ".join(f"w{k * j % 53}é{'.,;:!?'[j % 6]} Wor{'abc'[k % 3]}d{'.,;:!?'[k % 6]}" for j in range(9)) for k in range(60)]
+    texts += [t.replace(" ", "\n") for t in texts[:9]] + ["字。 字? ß! ß", "", " ", "a\tb. c", "\x01a. b", "x! <|endoftext|>. y", "'. \"! ...", "é. É. e\u0301. 1. _."]
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 30)
+    monkeypatch.setattr(packing, "KEPT_WORDS", 10)
+    words, calls = packing.WordIds(TOKENS), []
+    of_keys = words.of_keys
+    monkeypatch.setattr(words, "of_keys", lambda keys: calls.append(len(keys)) or of_keys(keys))
+    for step in (7, len(texts), 1):
+        calls.clear()
+        found = [ids for at in range(0, len(texts), step) for ids in words.of(texts[at : at + step])]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(words.words) == len(words.ids) == len(words.used) <= 30 and len(calls) == -(-len(texts) // step)
+    assert words.of([]) == []
+
+
+def test_fill_of_bins_is_kept():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 1500, 400).tolist()
+    one = packing.Bins(sizes, 2048).best_fit(list(range(400)))
+    two = one.mutated(rng)
+    for made in (one, two, one.crossed(two, 0.5, rng), packing.Bins.of_numbers(sizes, 2048, two.numbers())):
+        assert made.fill == [sum(sizes[i] for i in own) for own in made.bins] and max(made.fill) <= 2048
+        assert sorted(i for own in made.bins for i in own) == list(range(400))
+
+
 def test_uneven_space_is_found_as_by_split():
     spaces = [chr(k) for k in range(0x3100) if chr(k).isspace()] + ["\x01", ""]
     texts = [a + x + b for x in spaces for a in ("", "a", "a ", "a\n") for b in ("", "b", " b", "\nb")]
