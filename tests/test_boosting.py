@@ -140,3 +140,58 @@ def test_saved_and_as_arrays(spark, tmp_path, monkeypatch):
     assert np.allclose(whole.predict(x), predictions(model, df)) and np.allclose(parts.predict(x), predictions(model, df))
     phi, base = attribution.shapley_values(whole.groups[0].value, x)
     assert np.allclose(base + phi.sum(axis=1), predictions(model, df))
+
+
+def same_trees(one, other):
+    return len(one.trees) == len(other.trees) and all(
+        np.array_equal(getattr(a, name), getattr(b, name))
+        for a, b in zip(one.trees, other.trees, strict=True)
+        for name in ("feature", "cut", "threshold", "value", "cover")
+    )
+
+
+def test_a_level_is_one_stage_and_some_blocks_are_one_task(spark, monkeypatch):
+    """Each Python stage has its wait: a level of a tree is one, and a table of a few blocks needs no jobs at all."""
+    x, y = data(1500)
+    df, names = table(spark, x, y, 7)
+    settings = {"rounds": 4, "depth": 3, "row_share": 0.7, "column_share": 0.6}
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 200)
+    parts, loaded = [], boosting._loaded
+    monkeypatch.setattr(boosting, "_loaded", lambda *a: (parts.append(loaded(*a)), parts[-1])[1])
+    one = fit(df, names, **settings)
+    assert {p.getNumPartitions() for p in parts} == {1}
+    parts.clear()
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(boosting, "MOVE_ROUNDS", 2)
+    jobs, grown, context = [], boosting._Growth.grown, spark.sparkContext
+
+    def counted(self, *args):
+        context.setJobGroup(f"tree {self.round}", "")
+        tree = grown(self, *args)
+        jobs.extend(context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup(f"tree {self.round}"))
+        context.setLocalProperty("spark.jobGroup.id", None)
+        return tree
+
+    monkeypatch.setattr(boosting._Growth, "grown", counted)
+    many = fit(df, names, **settings)
+    assert parts[0].getNumPartitions() > 1 and len(jobs) == 4 * 3 and {len(j.stageIds) for j in jobs} == {1}
+    monkeypatch.setattr(boosting, "MEET", 2)
+    met = fit(df, names, **settings)
+    assert same_trees(one, many) and same_trees(one, met)
+
+
+def test_only_the_smaller_child_is_summed():
+    growth = boosting._Growth([], 0, np.array([4, 3]), 1.0, Settings(depth=2, column_share=1.0))
+    rng = np.random.default_rng(0)
+    bins = np.stack([rng.integers(0, 4, 500), rng.integers(0, 3, 500)]).astype(np.uint8)
+    gradient = rng.integers(-9, 9, 500).astype(float)
+    tree = boosting.Tree.empty(2)
+    tree.feature[0], tree.cut[0] = 0, 0
+    left = bins[0] == 0
+    tree.cover[[1, 2]] = left.sum(), (~left).sum()
+    assert growth.summed_nodes(tree, 1).tolist() == [1]
+    drawn = (bins, gradient)
+    sums = lambda nodes, level: growth.sums([(drawn, growth.placed(drawn, tree, level))], nodes, 2)
+    whole = growth.completed(sums(np.array([1]), 1), tree, 1, sums(np.array([0]), 0))
+    assert np.array_equal(whole, sums(np.array([1, 2]), 1))
+    assert whole[1, 1].sum() == 2 * (~left).sum()
