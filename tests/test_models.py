@@ -105,6 +105,16 @@ def test_comparison(featured, fitted):
     assert found.winner == min(rows, key=lambda m: rows[m].mae)
 
 
+def test_comparison_at_reference_settings_takes_few_jobs(spark, featured):
+    """200 trees of depth 15 and 300 rounds; Spark's own forest took hundreds of jobs, whatever the number of rows."""
+    spark.sparkContext.setJobGroup("compare", "")
+    found = models.train_and_compare(featured)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("compare"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    forest, boosted = found.models[models.FOREST], found.models[models.BOOSTING]
+    assert len(forest.trees) == 200 and len(boosted.trees) == 300 and jobs < 120
+
+
 def test_default_settings():
     forest, boosting = models.forest(), models.boosting()
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (200, 15, 5)
