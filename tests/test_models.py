@@ -115,6 +115,17 @@ def test_comparison_at_reference_settings_takes_few_jobs(spark, featured):
     assert len(forest.trees) == 200 and len(boosted.trees) == 300 and jobs < 120
 
 
+def test_attribution_of_a_table_of_some_blocks_takes_few_jobs(spark, featured, monkeypatch):
+    """Several blocks were a job for each of 1800 levels."""
+    monkeypatch.setattr("skygauge.operators.boosting.BLOCK_ROWS", 50)
+    monkeypatch.setattr(queries.tables, "featured", lambda *args: featured)
+    spark.sparkContext.setJobGroup("shap", "")
+    found = queries.QUERIES["tree_shap"](spark, "").collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("shap"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r.feature for r in found) == sorted(FEATURE_COLS) and jobs < 60
+
+
 def test_default_settings():
     forest, boosting = models.forest(), models.boosting()
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (200, 15, 5)
